@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import harmonic, idfile
+from . import bpe, harmonic, idfile, toxicity
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.code(table(spark, sf_dir, "documents"))
+
+
 def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.read(spark, idfile.write(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_harmonic_packing, op10_id_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op5_harmonic_packing, op8_bpe_transducer, op10_id_files)}
 ORACLES: dict[str, str] = {}
