@@ -95,12 +95,12 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 1024, end_id:
             done.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [()] * len(names), kinds)], names=names)
 
-        encode = encoder(path).encode
+        encode = encoder(path).column
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
-                    ids += end
+                for doc, ids in zip(part.column(0).to_pylist(), encode(part)):
+                    ids = ids.tobytes() + end
                     total, start = len(ids) // 4, 0
                     for n in cuts(total, capacity, least):
                         full = bins.put(n, (doc, start, ids[4 * start : 4 * (start + n)], total))

@@ -100,7 +100,7 @@ def trained(docs: DataFrame, path: str, width: int, sample: int, size: int) -> b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [t for b in batches for t in b.column(0).to_pylist()]
-        own = [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes()[:8192] for x in encoder(path).encode(texts)]
+        own = [x.astype(f"<u{width}").tobytes()[:8192] for x in encoder(path).encode(texts)]
         try:
             data = zstandard.train_dictionary(size, own).as_bytes()
         except zstandard.ZstdError:
@@ -131,14 +131,14 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, e
     shared = spark.sparkContext.broadcast(dictionary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path).column
         shard = TaskContext.get().partitionId()
         out = Writer(f"{folder}/{shard:08d}.ids", shared.value, width, level)
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
-                    out.add(doc, np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)))
+                for doc, ids in zip(part.column(0).to_pylist(), encode(part)):
+                    out.add(doc, np.append(ids, np.uint32(end_id)))
         n, total = out.close()
         yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([n]), pa.array([total])], names=["shard", "docs", "ids"])
 

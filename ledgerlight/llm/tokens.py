@@ -1,23 +1,27 @@
 """Token ids by the tokenizers library, piece by piece.
 
-A byte-level vocabulary cuts before every single space that a non-space follows, so each such piece can
-be encoded alone. Pieces recur, so a bounded memory of them saves most of the work; what is not
-remembered is given to the library in batches. Texts where a space meets other white space go to the
-library whole.
+A byte-level vocabulary cuts a text before every single space, around every single line end and before a
+point that ends a word, so the pieces between these can be encoded alone. Pieces recur: the library gets
+each new one once, a line each in a longer text, and its ids are kept in sorted arrays. Texts with other
+white space, runs of it or special tokens go to the library whole.
 """
 
 from __future__ import annotations
 
-import re
+import os
 
+import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-import numpy as np
+from .common import CHUNK, Spans, byte_symbols, text_chunks
 
-_SPACES = re.compile(r" \s| \Z|\n\s|\A ")
-#: White space but space and line end, and the mark of a piece that no space precedes.
-_RARE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"] + ["\x01"]
-_POINTS = frozenset(".,;:!?")
+_RARE = np.zeros(256, bool)
+_RARE[[9, 11, 12, 13, 28, 29, 30, 31]] = True
+_POINT = np.zeros(256, bool)
+_POINT[[ord(c) for c in ".,;:!?"]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -27,85 +31,120 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def odd_bytes(data: np.ndarray) -> np.ndarray:
+    """Places of white space other than space and line end, or of what may be some or a special token."""
+    a, b = data[:-1], data[1:]
+    two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) | (a == 0xE2) & ((b == 0x80) | (b == 0x81)) | (a == 0xE3) & (b == 0x80) | (a == ord("<")) & (b == ord("|"))
+    return np.concatenate([np.flatnonzero(_RARE[data]), np.flatnonzero(two)])
+
+
 class Encoder:
-    #: Pieces remembered at once, in each of two generations.
-    LIMIT = 250_000
-    #: Pieces given to the library in one text, line by line.
-    LINES = 4096
+    #: Pieces remembered at once (about 40 bytes each), and pieces given to the library in one text.
+    LIMIT, LINES = 3_000_000, 4096
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.points = dict(zip(_POINTS, self.whole(list(_POINTS))))
-        ends = self.library.encode("\n", add_special_tokens=False).ids
-        self.line = ends[0] if len(ends) == 1 and self.library.encode("a\n b", add_special_tokens=False).ids.count(ends[0]) == 1 else None
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for i in range(0, len(texts), 128):
-            out += self._some(texts[i : i + 128])
+        line = self.library.encode("a\n b\n", add_special_tokens=False).ids
+        end = self.library.encode("\n", add_special_tokens=False).ids
+        if len(end) != 1 or line.count(end[0]) != 2:
+            raise ValueError("the vocabulary does not keep line ends apart")
+        self.line = end[0]
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.start, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        return self.column(pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"]))
+
+    def column(self, batch: pa.RecordBatch, limit: int = CHUNK) -> list[np.ndarray]:
+        """The ids of each row's text; no nulls."""
+        out: list[np.ndarray] = []
+        for _, _, data, offsets in text_chunks(batch, limit=limit):
+            out += self._chunk(data, offsets)
         return out
 
-    def _lines(self, pieces: list[str]) -> list[bytes]:
-        """Pieces of letters alone, each after a space: a line each, as line ends are tokens of their own there."""
-        out: list[bytes] = []
-        for i in range(0, len(pieces), self.LINES):
-            ids = np.array(self.whole(["".join(f" {p}\n" for p in pieces[i : i + self.LINES])]), dtype=object)[0]
-            at = np.flatnonzero(np.frombuffer(ids, dtype="<u4") == self.line).tolist()
-            start = 0
-            for end in at:
-                out.append(ids[4 * start : 4 * end])
-                start = end + 1
+    def _chunk(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        n, rows = len(data), len(offsets) - 1
+        if not n:
+            return [np.zeros(0, "<u4")] * rows
+        space, line = data == 32, data == 10
+        white = space | line
+        last = np.zeros(n, bool)
+        last[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = True
+        before_white = np.r_[white[1:], True] | last
+        odd = np.zeros(rows + 1, bool)
+        wrong = np.concatenate([np.flatnonzero(before_white & (space | line & ~last)), odd_bytes(data)])
+        odd[np.searchsorted(offsets, wrong, side="right") - 1] = True
+        odd = odd[:rows]
+        begins = white.copy()
+        begins[1:] |= line[:-1]
+        begins[offsets[:-1][offsets[:-1] < n]] = True
+        begins[1:] |= _POINT[data[1:]] & _LETTER[data[:-1]] & before_white[1:]
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], n)
+        if odd.any():
+            fine = ~odd[np.searchsorted(offsets, starts, side="right") - 1]
+            starts, ends = starts[fine], ends[fine]
+        keys, first, of = np.unique(Spans(byte_symbols(data)).of(starts, ends), return_index=True, return_inverse=True)
+        self._learn(keys, data, starts[first], ends[first])
+        at = np.searchsorted(self.keys, keys)
+        length = self.length[at][of]
+        total = np.concatenate([[0], np.cumsum(length)])
+        ids = self.flat[np.repeat(self.start[at][of] - total[:-1], length) + np.arange(total[-1])] if len(starts) else np.zeros(0, "<u4")
+        cut = total[np.searchsorted(starts, offsets)]
+        out = [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        if odd.any():
+            which = np.flatnonzero(odd).tolist()
+            for k, x in zip(which, self.whole([data[offsets[k] : offsets[k + 1]].tobytes().decode() for k in which])):
+                out[k] = x
         return out
 
-    def _encoded(self, pieces: set[str]) -> None:
-        """A piece is kept without the space before it; one that no space precedes, behind a mark."""
-        young = self.young
-        pointed = [p for p in pieces if p[-1:] in _POINTS and p[:-1].isalpha()] if self.line is not None else []
-        bases = {p[:-1] for p in pointed} - young.keys()
-        for p in bases & self.old.keys():
-            young[p] = self.old[p]
-        plain = list({p for p in pieces if p.isalpha()} | {p for p in bases if p not in young}) if self.line is not None else []
-        lines = self._lines(plain)
-        if len(lines) != len(plain):
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        if len(self.keys) > self.LIMIT:
+            self.forget()
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        if len(self.keys):
+            new = self.keys[np.minimum(at, len(self.keys) - 1)] != keys
+        if not new.any():
+            return
+        keys, starts, ends, at = keys[new], starts[new], ends[new], at[new]
+        size = ends - starts + 1
+        lone = data[starts] == 10
+        texts = []
+        for i in range(0, len(keys), self.LINES):
+            s, m = starts[i : i + self.LINES], size[i : i + self.LINES]
+            to = np.concatenate([[0], np.cumsum(m)])
+            lines = data[np.minimum(np.repeat(s - to[:-1], m) + np.arange(to[-1]), len(data) - 1)]
+            lines[to[1:] - 1] = 10
+            lines[to[:-1][lone[i : i + self.LINES]]] = 46
+            texts.append(lines.tobytes().decode())
+        ids = np.concatenate(self.whole(texts))
+        stop = np.flatnonzero(ids == self.line)
+        if len(stop) != len(keys):
             raise ValueError("the vocabulary does not keep line ends apart")
-        young.update(zip(plain, lines))
-        young.update((p, young[p[:-1]] + self.points[p[-1]]) for p in pointed)
-        other = [p for p in pieces if p not in young]
-        young.update(zip(other, self.whole([p[1:] if p[:1] == "\x01" else p if p == "\n" else " " + p for p in other])))
-
-    def _some(self, texts: list[str]) -> list[bytes]:
-        young, split, missing = self.young, [], set()
-        for t in texts:
-            if _SPACES.search(t) or any(c in t for c in _RARE):
-                split.append((None, None))
-                continue
-            pieces = ("\x01" + t.replace("\n", " \n \x01")).split(" ")
-            found = list(map(young.get, pieces))
-            if None in found:
-                missing.update(p for p, f in zip(pieces, found) if f is None)
-                found = None
-            split.append((pieces, found))
-        again = {p: self.old[p] for p in missing if p in self.old}
-        young.update(again)
-        self._encoded(missing - again.keys())
-        odd = iter(self.whole([t for t, (p, _) in zip(texts, split) if p is None]))
-        out = [next(odd) if p is None else b"".join(f or map(young.__getitem__, p)) for p, f in split]
-        if len(young) > self.LIMIT:
-            self.young, self.old = {}, young
-        return out
+        begin = np.append(0, stop[:-1] + 1)
+        ids[begin[lone]] = self.line
+        if self.used + len(ids) > len(self.flat):
+            grown = np.zeros(2 * (self.used + len(ids)), "<u4")
+            grown[: self.used] = self.flat[: self.used]
+            self.flat = grown
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.keys = np.insert(self.keys, at, keys)
+        self.start = np.insert(self.start, at, begin + self.used)
+        self.length = np.insert(self.length, at, stop - begin)
+        self.used += len(ids)
 
 
 def encoder(path: str) -> Encoder:
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _encoders:
         _encoders[path] = Encoder(path)
