@@ -142,3 +142,40 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+
+
+class Union:
+    """Groups of the numbers below n."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x == y:
+            return False
+        self.up[max(x, y)] = min(x, y)
+        return True
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) of the ids in edges (a, b): the smallest id that links lead to.
+
+    Each round takes the least component of the neighbours, then that one's own; tables are written each round."""
+    both = saved(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    now = saved(both.groupBy("a").agg(F.min("b").alias("r")).select("a", F.least("a", "r").alias("r")))
+    while True:
+        near = both.join(now.select(F.col("a").alias("b"), "r"), "b").groupBy("a").agg(F.min("r").alias("m"))
+        step = now.join(near, "a").select("a", F.least("r", "m").alias("r"), F.col("r").alias("was"))
+        own = now.select(F.col("a").alias("r"), F.col("r").alias("rr"))
+        new = saved(step.join(own, "r", "left").select("a", F.coalesce(F.least("r", "rr"), "r").alias("r"), "was"))
+        if not new.where("r <> was").limit(1).count():
+            return new.select(F.col("a").alias("id"), F.col("r").alias("component"))
+        now = new.select("a", "r")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, harmonic, idfile, toxicity
+from . import bpe, harmonic, hnsw, idfile, topk, toxicity
 from .common import table
 
 
@@ -18,13 +18,22 @@ def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.code(table(spark, sf_dir, "documents"))
 
 
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
+    return topk.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.read(spark, idfile.write(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op5_harmonic_packing, op8_bpe_transducer, op10_id_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op5_harmonic_packing, op7_hnsw_near_dedup, op8_bpe_transducer, op9_exact_topk, op10_id_files)}
 ORACLES: dict[str, str] = {}
