@@ -59,6 +59,13 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def least_hashed(rows: DataFrame, limit: int) -> DataFrame:
+    """About `limit` rows, those of the smallest hashes of doc_id (all rows of a doc_id, and all that tie with
+    the last). Only hashes are gathered to find the bound."""
+    last = rows.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(limit).agg(F.max("h"), F.count("*")).first()
+    return rows if last[1] < limit else rows.where(F.xxhash64("doc_id") <= last[0])
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     x = x ^ (x >> np.uint64(33))

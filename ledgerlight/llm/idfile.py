@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, parts, shared_dir
+from .common import id_text, least_hashed, parts, shared_dir
 from .tokens import encoder, vocabulary
 
 FOOTER = struct.Struct("<QQI32s8s")
@@ -94,7 +94,7 @@ class Reader:
 
 
 def trained(docs: DataFrame, path: str, width: int, sample: int, size: int) -> bytes:
-    """A dictionary from at most `sample` documents, those of the smallest hashes of doc_id, in one task.
+    """A dictionary from `sample` documents, those of the smallest hashes of doc_id, in one task.
 
     Empty where the sample holds too little to train on."""
 
@@ -107,8 +107,8 @@ def trained(docs: DataFrame, path: str, width: int, sample: int, size: int) -> b
             data = b""
         yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["data"])
 
-    chosen = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("text")
-    return bytes(chosen.coalesce(1).mapInArrow(run, "data binary").first()[0])
+    chosen = least_hashed(docs, sample).select("text")
+    return bytes(chosen.repartition(1).mapInArrow(run, "data binary").first()[0])
 
 
 def write(docs: DataFrame, folder: str | None = None, path: str | None = None, end_id: int = 0, sample: int = 512, dictionary_size: int = 1 << 16, level: int = 3) -> str:

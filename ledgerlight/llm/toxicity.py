@@ -3,7 +3,7 @@
 A sentence is toxic with probability p = sigmoid(b + sum of its words' weights); a document is toxic
 unless every one of its sentences is clean: P = 1 - prod(1 - p). Weights are fitted on document labels
 by gradient ascent on the likelihood of P, so the sentences' own scores come from document labels alone.
-Words are lower-cased and hashed; a text's words are its only inputs.
+Words and their beginnings, lower-cased and hashed, are what has weights; a text's words are its only inputs.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_symbols, id_text, lowered, Spans, text_chunks, word_spans
+from .common import Spans, byte_symbols, id_text, least_hashed, lowered, mixed, text_chunks, word_spans
 
-#: Weights; words share one where their hashes meet.
-BITS = 18
+#: Weights; words share one where their hashes meet. Lengths in bytes of the beginnings that have weights of their own.
+BITS, STEMS = 18, (4, 5, 6)
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_sentences long, worst_score double, worst_start long, worst_end long"
 _EDGE = np.zeros(256, bool)
 _EDGE[[ord(c) for c in "\"'()[]{}<>,;:.!?*_-"]] = True
@@ -32,7 +32,7 @@ def held_out(modulus: int, rest: int) -> Column:
 
 
 def sentence_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed word of each word; first word of each sentence; its row; its first and last byte.
+    """Hashed words and beginnings; the sentence of each; the row of each sentence and its first and last byte.
 
     A sentence ends with a word that ends in . ! ? or before a line end. Points around words are left off.
     Rows without words have no sentence."""
@@ -50,9 +50,16 @@ def sentence_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     for _ in range(3):
         a += (a < b - 1) & _EDGE[data[a]]
         b -= (b > a + 1) & _EDGE[data[b - 1]]
-    word = (Spans(byte_symbols(data)).of(a, b) >> np.uint64(64 - BITS)).astype(np.int64)
+    spans = Spans(byte_symbols(data))
+    own = np.cumsum(np.r_[False, stop[:-1]])
+    hashes, sentences = [spans.of(a, b)], [own]
+    for k in STEMS:
+        longer = np.flatnonzero(b - a > k)
+        hashes.append(mixed(spans.of(a[longer], a[longer] + k) + np.uint64(k)))
+        sentences.append(own[longer])
     last = np.r_[head[1:], len(starts)] - 1
-    return word, head, row[head], starts[head] - offsets[row[head]], ends[last] - offsets[row[head]]
+    word = (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64)
+    return word, np.concatenate(sentences), row[head], starts[head] - offsets[row[head]], ends[last] - offsets[row[head]]
 
 
 def sentence_log_clean(z: np.ndarray) -> np.ndarray:
@@ -62,7 +69,7 @@ def sentence_log_clean(z: np.ndarray) -> np.ndarray:
 
 def screened(word: np.ndarray, row: np.ndarray, y: np.ndarray, least_z: float) -> np.ndarray:
     """Which words stand in toxic documents more or less often than chance has it, by a z of two shares."""
-    pair = np.unique(row * (1 << BITS) + word)
+    pair = np.unique(row.astype(np.int64) * (1 << BITS) + word)
     word, toxic = pair % (1 << BITS), y[pair >> BITS]
     n1, n0 = max(y.sum(), 1), max(len(y) - y.sum(), 1)
     a, b = np.bincount(word, toxic, 1 << BITS), np.bincount(word, 1 - toxic, 1 << BITS)
@@ -73,24 +80,24 @@ def screened(word: np.ndarray, row: np.ndarray, y: np.ndarray, least_z: float) -
 
 def fitted(batches: Iterator[pa.RecordBatch], steps: int, rate: float, l2: float, least_z: float) -> np.ndarray:
     """Weights and, last, the bias, from text and toxic."""
-    words, heads, rows, labels, n_words, n_rows = [], [], [], [], 0, 0
+    words, sentences, rows, labels, n_sentences, n_rows = [], [], [], [], 0, 0
     for batch in batches:
-        y = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+        labels.append(batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64))
         for i, j, data, offsets in text_chunks(batch.select(["text"])):
-            w, h, r, *_ = sentence_words(data, offsets)
+            w, own, r, *_ = sentence_words(data, offsets)
             words.append(w.astype(np.int32))
-            heads.append(h + n_words)
+            sentences.append((own + n_sentences).astype(np.int32))
             rows.append(r + n_rows)
-            n_words += len(w)
+            n_sentences += len(r)
             n_rows += j - i
-        labels.append(y)
     out = np.zeros((1 << BITS) + 1)
     out[-1] = -4.0
-    if not n_words:
+    if not n_sentences:
         return out
     y = np.concatenate(labels)
-    word, head, row = np.concatenate(words), np.concatenate(heads), np.concatenate(rows)
-    own = np.repeat(np.arange(len(head)), np.diff(np.r_[head, n_words]))
+    word, own, row = np.concatenate(words), np.concatenate(sentences), np.concatenate(rows)
+    words.clear()
+    sentences.clear()
     telling = screened(word, row[own], y, least_z)
     use = telling[word]
     word, own = word[use], own[use]
@@ -98,7 +105,7 @@ def fitted(batches: Iterator[pa.RecordBatch], steps: int, rate: float, l2: float
     w, b = np.zeros(len(seen)), -4.0
     m, v = np.zeros(len(seen) + 1), np.zeros(len(seen) + 1)
     for t in range(1, steps + 1):
-        z = b + np.bincount(own, w[word], len(head)) if len(word) else np.full(len(head), b)
+        z = b + np.bincount(own, w[word], n_sentences) if len(word) else np.full(n_sentences, b)
         clean = np.minimum(np.bincount(row, sentence_log_clean(z), len(y)), -1e-12)
         # d log-likelihood / d log-clean: -1 for clean documents' losses, exp(clean) / (1 - exp(clean)) for toxic ones
         pull = np.where(y > 0, np.exp(clean) / -np.expm1(clean), -1.0)
@@ -112,11 +119,9 @@ def fitted(batches: Iterator[pa.RecordBatch], steps: int, rate: float, l2: float
     return out
 
 
-def train(labelled: DataFrame, sample: int = 12_000, steps: int = 250, rate: float = 0.1, l2: float = 0.3, least_z: float = 4.0) -> np.ndarray:
+def train(labelled: DataFrame, steps: int = 250, rate: float = 0.1, l2: float = 0.3, least_z: float = 4.0) -> np.ndarray:
     """Weights from labelled (doc_id, text, toxic), in one task.
 
-    `sample` bounds the labelled documents that are learned from, those of the smallest hashes of doc_id;
-    the bound keeps the one task's memory (about 50 MB of text). Rows whose label is neither 0 nor 1 teach nothing.
     Without any row, every text scores as a prior."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,9 +129,8 @@ def train(labelled: DataFrame, sample: int = 12_000, steps: int = 250, rate: flo
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], names=["at", "w"])
 
-    chosen = labelled.where("toxic IN (0, 1)").withColumn("toxic", F.col("toxic").cast("int"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", F.xxhash64("text")).limit(sample).select("text", "toxic")
-    got = chosen.coalesce(1).mapInArrow(run, "at long, w float").toArrow()
+    chosen = labelled.select("text", F.col("toxic").cast("int").alias("toxic"))
+    got = chosen.repartition(1).mapInArrow(run, "at long, w float").toArrow()
     weights = np.zeros((1 << BITS) + 1, np.float32)
     weights[got.column(0).to_numpy()] = got.column(1).to_numpy()
     return weights
@@ -147,13 +151,13 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         for batch in batches:
             ids = batch.column(0)
             for i, j, data, offsets in text_chunks(batch):
-                word, head, row, start, end = sentence_words(data, offsets)
+                word, own, row, start, end = sentence_words(data, offsets)
                 n = j - i
                 clean = np.zeros(n)
                 count = np.bincount(row, minlength=n)
                 best, a, b = np.full(n, np.nan), np.full(n, -1), np.full(n, -1)
-                if len(head):
-                    z = bias + np.add.reduceat(w[word].astype(np.float64), head)
+                if len(row):
+                    z = bias + np.bincount(own, w[word], len(row))
                     clean = np.bincount(row, sentence_log_clean(z), n)
                     order = np.lexsort((-start, z, row))
                     last = order[np.r_[row[order][1:] != row[order][:-1], True]]
@@ -169,9 +173,12 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     return out.withColumn("held_out", held_out(5, 0)).select(*(x.split()[0] for x in SCHEMA.split(", ")))
 
 
-def classify(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """Trains on the labelled documents that are not held out and scores all of docs.
+def classify(docs: DataFrame, labels: DataFrame, sample: int = 12_000, **parameters) -> DataFrame:
+    """Trains on labelled documents that are not held out and scores all of docs.
 
-    labels: doc_id, toxic; a document with several labels is learned from once for each."""
-    known = labels.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(~held_out(5, 0))
-    return score(docs, train(id_text(docs).join(known, "doc_id"), **parameters))
+    labels: doc_id, toxic; a document with several labels is learned from once for each value, and labels other
+    than 0 and 1 teach nothing. `sample` bounds the labels that are learned from, those of the smallest
+    hashes of doc_id, and so the memory of the one task that fits (about 50 MB of text); it bounds nothing else."""
+    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(~held_out(5, 0)).distinct()
+    # at most `sample` + 1 rows of two numbers, so they can be sent to every task
+    return score(docs, train(id_text(docs).join(F.broadcast(least_hashed(known, sample)), "doc_id"), **parameters))
