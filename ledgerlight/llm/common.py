@@ -30,9 +30,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_text(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone, null texts as empty ones; rows without doc_id name no document and are left out."""
-    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def id_text(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, text and the carried columns, null texts as empty ones; rows without doc_id name no document and are left out."""
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carried)
 
 
 def shared_dir(spark: SparkSession) -> str:

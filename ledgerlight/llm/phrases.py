@@ -98,32 +98,33 @@ def shard(rows: pa.Table, window: int) -> list[tuple[int, int]]:
     return out
 
 
-def remove(docs: DataFrame, window: int = 20, gram: int = 8, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, if with_text, kept (the words that stay, joined by a space).
+def remove(docs: DataFrame, window: int = 20, gram: int = 8, with_text: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, if with_text, kept; then the carried columns of docs.
 
     A word goes if a window of `window` words over it starts earlier too: in a smaller doc_id, or before it
-    in the same document. Null texts have no words. Rows with equal doc_id count as one document: places
-    found in any of them go from each; equal rows do not remove each other. Rows without doc_id are left out,
-    an empty table gives no rows, other columns are not read.
+    in the same document. kept_sha256 is of the words that stay, joined by a space; kept is these words
+    where any went, else the text as it was. Null texts have no words. Rows with equal doc_id count as one
+    document: places found in any of them go from each; equal rows do not remove each other. Rows without
+    doc_id are left out, an empty table gives no rows, columns that are not carried are not read.
     """
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = column(batch, "doc_id").tolist(), batch.column(batch.schema.get_field_index("text"))
-            gone = batch.column(batch.schema.get_field_index("gone"))
-            for i in range(0, len(ids), 512):
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
                 rows = []
-                for d, t, g in zip(ids[i : i + 512], texts.slice(i, 512).to_pylist(), gone.slice(i, 512)):
+                for d, t, g in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(part.num_columns - 1)):
                     words = t.encode().split()
-                    g = g.values.to_numpy() if g.is_valid else None
                     n = len(words)
-                    if g is not None:
-                        words = [words[k] for k in np.flatnonzero(~covered(g, n, window)).tolist()]
+                    if g.is_valid:
+                        words = [words[k] for k in np.flatnonzero(~covered(g.values.to_numpy(), n, window)).tolist()]
                     kept = b" ".join(words)
-                    rows.append((d, n, n - len(words), hashlib.sha256(kept).hexdigest(), *([kept.decode()] * with_text)))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
+                    rows.append((d, n, n - len(words), hashlib.sha256(kept).hexdigest(), *([kept.decode() if len(words) < n else t] * with_text)))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(zip(*rows), kinds)), *part.columns[2:-1]], names=[*names, *carried])
 
-    found = removals(id_text(docs), Words, window, gram, True, located(window))
-    return found.mapInArrow(run, SCHEMA + ", kept string" * with_text)
+    given = id_text(docs, *carried)
+    found = removals(given, Words, window, gram, True, located(window)).select("doc_id", "text", *carried, "gone")
+    schema = SCHEMA + ", kept string" * with_text + "".join(f", `{c}` {given.schema[c].dataType.simpleString()}" for c in carried)
+    return found.mapInArrow(run, schema)

@@ -160,14 +160,15 @@ def fetched(unit, window: int) -> Callable:
 
 
 def removals(docs: DataFrame, unit, window: int, gram: int, keep_first: bool, decide: Callable) -> DataFrame:
-    """docs (doc_id, text) with gone: packed places of windows to remove, or null.
+    """docs (doc_id, text and more) with gone: packed places of windows to remove, or null.
 
     decide: batches (anchor, doc_id, place, what, text), sorted by anchor, to batches (doc_id, place)."""
     p = parts(docs.sparkSession)
-    rows = docs.mapInArrow(anchored(unit, window, gram), "anchor long, content long, doc_id long, place long")
+    plain = docs.select("doc_id", "text")
+    rows = plain.mapInArrow(anchored(unit, window, gram), "anchor long, content long, doc_id long, place long")
     known = saved(rows.repartition(p, "anchor").mapInArrow(met(keep_first), "anchor long, doc_id long, place long, what int"))
     asked = known.where(F.col("what") != GONE).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "what")).alias("asked"))
-    texts = docs.join(asked, "doc_id").mapInArrow(fetched(unit, window), "anchor long, doc_id long, place long, what int, text binary")
+    texts = plain.join(asked, "doc_id").mapInArrow(fetched(unit, window), "anchor long, doc_id long, place long, what int, text binary")
     decided = texts.repartition(p, "anchor").sortWithinPartitions("anchor").mapInArrow(decide, "doc_id long, place long")
     gone = known.where(F.col("what") == GONE).select("doc_id", "place").union(decided).groupBy("doc_id").agg(F.collect_list("place").alias("gone"))
     return docs.join(gone, "doc_id", "left")

@@ -8,12 +8,12 @@ Words and their beginnings, lower-cased and hashed, are what has weights; a text
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Spans, byte_symbols, id_text, least_hashed, lowered, mixed, text_chunks, word_spans
@@ -173,12 +173,37 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     return out.withColumn("held_out", held_out(5, 0)).select(*(x.split()[0] for x in SCHEMA.split(", ")))
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = 12_000, **parameters) -> DataFrame:
-    """Trains on labelled documents that are not held out and scores all of docs.
+def trained(docs: DataFrame, labels: DataFrame, sample: int = 12_000, **parameters) -> np.ndarray:
+    """Weights learned from the labelled documents that are not held out.
 
-    labels: doc_id, toxic; a document with several labels is learned from once for each value, and labels other
-    than 0 and 1 teach nothing. `sample` bounds the labels that are learned from, those of the smallest
+    labels: doc_id, toxic; a document with several labels is learned from once for each value, and labels
+    other than 0 and 1 teach nothing. `sample` bounds the labels that are learned from, those of the smallest
     hashes of doc_id, and so the memory of the one task that fits (about 50 MB of text); it bounds nothing else."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(~held_out(5, 0)).distinct()
     # at most `sample` + 1 rows of two numbers, so they can be sent to every task
-    return score(docs, train(id_text(docs).join(F.broadcast(least_hashed(known, sample)), "doc_id"), **parameters))
+    return train(id_text(docs).join(F.broadcast(least_hashed(known, sample)), "doc_id"), **parameters)
+
+
+def classify(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
+    """Trains on labels and scores all of docs; see trained and score."""
+    return score(docs, trained(docs, labels, **parameters))
+
+
+def probability(weights: np.ndarray, spark: SparkSession):
+    """A column function: the score of a text column, so that rows can be filtered as they are; a null text is empty."""
+    shared = spark.sparkContext.broadcast(weights)
+
+    @F.pandas_udf("double")
+    def of(text: pd.Series) -> pd.Series:
+        w = shared.value
+        bias, out = float(w[-1]), np.zeros(len(text))
+        batch = pa.RecordBatch.from_arrays([pa.array(text.fillna(""), pa.large_string())], names=["text"])
+        for i, j, data, offsets in text_chunks(batch):
+            word, own, row, _, _ = sentence_words(data, offsets)
+            z = bias + np.bincount(own, w[word], len(row)) if len(row) else np.zeros(0)
+            clean = np.bincount(row, sentence_log_clean(z), j - i) if len(row) else np.zeros(j - i)
+            clean[np.bincount(row, minlength=j - i) == 0] = -np.logaddexp(0, bias)
+            out[i:j] = np.clip(-np.expm1(clean), 0, 1)
+        return pd.Series(out)
+
+    return of
