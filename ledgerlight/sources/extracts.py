@@ -1,0 +1,135 @@
+"""Extracts: many files of slightly different schemas, two classes, and the sinks of reports."""
+
+from __future__ import annotations
+
+import json
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from ..functions.clean import account_key, is_date, is_numeric, number, parse_date
+
+
+def read_any(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """Parquet, CSV, JSON or ORC by extension; a folder is parquet. A schema is better than inference for texts."""
+    kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    if kind in ("csv", "txt"):
+        return reader.csv(path, header=True, inferSchema=schema is None, samplingRatio=None if schema is not None else 0.1)
+    if kind in ("json", "ndjson"):
+        return reader.json(path)
+    if kind == "orc":
+        return reader.orc(path)
+    return reader.parquet(path)
+
+
+def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    if a == b:
+        return a
+    if is_numeric(a) and is_numeric(b):
+        return T.DoubleType()
+    return T.TimestampType() if is_date(a) and is_date(b) else T.StringType()
+
+
+def union_relaxed(frames: list[DataFrame]) -> DataFrame:
+    """By name; missing columns are null, differing types meet in one that holds both."""
+    if not frames:
+        raise ValueError("no files to read")
+    kinds: dict[str, T.DataType] = {}
+    for f in frames:
+        for x in f.schema:
+            kinds[x.name] = common_type(kinds.get(x.name, x.dataType), x.dataType)
+    same = [f.select(*(F.col(x.name).cast(kinds[x.name]).alias(x.name) for x in f.schema)) for f in frames]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), same).select(*kinds)
+
+
+def scan(spark: SparkSession, paths: list[str], rename: dict[str, str] | None = None) -> DataFrame:
+    return union_relaxed([read_any(spark, p).withColumnsRenamed(rename or {}) for p in sorted(paths)])
+
+
+def harmonise(fraud: DataFrame, goods: DataFrame) -> DataFrame:
+    """fraud with its columns in the types of goods; what does not convert is null."""
+    def cast(name: str):
+        c, kind = F.col(name), fraud.schema[name].dataType
+        if name not in goods.columns:
+            return c
+        want = goods.schema[name].dataType
+        if is_numeric(want):
+            return number(c).alias(name)
+        if is_date(want):
+            return parse_date(c, kind).cast(want).alias(name)
+        return c.cast("string").alias(name)
+
+    return fraud.select(*map(cast, fraud.columns))
+
+
+def require(df: DataFrame, columns: list[str]) -> DataFrame:
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"columns are missing: {', '.join(missing)}")
+    return df
+
+
+def without_accounts(goods: DataFrame, fraud: DataFrame, account: str) -> DataFrame:
+    """Rows of goods whose account is not one of fraud; rows without account stay."""
+    known = fraud.select(account_key(F.col(account)).alias("_account")).where("_account IS NOT NULL").distinct()
+    return goods.withColumn("_account", account_key(F.col(account))).join(known, "_account", "left_anti").drop("_account")
+
+
+def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row per key, the first in the given order."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_first", F.row_number().over(w)).where("_first = 1").drop("_first")
+
+
+def labelled(goods: DataFrame, fraud: DataFrame, account: str, label: str = "_label", distinct: bool = True) -> DataFrame:
+    """Both classes in one table: union by name, equal rows once, goods rows of fraud accounts out."""
+    fraud = harmonise(fraud, goods)
+    both = union_relaxed([goods.withColumn(label, F.lit(0)), fraud.withColumn(label, F.lit(1))])
+    both = both.dropDuplicates() if distinct else both
+    kept = without_accounts(both.where(F.col(label) == 0), fraud, account)
+    return kept.unionByName(both.where(F.col(label) == 1))
+
+
+def hash_sample(df: DataFrame, keys: list[str], fraction: float, seed: int = 0) -> DataFrame:
+    """Rows whose hashed key falls under the fraction: the same ones in every run, all rows of a key together."""
+    return df.where(F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(10_000_000)) < int(fraction * 10_000_000))
+
+
+def sample_keeping_positives(df: DataFrame, label: str, keys: list[str], fraction: float, seed: int = 0) -> DataFrame:
+    return df.where(F.col(label) == 1).unionByName(hash_sample(df.where(F.coalesce(F.col(label), F.lit(0)) != 1), keys, fraction, seed))
+
+
+def inspect(df: DataFrame, rows: int = 5000, examples: int = 3) -> DataFrame:
+    """column, type, nulls, distinct values and examples over the first rows."""
+    head = df.limit(rows)
+    one = [
+        F.struct(F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("type"), F.sum(F.col(c).isNull().cast("long")).alias("nulls"), F.count_distinct(F.col(c)).alias("distinct"), F.slice(F.sort_array(F.collect_set(F.col(c).cast("string"))), 1, examples).alias("examples"))
+        for c in df.columns
+    ]
+    return head.agg(F.array(*one).alias("x")).select(F.inline("x"))
+
+
+def write(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+    """Parquet, CSV or JSON by extension."""
+    kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    w = df.write.mode("overwrite")
+    w = w.partitionBy(*partition_by) if partition_by else w
+    w.csv(path, header=True) if kind == "csv" else w.json(path) if kind == "json" else w.parquet(path)
+
+
+def markdown(df: DataFrame, columns: list[str] | None = None, rows: int = 1000) -> str:
+    """A report table; reports are small, and at most `rows` rows are shown."""
+    columns = columns or df.columns
+    def shown(x):
+        return "" if x is None else f"{x:.4g}" if isinstance(x, float) else str(x).replace("|", "\\|")
+
+    lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
+    return "\n".join(lines + ["| " + " | ".join(shown(r[c]) for c in columns) + " |" for r in df.select(*columns).limit(rows).collect()])
+
+
+def report_json(df: DataFrame, rows: int = 1000) -> str:
+    return json.dumps([r.asDict(True) for r in df.limit(rows).collect()], default=str, indent=1)
