@@ -103,7 +103,7 @@ class Recipe:
     dates: list[str] = field(default_factory=list)
 
     def dumps(self) -> str:
-        return json.dumps(asdict(self), sort_keys=True)
+        return json.dumps(asdict(self))
 
     @classmethod
     def loads(cls, text: str) -> "Recipe":

@@ -76,7 +76,7 @@ def joined(a: Rule, b: Rule) -> Rule | None:
             if lo is not None and hi is not None and lo >= hi:
                 return None
         out[c] = (lo, hi, null_ok)
-    return None if out == a.bounds or out == b.bounds else Rule(out)
+    return None if out == a.bounds or (a.bounds and out == b.bounds) else Rule(out)
 
 
 def beam(df: DataFrame, label: str, items: dict[str, Rule], width: int = 30, depth: int = 3, exponent: float = 0.5, least: int = 30) -> list[tuple[Rule, float, int, int]]:
