@@ -21,7 +21,7 @@ def cell(x):
 
 def rows(df, floats):
     df = df[sorted(df.columns)]
-    return sorted(tuple(cell(float(x)) if c in floats and cell(x) != "~" else cell(x) for c, x in zip(df.columns, r)) for r in df.values.tolist())
+    return sorted(tuple(cell(float(x)) if c in floats and cell(x) != "~" else cell(x) for c, x in zip(df.columns, r)) for r in df.astype(object).values.tolist())
 
 
 @pytest.fixture(scope="module")
