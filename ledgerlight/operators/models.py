@@ -189,3 +189,145 @@ def choose_k(df: DataFrame, key: str, vector: str, ks: range, rounds: int = 2, e
         sizes = full.groupBy("a").count().agg(F.min("count"), F.sum("count")).first()
         rows.append((k, float(np.mean(aris)), float(sizes[0] / max(sizes[1], 1))))
     return df.sparkSession.createDataFrame(rows, "k int, ari double, least_share double")
+
+
+def quantile_grid(df: DataFrame, features: list[str], points: int = 101) -> dict[str, list[float]]:
+    """Quantiles of each feature, for rank_gauss; a few numbers per feature."""
+    share = [k / (points - 1) for k in range(points)]
+    r = df.agg(*(F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, share))).alias(c) for c in features)).first()
+    return {c: [float(x) for x in (r[c] or [0.0, 0.0])] for c in features}
+
+
+def rank_gauss(df: DataFrame, grid: dict[str, list[float]], clip: float = 5.0) -> DataFrame:
+    """Each feature as the normal score of its place on the frozen grid of quantiles; nulls stay."""
+    def scored(c: str):
+        knots = np.array(grid[c])
+
+        def run(x: pd.Series) -> pd.Series:
+            from statistics import NormalDist
+
+            lo, hi = np.interp(x, knots, np.linspace(0, 1, len(knots))), 1 - np.interp(-x, -knots[::-1], np.linspace(0, 1, len(knots)))
+            p, inv = np.clip((lo + hi) / 2, 1e-7, 1 - 1e-7), NormalDist().inv_cdf
+            return pd.Series([None if np.isnan(v) else max(-clip, min(clip, inv(v))) for v in p], dtype=float)
+
+        return F.pandas_udf(run, "double")(F.col(c).cast("double"))
+
+    return df.withColumns({c: scored(c) for c in grid})
+
+
+def supervised_axis(df: DataFrame, features: list[str], label: str, key: str, k: int = 3, weight: float = 0.25) -> DataFrame:
+    """key, axis: the log-odds of a balanced logistic fit out of fold, standardised, times the weight."""
+    from pyspark.ml.classification import LogisticRegression
+
+    data = df.fillna(0.0, subset=features).withColumn("_y", F.col(label).cast("double")).withColumn("_fold", F.pmod(F.xxhash64(key), F.lit(k)))
+    rate = data.agg(F.avg("_y")).first()[0] or 0.5
+    data = data.withColumn("_w", F.when(F.col("_y") == 1, 0.5 / max(rate, 1e-9)).otherwise(0.5 / max(1 - rate, 1e-9)))
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), StandardScaler(inputCol="_x", outputCol="_z", withMean=True), LogisticRegression(featuresCol="_z", labelCol="_y", weightCol="_w", regParam=1e-2)])
+    out = None
+    for fold in range(k):
+        part = pipe.fit(data.where(F.col("_fold") != fold)).transform(data.where(F.col("_fold") == fold)).select(key, vector_to_array("rawPrediction")[1].alias("m"))
+        out = part if out is None else out.unionByName(part)
+    stats_ = out.agg(F.avg("m").alias("a"), F.greatest(F.coalesce(F.stddev_pop("m"), F.lit(0.0)), F.lit(1e-9)).alias("s"))
+    return out.join(F.broadcast(stats_)).select(key, ((F.col("m") - F.col("a")) / F.col("s") * weight).alias("axis"))
+
+
+def diagonal_mixture(df: DataFrame, vector: str, k: int, rounds: int = 30, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, means, variances) of Gaussians with diagonal covariance by EM: each round is one aggregation of sufficient
+    statistics over all rows; only k x (2 d + 1) numbers come to the driver."""
+    from pyspark.ml.functions import array_to_vector
+
+    start = KMeans(featuresCol="_x", k=k, seed=seed, maxIter=5).fit(df.select(array_to_vector(vector).alias("_x")))
+    means = np.array(start.clusterCenters(), dtype=float)
+    k, d = means.shape
+    spread = df.select(F.posexplode(vector).alias("p", "x")).groupBy("p").agg(F.var_pop("x").alias("v")).orderBy("p").collect()
+    variances = np.tile(np.maximum([r.v or 0.0 for r in spread], 1e-6), (k, 1))
+    weights = np.full(k, 1 / k)
+    for _ in range(rounds):
+        w, m, v = weights, means, variances
+
+        def run(batches, w=w, m=m, v=v):
+            total = np.zeros((k, 2 * d + 1))
+            for rows in batches:
+                x = np.stack(rows[vector].to_numpy()).astype(float) if len(rows) else np.zeros((0, d))
+                p = posterior(x, w, m, v)[0]
+                total[:, 0] += p.sum(axis=0)
+                total[:, 1 : d + 1] += p.T @ x
+                total[:, d + 1 :] += p.T @ (x * x)
+            yield pd.DataFrame({"k": np.arange(k), "s": list(total)})
+
+        parts = df.select(vector).mapInPandas(run, "k int, s array<double>").select("k", F.posexplode("s").alias("p", "x")).groupBy("k", "p").agg(F.sum("x").alias("x")).collect()
+        total = np.zeros((k, 2 * d + 1))
+        for r in parts:
+            total[r.k, r.p] = r.x
+        n = np.maximum(total[:, :1], 1e-9)
+        new = total[:, 1 : d + 1] / n
+        variances = np.maximum(total[:, d + 1 :] / n - new * new, 1e-6)
+        weights = (total[:, 0] + 1e-9) / (total[:, 0] + 1e-9).sum()
+        moved, means = np.abs(new - means).max(), new
+        if moved < 1e-6:
+            break
+    return weights, means, variances
+
+
+def posterior(x: np.ndarray, weights: np.ndarray, means: np.ndarray, variances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior shares of the components and the log density of each row."""
+    log = np.log(weights) - 0.5 * (np.log(2 * np.pi * variances).sum(axis=1) + (((x[:, None, :] - means) ** 2) / variances).sum(axis=2))
+    top = log.max(axis=1, keepdims=True) if len(x) else np.zeros((0, 1))
+    e = np.exp(log - top)
+    return e / np.maximum(e.sum(axis=1, keepdims=True), 1e-300), (top[:, 0] + np.log(np.maximum(e.sum(axis=1), 1e-300)))
+
+
+def mixture_assign(df: DataFrame, key: str, vector: str, mixture: tuple, least_conf: float = 0.70, least_density: float | None = None) -> DataFrame:
+    """key, cluster, conf, density, distance (Mahalanobis in its own cluster); -1 where the posterior or the density is too low."""
+    w, m, v = mixture
+
+    def run(batches):
+        for rows in batches:
+            x = np.stack(rows[vector].to_numpy()).astype(float) if len(rows) else np.zeros((0, m.shape[1]))
+            p, density = posterior(x, w, m, v)
+            c = p.argmax(axis=1) if len(x) else np.zeros(0, int)
+            conf = p[np.arange(len(x)), c]
+            far = np.sqrt((((x - m[c]) ** 2) / v[c]).sum(axis=1))
+            ok = (conf >= least_conf) & (density >= (-np.inf if least_density is None else least_density))
+            yield pd.DataFrame({key: rows[key], "cluster": np.where(ok, c, -1), "conf": conf, "density": density, "distance": far})
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, vector).mapInPandas(run, f"{key} {kind}, cluster int, conf double, density double, distance double")
+
+
+def residualised(df: DataFrame, features: list[str], flags: list[str]) -> DataFrame:
+    """Features less their least-squares fit on the flags: the sums of products come from one pass, the small system is solved on the driver."""
+    cols = [F.lit(1.0), *(F.col(c).cast("double") for c in flags)]
+    ys = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]
+    n = len(cols)
+    r = df.agg(*(F.sum(a * b).alias(f"g{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols)), *(F.sum(a * y).alias(f"y{i}_{j}") for i, a in enumerate(cols) for j, y in enumerate(ys))).first()
+    g = np.array([[r[f"g{i}_{j}"] or 0.0 for j in range(n)] for i in range(n)])
+    b = np.array([[r[f"y{i}_{j}"] or 0.0 for j in range(len(ys))] for i in range(n)])
+    beta = np.linalg.lstsq(g, b, rcond=None)[0]
+    return df.withColumns({c: ys[j] - sum((cols[i] * float(beta[i, j]) for i in range(1, n)), F.lit(float(beta[0, j]))) for j, c in enumerate(features)})
+
+
+def ablation(df: DataFrame, rungs: dict[str, list[str]], label: str, account: str, k: int = 2, **parameters) -> DataFrame:
+    """rung, auc, average_precision out of fold for growing sets of features."""
+    from .curves import auc, average_precision
+
+    rows = []
+    for name, features in rungs.items():
+        scored = out_of_fold(df, features, label, account, k, **parameters).select("score", F.col(label).cast("int").alias(label))
+        rows.append((name, float(auc(scored, ["score"], label).first()["auc"]), float(average_precision(scored, "score", label).first()[0])))
+    return df.sparkSession.createDataFrame(rows, "rung string, auc double, average_precision double")
+
+
+def elasticity(model, df: DataFrame, key: str, features: list[str], assign, steps: tuple[float, ...] = (-1.0, -0.5, 0.5, 1.0)) -> DataFrame:
+    """feature, step, moved: the share of rows whose cluster changes when a feature moves by so many standard deviations.
+
+    assign: DataFrame (key, features) -> (key, cluster)."""
+    spread = df.agg(*(F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias(c) for c in features)).first()
+    base = assign(df).select(key, F.col("cluster").alias("_was"))
+    out = None
+    for c in features:
+        for s in steps:
+            t = assign(df.withColumn(c, F.col(c) + s * float(spread[c]))).join(base, key)
+            one = t.agg(F.lit(c).alias("feature"), F.lit(float(s)).alias("step"), F.avg((F.col("cluster") != F.col("_was")).cast("double")).alias("moved"))
+            out = one if out is None else out.unionByName(one)
+    return out

@@ -189,3 +189,78 @@ def against_original(new: DataFrame, old: DataFrame) -> DataFrame:
     """new summary with the original's fraud share and the shift."""
     o = old.select("cluster", F.col("fraud_pct_of_cluster").alias("original_pct"))
     return new.join(o, "cluster", "left").withColumn("fraud_pct_shift", F.col("fraud_pct_of_cluster") - F.col("original_pct")).select("cluster", "fraud_pct_of_cluster", "original_pct", "fraud_pct_shift")
+
+
+def binary_rates(df: DataFrame, flags: list[str], cluster: Column, label: Column, least: float = 0.1, top: int = 25) -> DataFrame:
+    """feature, its rate in the cluster, among frauds and among goods, and smoothed ratios; the highest first."""
+    c, y = F.coalesce(cluster, F.lit(False)), F.coalesce(label, F.lit(False))
+    rate = lambda x, cond: F.coalesce(F.avg(F.when(cond, F.col(x).cast("double"))), F.lit(0.0))
+    rows = F.array(*(F.struct(F.lit(x).alias("feature"), rate(x, c).alias("cluster_rate"), rate(x, y).alias("fraud_rate"), rate(x, ~y).alias("good_rate")) for x in flags))
+    t = df.agg(rows.alias("r")).select(F.inline("r")).where(F.col("cluster_rate") >= least)
+    t = t.withColumn("ratio_vs_fraud", (F.col("cluster_rate") + 1e-3) / (F.col("fraud_rate") + 1e-3)).withColumn("ratio_vs_good", (F.col("cluster_rate") + 1e-3) / (F.col("good_rate") + 1e-3))
+    return t.orderBy(F.desc("ratio_vs_good"), "feature").limit(top)
+
+
+def recency(df: DataFrame, cluster: str, day: str, quantile: float = 0.75) -> DataFrame:
+    """cluster, ratio: its share of rows after the quantile of days over the overall share."""
+    x = df.where(F.col(day).isNotNull()).select(F.col(cluster).alias("cluster"), F.unix_micros(F.col(day).cast("timestamp")).cast("double").alias("t"))
+    cut = x.agg(F.percentile("t", F.lit(quantile)).alias("cut"))
+    x = x.join(F.broadcast(cut)).withColumn("late", (F.col("t") > F.col("cut")).cast("double"))
+    g = x.groupBy("cluster").agg(F.sum("late").alias("l"), F.count("*").alias("n"))
+    every = Window.partitionBy()
+    return g.select("cluster", ((F.col("l") / F.col("n")) / F.greatest(F.sum("l").over(every) / F.sum("n").over(every), F.lit(1e-12))).alias("ratio"))
+
+
+def overlay(df: DataFrame, segment: str, flags: list[str]) -> DataFrame:
+    """segment, mo, coverage (share of the segment), recall (share of the behaviour), enrichment over all rows."""
+    long = df.select(F.col(segment).alias("segment"), F.inline(F.array(*(F.struct(F.lit(c).alias("mo"), F.col(c).cast("double").alias("h")) for c in flags))))
+    g = long.groupBy("segment", "mo").agg(F.sum("h").alias("h"), F.count("*").alias("n"))
+    w = Window.partitionBy("mo")
+    cover = F.col("h") / F.col("n")
+    return g.select("segment", "mo", cover.alias("coverage"), (F.col("h") / F.greatest(F.sum("h").over(w), F.lit(1.0))).alias("recall"), (cover / F.greatest(F.sum("h").over(w) / F.sum("n").over(w), F.lit(1e-12))).alias("enrichment"))
+
+
+def confusion(df: DataFrame, true: str, predicted: str) -> DataFrame:
+    """true, predicted, n, share of the true class, and whether they agree."""
+    g = df.groupBy(F.col(true).alias("true"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+    return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("true"))).withColumn("agree", F.col("true").eqNullSafe(F.col("predicted")).cast("int"))
+
+
+def by_split(df: DataFrame, group: str, split: str, values: list) -> DataFrame:
+    """Rows of each group in each split, a column for each."""
+    return df.groupBy(F.col(group).alias("group")).agg(*(F.sum((F.col(split) == v).cast("long")).alias(f"n_{v}") for v in values))
+
+
+def prevalence(df: DataFrame, label: str, n_book: int, n_fraud_book: int) -> DataFrame:
+    """base rate here and in the book, and how much richer this sample is."""
+    return df.agg(F.avg(F.col(label).cast("double")).alias("base_rate")).select("base_rate", F.lit(n_fraud_book / n_book).alias("book_rate"), (F.col("base_rate") / F.lit(n_fraud_book / n_book)).alias("enrichment"))
+
+
+def state_descriptions(df: DataFrame, state: str, features: list[str], top: int = 3) -> DataFrame:
+    """state, share, and the features whose means lie farthest from all rows', in standard deviations."""
+    long = unpivot(df, [state], features).withColumnRenamed(state, "state")
+    w = Window.partitionBy("column")
+    g = long.groupBy("column", "state").agg(F.sum("value").alias("s"), F.count("value").alias("n"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    n = F.sum("n").over(w)
+    mean = F.sum("s").over(w) / n
+    sd = F.sqrt(F.greatest(F.sum("q").over(w) / n - mean * mean, F.lit(0.0)))
+    g = g.withColumn("z", (F.col("s") / F.col("n") - mean) / F.greatest(sd, F.lit(1e-9))).withColumn("share", F.col("n") / n)
+    g = g.withColumn("r", F.row_number().over(Window.partitionBy("state").orderBy(F.desc(F.round(F.abs("z"), 9)), "column"))).where(F.col("r") <= top)
+    return g.groupBy("state").agg(F.max("share").alias("share"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "column", "z"))), lambda x: F.concat(F.when(x["z"] >= 0, "high ").otherwise("low "), x["column"])), ", ").alias("description"))
+
+
+def verdicts(summary: DataFrame, least_lift: float = 2.0, least_recall: float = 0.5, least_stability: float = 0.6, most_account: float = 0.5) -> DataFrame:
+    """Whether a segment is describable, enriched, stable and not one account's; a candidate is all of these."""
+    s = summary.withColumns({
+        "describable": (F.col("rule_recall") >= least_recall).cast("int"), "enriched": (F.col("lift") >= least_lift).cast("int"),
+        "stable": (F.col("stability") >= least_stability).cast("int"), "spread": (F.col("top_share") <= most_account).cast("int"),
+    })
+    return s.withColumn("candidate", F.col("describable") * F.col("enriched") * F.col("stable") * F.col("spread"))
+
+
+def novelty(df: DataFrame, value: str, is_ref: str) -> DataFrame:
+    """df with novelty: the share of references whose value is strictly lower."""
+    ref = F.col(is_ref).cast("long")
+    w = Window.orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
+    below = F.sum(ref).over(w) - F.sum(ref).over(Window.partitionBy(value))
+    return df.withColumn("novelty", below / F.greatest(F.sum(ref).over(Window.partitionBy()), F.lit(1)))

@@ -136,3 +136,58 @@ def merge_groups(vectors: dict[int, list[float]], cut: float = 0.2) -> dict[int,
             break
         groups[best[1]] += groups.pop(best[2])
     return {names[i]: k for k, g in enumerate(sorted(groups, key=min)) for i in g}
+
+
+def nearest_profiles(rows: DataFrame, group: str, vector: str, profiles: DataFrame) -> DataFrame:
+    """For each group the profile (group, centroid) with the highest cosine of centred means."""
+    g = centroids(rows, group, vector)
+    mean = rows.select(F.posexplode(vector).alias("p", "x")).groupBy("p").agg(F.avg(F.col("x").cast("double")).alias("x")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("mean"))
+    less = lambda c: F.zip_with(c, F.col("mean"), lambda a, b: a - b)
+    t = against(g.join(F.broadcast(mean)), profiles.select(F.col("group").alias("profile"), F.col("centroid").alias("pc")))
+    t = t.select("group", "profile", stats.cosine(less(F.col("centroid")), less(F.col("pc"))).alias("cosine"))
+    r = F.row_number().over(Window.partitionBy("group").orderBy(F.desc(F.round("cosine", 12)), "profile"))
+    return t.withColumn("_r", r).where("_r = 1").drop("_r")
+
+
+def knn_mean_distance(rows: DataFrame, references: DataFrame, key: str, vector: str, k: int = 7) -> DataFrame:
+    """key, distance: the mean Euclidean distance to the k nearest references, itself excluded."""
+    refs = references.select(F.col(key).alias("_rk"), F.col(vector).alias("_rv"))
+    d = against(rows.select(F.col(key).alias("_k"), F.col(vector).alias("_v")), refs).where("_k <> _rk").select("_k", "_rk", stats.distance(F.col("_v"), F.col("_rv")).alias("d"))
+    r = F.row_number().over(Window.partitionBy("_k").orderBy("d", "_rk"))
+    return d.withColumn("_r", r).where(F.col("_r") <= k).groupBy(F.col("_k").alias(key)).agg(F.avg("d").alias("distance"))
+
+
+def learned_weights(pairs: DataFrame, blocks: list[str], same: str) -> dict[str, float]:
+    """Weights of distance blocks from a balanced logistic fit on pairs; negative ones are 0, and if all are, equal."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    n = pairs.agg(F.avg(F.col(same).cast("double"))).first()[0] or 0.5
+    data = pairs.select(*((-F.col(b)).alias(b) for b in blocks), F.col(same).cast("double").alias("label"))
+    data = data.withColumn("w", F.when(F.col("label") == 1, 0.5 / max(n, 1e-9)).otherwise(0.5 / max(1 - n, 1e-9)))
+    fit = Pipeline(stages=[VectorAssembler(inputCols=blocks, outputCol="x"), LogisticRegression(featuresCol="x", weightCol="w", regParam=1e-3)]).fit(data)
+    w = [max(0.0, float(x)) for x in fit.stages[-1].coefficients]
+    return dict(zip(blocks, w if any(w) else [1.0] * len(blocks)))
+
+
+def attention(df: DataFrame, features: list[str], label: str) -> dict[str, float]:
+    """Fisher's criterion of each feature, relative to the mean; one pass."""
+    y = F.col(label)
+    aggs = [a for c in features for k in (0, 1) for a in (F.avg(F.when(y == k, F.col(c))), F.var_pop(F.when(y == k, F.col(c))))]
+    r = df.agg(*(a.alias(f"a{i}") for i, a in enumerate(aggs))).first()
+    raw = {}
+    for i, c in enumerate(features):
+        m0, v0, m1, v1 = (r[4 * i + j] or 0.0 for j in range(4))
+        raw[c] = (m1 - m0) ** 2 / max(v0 + v1, 1e-12)
+    mean = sum(raw.values()) / max(len(raw), 1)
+    return {c: x / mean if mean > 0 else 1.0 for c, x in raw.items()}
+
+
+def sampled_pairs(df: DataFrame, key: str, group: str, per_row: int = 3, seed: int = 0) -> DataFrame:
+    """a, b: for each row the next few rows of its group in hashed order. A sampling operator."""
+    order = Window.partitionBy(group).orderBy(F.xxhash64(key, F.lit(seed)), key)
+    r = df.select(key, group, F.row_number().over(order).alias("_r"), F.count("*").over(Window.partitionBy(group)).alias("_n"))
+    steps = r.withColumn("_s", F.explode(F.array(*(F.lit(k) for k in range(1, per_row + 1))))).withColumn("_t", F.pmod(F.col("_r") - 1 + F.col("_s"), F.col("_n")) + 1)
+    other = r.select(F.col(key).alias("b"), F.col(group).alias("_g"), F.col("_r").alias("_t2"))
+    return steps.join(other, (F.col(group) == F.col("_g")) & (F.col("_t") == F.col("_t2"))).where(F.col(key) != F.col("b")).select(F.col(key).alias("a"), "b").distinct()

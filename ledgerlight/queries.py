@@ -681,3 +681,132 @@ def select_k(spark, d):
     b = _blocks(spark, d)
     e = models.whitened(b, [c for c in b.columns if c != "user_id"], 3)[1].select("user_id", "embedding")
     return models.choose_k(e, "user_id", "embedding", range(2, 4), rounds=1)
+
+
+# more of the same
+
+
+@query("SELECT o_orderkey, floor((epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1998-01-01 06:00:00')) / 86400e6)::BIGINT AS gap FROM orders")
+def whole_day_gaps(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", clean.whole_days_between(F.col("o_orderdate"), F.lit("1998-01-01 06:00:00")).alias("gap"))
+
+
+@query("SELECT sum(n)::BIGINT AS rows, count(*) AS accounts, round(avg(n), 6) AS rows_per_account, 0.0::DOUBLE AS missing, min(lo)::DATE AS first, max(hi)::DATE AS last, max(n) AS most, 1 AS intraday FROM (SELECT user_id, count(*) AS n, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY 1)")
+def input_profile(spark, d):
+    return r6(extracts.profile(ev(spark, d), "user_id", "ts"))
+
+
+@query(f"WITH {RW} SELECT o_custkey, max(y) AS label FROM rw GROUP BY 1")
+def mixed_labels(spark, d):
+    x = rw(spark, d)
+    return extracts.load_and_mix(x.where("y = 0").drop("y"), x.where("y = 1").drop("y"), "o_custkey", ["l_shipdate"])[1]
+
+
+@query(f"""WITH {RW}, f AS (SELECT y, o_orderpriority = '1-URGENT' AS c, (l_quantity > 25)::INT AS a, (l_tax = 0)::INT AS b FROM rw), g AS (SELECT 'half' AS feature, avg(CASE WHEN c THEN a END) AS cr, avg(CASE WHEN y = 1 THEN a END) AS fr, avg(CASE WHEN y = 0 THEN a END) AS gr FROM f UNION ALL SELECT 'free', avg(CASE WHEN c THEN b END), avg(CASE WHEN y = 1 THEN b END), avg(CASE WHEN y = 0 THEN b END) FROM f)
+SELECT feature, round(cr, 6) AS cluster_rate, round(fr, 6) AS fraud_rate, round(gr, 6) AS good_rate, round((cr + 1e-3) / (fr + 1e-3), 6) AS ratio_vs_fraud, round((cr + 1e-3) / (gr + 1e-3), 6) AS ratio_vs_good FROM g WHERE cr >= 0.1""")
+def signal_rates_binary(spark, d):
+    x = rw(spark, d).withColumns({"half": (F.col("l_quantity") > 25).cast("int"), "free": (F.col("l_tax") == 0).cast("int")})
+    return r6(segments.binary_rates(x, ["half", "free"], F.col("o_orderpriority") == "1-URGENT", F.col("y") == 1))
+
+
+@query("WITH c AS (SELECT quantile_cont(epoch_us(o_orderdate)::DOUBLE, 0.75) AS cut FROM orders), g AS (SELECT o_orderpriority AS cluster, sum((epoch_us(o_orderdate) > cut)::INT) AS l, count(*) AS n FROM orders, c GROUP BY 1) SELECT cluster, round((l / n) / (sum(l) OVER () / sum(n) OVER ()), 6) AS ratio FROM g")
+def recency_emergence(spark, d):
+    return r6(segments.recency(t(spark, d, "orders"), "o_orderpriority", "o_orderdate"))
+
+
+@query(f"""WITH {RW}, l AS (SELECT o_orderpriority AS segment, 'mo__BIG' AS mo, (l_quantity > 45)::INT AS h FROM rw UNION ALL SELECT o_orderpriority, 'mo__FREE', (l_tax = 0)::INT FROM rw), g AS (SELECT segment, mo, sum(h) AS h, count(*) AS n FROM l GROUP BY 1, 2)
+SELECT segment, mo, round(h / n, 6) AS coverage, round(h / sum(h) OVER w, 6) AS recall, round((h / n) / (sum(h) OVER w / sum(n) OVER w), 6) AS enrichment FROM g WINDOW w AS (PARTITION BY mo)""")
+def mo_overlay(spark, d):
+    return r6(segments.overlay(segments.behaviours(rw(spark, d), MOS), "o_orderpriority", ["mo__BIG", "mo__FREE"]))
+
+
+@query(f"""WITH {RW}, x AS (SELECT 'BIG' AS mo, y FROM rw WHERE l_quantity > 45 UNION ALL SELECT 'FREE', y FROM rw WHERE l_tax = 0 UNION ALL SELECT 'URGENT', y FROM rw WHERE o_orderpriority = '1-URGENT'), g AS (SELECT mo AS segment, sum(y) AS m, sum(1 - y) AS n FROM x GROUP BY 1), a AS (SELECT * FROM g UNION ALL SELECT 'TOTAL', sum(m), sum(n) FROM g), b AS (SELECT sum(m) AS tm, sum(n) AS tn FROM g)
+SELECT segment, m::BIGINT AS mule_no, round(m / greatest(tm, 1), 6) AS mule_pct, n::BIGINT AS good_no, round(n / greatest(tn, 1), 6) AS good_pct, round(m / (m + n), 6) AS hit_rate, round((m / (m + n)) / greatest(tm / (tm + tn), 1e-12), 6) AS lift, round(n * 2.0 / greatest(m, 1), 6) AS goods_per_mule_w, round(m / (m + n * 2.0), 6) AS hit_rate_w, round((m / (m + n * 2.0)) / greatest(tm / (tm + tn * 2.0), 1e-12), 6) AS lift_w FROM a, b""")
+def known_mo_report(spark, d):
+    from .plans import discovery
+
+    return r6(discovery.known_report(rw(spark, d), MOS, "y", 2.0))
+
+
+@query(f'WITH {EMB}, g AS (SELECT label AS "true", cluster AS predicted, count(*) AS n FROM a GROUP BY 1, 2) SELECT "true", predicted, n, round(n / sum(n) OVER (PARTITION BY "true"), 6) AS share, ("true" = predicted)::INT AS agree FROM g')
+def confusion_matrix(spark, d):
+    return r6(segments.confusion(_labelings(spark, d), "label", "cluster"))
+
+
+@query("SELECT c_mktsegment AS \"group\", sum((c_custkey % 2 = 0)::INT)::BIGINT AS n_0, sum((c_custkey % 2 = 1)::INT)::BIGINT AS n_1 FROM customer GROUP BY 1")
+def split_summary(spark, d):
+    return segments.by_split(t(spark, d, "customer").withColumn("s", F.col("c_custkey") % 2), "c_mktsegment", "s", [0, 1])
+
+
+@query(f"WITH {RW} SELECT round(avg(y), 6) AS base_rate, round(800 / 20000000, 6) AS book_rate, round(avg(y) / (800 / 20000000), 6) AS enrichment FROM rw")
+def prevalence(spark, d):
+    return r6(segments.prevalence(rw(spark, d), "y", 20_000_000, 800))
+
+
+@query("""WITH l AS (SELECT event_type AS state, 'value' AS c, value AS v FROM events UNION ALL SELECT event_type, 'hour', hour(ts) FROM events), s AS (SELECT c, avg(v) AS m, stddev_pop(v) AS sd, count(*) AS n FROM l GROUP BY c), g AS (SELECT state, l.c, (avg(v) - any_value(m)) / any_value(sd) AS z, count(*) / any_value(n) AS sh FROM l JOIN s ON l.c = s.c GROUP BY 1, 2)
+SELECT state, round(max(sh), 6) AS share, string_agg(CASE WHEN z >= 0 THEN 'high ' ELSE 'low ' END || c, ', ' ORDER BY round(abs(z), 9) DESC, c) AS description FROM g GROUP BY state""")
+def state_description(spark, d):
+    return r6(segments.state_descriptions(ev(spark, d).withColumn("hour", F.hour("ts")), "event_type", ["value", "hour"]))
+
+
+@query("SELECT c_custkey, round((SELECT count(*) FROM customer y WHERE y.c_custkey % 2 = 0 AND y.c_acctbal < x.c_acctbal) / (SELECT count(*) FROM customer WHERE c_custkey % 2 = 0), 6) AS novelty FROM customer x")
+def novelty_percentile(spark, d):
+    c = t(spark, d, "customer").withColumn("ref", (F.col("c_custkey") % 2 == 0).cast("int"))
+    return r6(segments.novelty(c, "c_acctbal", "ref").select("c_custkey", "novelty"))
+
+
+@query(f"WITH {SC}, g AS (SELECT n_chars AS s, sum(toxic) AS p, count(*) AS n FROM sc GROUP BY 1), c AS (SELECT s, sum(p) OVER (ORDER BY s DESC) AS cp, sum(n) OVER (ORDER BY s DESC) AS cn FROM g) SELECT min(s) AS threshold, max(cp)::BIGINT AS frauds, max(cn - cp)::BIGINT AS goods FROM c WHERE cn - cp <= 9 * cp")
+def cut_at_ratio(spark, d):
+    return curves.cut_at_ratio(sc(spark, d), "n_chars", "toxic", 9.0)
+
+
+@query("""WITH v AS (SELECT vec_id, label, unnest(range(64)) AS p, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT p, avg(x) AS x FROM v GROUP BY p), a AS (SELECT label AS g, v.p, avg(v.x) - any_value(m.x) AS x FROM v JOIN m ON v.p = m.p GROUP BY 1, 2), b AS (SELECT label AS h, v.p, avg(v.x) - any_value(m.x) AS x FROM v JOIN m ON v.p = m.p WHERE vec_id % 2 = 0 GROUP BY 1, 2),
+k AS (SELECT g, h, sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))) AS c FROM a JOIN b ON a.p = b.p GROUP BY 1, 2) SELECT g AS "group", h AS profile, round(c, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(c, 12) DESC, h) AS r FROM k) WHERE r = 1""")
+def nearest_mo_profile(spark, d):
+    e = t(spark, d, "embeddings")
+    return r6(similarity.nearest_profiles(e, "label", "embedding", similarity.centroids(e.where("vec_id % 2 = 0"), "label", "embedding")))
+
+
+@query("""WITH v AS (SELECT vec_id AS k, unnest(range(64)) AS p, unnest(embedding)::DOUBLE AS x FROM embeddings), d AS (SELECT a.k AS a, b.k AS b, sqrt(sum((a.x - b.x) ** 2)) AS d FROM v a JOIN v b ON a.p = b.p AND a.k <> b.k AND b.k % 5 = 0 GROUP BY 1, 2) SELECT a AS vec_id, round(avg(d), 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM d) WHERE r <= 7 GROUP BY a""")
+def knn_euclid(spark, d):
+    e = t(spark, d, "embeddings")
+    return r6(similarity.knn_mean_distance(e, e.where("vec_id % 5 = 0"), "vec_id", "embedding"))
+
+
+@query("SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean, round(max(o_totalprice), 4) AS most, round(coalesce(stddev_samp(o_totalprice), 0), 4) AS sd FROM orders GROUP BY 1")
+def baseline_aggregates(spark, d):
+    a = F.col("o_totalprice")
+    return t(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum(a), 2).alias("total"), F.round(F.avg(a), 4).alias("mean"), F.round(F.max(a), 4).alias("most"), F.round(F.coalesce(F.stddev_samp(a), F.lit(0.0)), 4).alias("sd"))
+
+
+@query()
+def rank_gauss(spark, d):
+    c = t(spark, d, "customer").select("c_custkey", "c_acctbal")
+    return r6(models.rank_gauss(c, models.quantile_grid(c, ["c_acctbal"])))
+
+
+@query()
+def supervised_axis(spark, d):
+    x = t(spark, d, "customer").withColumns({"y": (F.col("c_acctbal") > 4000).cast("int"), "u": F.col("c_acctbal") / 100 + F.col("c_nationkey")})
+    return r6(models.supervised_axis(x, ["u", "c_nationkey"], "y", "c_custkey"), 3)
+
+
+@query()
+def mixture_segments(spark, d):
+    e = t(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("v"))
+    return r6(models.mixture_assign(e, "vec_id", "v", models.diagonal_mixture(e, "v", 3, rounds=5)), 4)
+
+
+@query()
+def residualised(spark, d):
+    x = segments.behaviours(rw(spark, d), MOS)
+    return r6(models.residualised(x, ["l_quantity"], ["mo__BIG", "mo__FREE"]).groupBy("mo__BIG", "mo__FREE").agg(F.avg("l_quantity").alias("mean"), F.count("*").alias("n")), 4)
+
+
+@query()
+def block_weights(spark, d):
+    e = t(spark, d, "customer").withColumn("g", F.col("c_nationkey") % 5)
+    pairs = similarity.sampled_pairs(e, "c_custkey", "g")
+    a = similarity.gower(pairs, e, "c_custkey", ["c_acctbal"], ["c_mktsegment"]).withColumn("same", (F.col("gower") < 0.3).cast("int"))
+    w = similarity.learned_weights(a.withColumn("other", F.pmod(F.col("a") + F.col("b"), F.lit(7)) / 7), ["gower", "other"], "same")
+    return spark.createDataFrame([(k, round(v, 3)) for k, v in w.items()], "block string, weight double")
