@@ -27,7 +27,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group that links on five-word shingles at 0.75 connect."""
     out = jaccard.similar(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(out, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(out.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def passages_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ def odd_bytes(data: np.ndarray) -> np.ndarray:
 
 class Encoder:
     #: Pieces remembered at once (about 40 bytes each), and pieces given to the library in one text.
-    LIMIT, LINES = 3_000_000, 4096
+    LIMIT, LINES = 1_000_000, 4096
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)

@@ -20,6 +20,8 @@ from .common import Spans, byte_symbols, id_text, least_hashed, lowered, mixed,
 
 #: Weights; words share one where their hashes meet. Lengths in bytes of the beginnings that have weights of their own.
 BITS, STEMS = 18, (4, 5, 6)
+#: A sentence's log-odds where nothing has been learned.
+PRIOR = -8.0
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_sentences long, worst_score double, worst_start long, worst_end long"
 _EDGE = np.zeros(256, bool)
 _EDGE[[ord(c) for c in "\"'()[]{}<>,;:.!?*_-"]] = True
@@ -67,40 +69,50 @@ def sentence_log_clean(z: np.ndarray) -> np.ndarray:
     return -np.logaddexp(0, z)
 
 
-def screened(word: np.ndarray, row: np.ndarray, y: np.ndarray, least_z: float) -> np.ndarray:
+def telling(texts: list[pa.RecordBatch], labels: list[np.ndarray], least_z: float) -> np.ndarray:
     """Which words stand in toxic documents more or less often than chance has it, by a z of two shares."""
-    pair = np.unique(row.astype(np.int64) * (1 << BITS) + word)
-    word, toxic = pair % (1 << BITS), y[pair >> BITS]
-    n1, n0 = max(y.sum(), 1), max(len(y) - y.sum(), 1)
-    a, b = np.bincount(word, toxic, 1 << BITS), np.bincount(word, 1 - toxic, 1 << BITS)
+    size = 1 << BITS
+    a, b, n1, n0 = np.zeros(size), np.zeros(size), 0.0, 0.0
+    for batch, y in zip(texts, labels):
+        n1, n0 = n1 + y.sum(), n0 + len(y) - y.sum()
+        for i, _, data, offsets in text_chunks(batch):
+            word, own, row, *_ = sentence_words(data, offsets)
+            pair = np.unique(row[own] * size + word)
+            toxic = y[i + (pair >> BITS)]
+            a += np.bincount(pair % size, toxic, size)
+            b += np.bincount(pair % size, 1 - toxic, size)
+    n1, n0 = max(n1, 1), max(n0, 1)
     share = (a + b + 1) / (n1 + n0 + 2)
     z = ((a + share) / (n1 + 1) - (b + share) / (n0 + 1)) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
     return (np.abs(z) >= least_z) & (a + b >= 2)
 
 
 def fitted(batches: Iterator[pa.RecordBatch], steps: int, rate: float, l2: float, least_z: float) -> np.ndarray:
-    """Weights and, last, the bias, from text and toxic."""
-    words, sentences, rows, labels, n_sentences, n_rows = [], [], [], [], 0, 0
+    """Weights and, last, the bias, from text and toxic. The texts are read twice, first for the words that tell
+    anything; only those are held."""
+    texts, labels = [], []
     for batch in batches:
         labels.append(batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64))
-        for i, j, data, offsets in text_chunks(batch.select(["text"])):
+        texts.append(batch.select(["text"]))
+    out = np.zeros((1 << BITS) + 1)
+    out[-1] = PRIOR
+    if not texts:
+        return out
+    use = telling(texts, labels, least_z)
+    words, sentences, rows, n_sentences, n_rows = [], [], [], 0, 0
+    for batch in texts:
+        for i, j, data, offsets in text_chunks(batch):
             w, own, r, *_ = sentence_words(data, offsets)
-            words.append(w.astype(np.int32))
-            sentences.append((own + n_sentences).astype(np.int32))
+            keep = use[w]
+            words.append(w[keep])
+            sentences.append(own[keep] + n_sentences)
             rows.append(r + n_rows)
             n_sentences += len(r)
             n_rows += j - i
-    out = np.zeros((1 << BITS) + 1)
-    out[-1] = -4.0
     if not n_sentences:
         return out
     y = np.concatenate(labels)
     word, own, row = np.concatenate(words), np.concatenate(sentences), np.concatenate(rows)
-    words.clear()
-    sentences.clear()
-    telling = screened(word, row[own], y, least_z)
-    use = telling[word]
-    word, own = word[use], own[use]
     seen, word = np.unique(word, return_inverse=True)
     w, b = np.zeros(len(seen)), -4.0
     m, v = np.zeros(len(seen) + 1), np.zeros(len(seen) + 1)
@@ -132,6 +144,7 @@ def train(labelled: DataFrame, steps: int = 250, rate: float = 0.1, l2: float =
     chosen = labelled.select("text", F.col("toxic").cast("int").alias("toxic"))
     got = chosen.repartition(1).mapInArrow(run, "at long, w float").toArrow()
     weights = np.zeros((1 << BITS) + 1, np.float32)
+    weights[-1] = PRIOR
     weights[got.column(0).to_numpy()] = got.column(1).to_numpy()
     return weights
 
