@@ -773,10 +773,10 @@ def knn_euclid(spark, d):
     return r6(similarity.knn_mean_distance(e, e.where("vec_id % 5 = 0"), "vec_id", "embedding"))
 
 
-@query("SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean, round(max(o_totalprice), 4) AS most, round(coalesce(stddev_samp(o_totalprice), 0), 4) AS sd FROM orders GROUP BY 1")
+@query("SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 6) AS mean, round(max(o_totalprice), 6) AS most, round(coalesce(stddev_samp(o_totalprice), 0), 3) AS sd FROM orders GROUP BY 1")
 def baseline_aggregates(spark, d):
     a = F.col("o_totalprice")
-    return t(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum(a), 2).alias("total"), F.round(F.avg(a), 4).alias("mean"), F.round(F.max(a), 4).alias("most"), F.round(F.coalesce(F.stddev_samp(a), F.lit(0.0)), 4).alias("sd"))
+    return t(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum(a), 2).alias("total"), F.round(F.avg(a), 6).alias("mean"), F.round(F.max(a), 6).alias("most"), F.round(F.coalesce(F.stddev_samp(a), F.lit(0.0)), 3).alias("sd"))
 
 
 @query()
