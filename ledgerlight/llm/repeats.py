@@ -82,17 +82,38 @@ def unpacked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def anchored(unit, window: int, gram: int) -> Callable:
+    """A row per segment, equal ones of a chunk added up beforehand: the first has their number as copies, the others
+    0 and a key of their own, so that a text that repeats itself, or copies side by side, do not meet in one task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = column(batch, "doc_id")
             for i, j, data, offsets in text_chunks(batch):
                 symbols, first, _, _ = unit.symbols(data, offsets)
                 row, place, n, distance, anchor, content = segments(symbols, first, window, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(anchor)), pa.array(signed(content)), pa.array(ids[i:j][row]), pa.array(packed(place, n, distance))], names=["anchor", "content", "doc_id", "place"])
+                doc, place = ids[i:j][row], packed(place, n, distance)
+                order = np.lexsort((place, doc, content, anchor))
+                anchor, content, doc, place = signed(anchor[order]), signed(content[order]), doc[order], place[order]
+                new, other = changes(anchor, content, doc, place)
+                anchor, content, doc, place, new = anchor[other], content[other], doc[other], place[other], new[other]
+                at = np.flatnonzero(new)
+                copies = np.zeros(len(new), np.int32)
+                copies[at] = np.diff(np.append(at, len(new)))
+                anchor = np.where(copies > 0, anchor, signed(mixed((doc * 1_000_003 + place).astype(np.uint64))))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), pa.array(doc), pa.array(place), pa.array(copies)], names=["anchor", "content", "doc_id", "place", "copies"])
 
     return run
 
 
+def changes(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In sorted rows: which start another segment, and which are no repeated row of the one before."""
+    first = np.arange(len(anchor)) == 0
+    new, other = first.copy(), first.copy()
+    new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
+    other[1:] = new[1:] | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
+    return new, other
+
+
 #: What becomes of a segment: all its windows recur; to be looked at; the same, and equal ones exist.
 GONE, ASK, ASK_TWICE = 0, 1, 2
 
@@ -100,36 +121,40 @@ GONE, ASK, ASK_TWICE = 0, 1, 2
 def met(keep_first: bool) -> Callable:
     """Rows of a partition by anchor: which segments recur as a whole, and which share an anchor with others."""
 
+    def rows(anchor: np.ndarray, doc: np.ndarray, place: np.ndarray, what: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(doc), 1 << 16):
+            r = slice(k, k + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[r]), pa.array(doc[r]), pa.array(place[r]), pa.array(what[r].astype(np.int32))], names=["anchor", "doc_id", "place", "what"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
+        held = []
+        for b in batches:
+            copies = column(b, "copies")
+            over = copies == 0
+            anchor, content, doc, place = (column(b, c) for c in ("anchor", "content", "doc_id", "place"))
+            yield from rows(anchor[over], doc[over], place[over], np.full(int(over.sum()), GONE))
+            held.append([x[~over] for x in (anchor, content, doc, place, copies)])
         if not held:
             return
-        anchor, content, doc, place = (np.concatenate([column(b, c) for b in held]) for c in ("anchor", "content", "doc_id", "place"))
+        anchor, content, doc, place, copies = map(np.concatenate, zip(*held))
         held.clear()
         _, of, many = np.unique(anchor, return_inverse=True, return_counts=True)
-        again = many[of] > 1
-        anchor, content, doc, place = anchor[again], content[again], doc[again], place[again]
-        order = np.lexsort((place, doc, content, anchor))
-        anchor, content, doc, place = anchor[order], content[order], doc[order], place[order]
+        again = (many[of] > 1) | (copies > 1)
+        order = np.flatnonzero(again)
+        order = order[np.lexsort((place[order], doc[order], content[order], anchor[order]))]
+        anchor, content, doc, place, copies = (x[order] for x in (anchor, content, doc, place, copies))
+        new, other = changes(anchor, content, doc, place)
+        anchor, content, doc, place, copies, new = (x[other] for x in (anchor, content, doc, place, copies, new))
         if not len(anchor):
             return
-        # a repeated row is no other place
-        other = np.r_[True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]) | (content[1:] != content[:-1]) | (anchor[1:] != anchor[:-1])]
-        anchor, content, doc, place = anchor[other], content[other], doc[other], place[other]
-        n = len(anchor)
         new_anchor = np.r_[True, anchor[1:] != anchor[:-1]]
-        new = new_anchor | np.r_[True, content[1:] != content[:-1]]
-        group = np.cumsum(new) - 1
-        copies = np.bincount(group)[group]
-        of_anchor = np.cumsum(new_anchor) - 1
+        group, of_anchor = np.cumsum(new) - 1, np.cumsum(new_anchor) - 1
+        copies = np.bincount(group, copies)[group]
         kinds = np.bincount(of_anchor, new)[of_anchor]
         ask = new & (kinds > 1)
         gone = ~new if keep_first else copies > 1
-        for rows, what in ((gone, np.full(n, GONE)), (ask, np.where(copies > 1, ASK_TWICE, ASK))):
-            rows = np.flatnonzero(rows)
-            for k in range(0, len(rows), 1 << 16):
-                r = rows[k : k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[r]), pa.array(doc[r]), pa.array(place[r]), pa.array(what[r].astype(np.int32))], names=["anchor", "doc_id", "place", "what"])
+        yield from rows(anchor[gone], doc[gone], place[gone], np.full(int(gone.sum()), GONE))
+        yield from rows(anchor[ask], doc[ask], place[ask], np.where(copies[ask] > 1, ASK_TWICE, ASK))
 
     return run
 
@@ -165,7 +190,7 @@ def removals(docs: DataFrame, unit, window: int, gram: int, keep_first: bool, de
     decide: batches (anchor, doc_id, place, what, text), sorted by anchor, to batches (doc_id, place)."""
     p = parts(docs.sparkSession)
     plain = docs.select("doc_id", "text")
-    rows = plain.mapInArrow(anchored(unit, window, gram), "anchor long, content long, doc_id long, place long")
+    rows = plain.mapInArrow(anchored(unit, window, gram), "anchor long, content long, doc_id long, place long, copies int")
     known = saved(rows.repartition(p, "anchor").mapInArrow(met(keep_first), "anchor long, doc_id long, place long, what int"))
     asked = known.where(F.col("what") != GONE).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "what")).alias("asked"))
     texts = plain.join(asked, "doc_id").mapInArrow(fetched(unit, window), "anchor long, doc_id long, place long, what int, text binary")
