@@ -2,10 +2,10 @@
 
 A document is its set of shingles. Equal sets are one vertex. Vertices that share a least shingle under any
 of `BANDS` hash orders meet in a block; a pair at the threshold t misses all of them with probability
-(1 - t) ** BANDS (6e-13 at 0.75). In a block vertices lie in a signature tree: a node holds the OR of its
+(1 - t) ** BANDS (9e-13 at 0.75). In a block vertices lie in a signature tree: a node holds the OR of its
 members' bitmaps and the range of their sizes. The tree is traversed against itself; a pair of nodes whose
-sizes are too far apart, or whose bitmaps leave too little possible overlap, is cut off whole. Surviving
-pairs are joined to candidate families by a spanning forest, so a group of n costs n rows.
+sizes are too far apart, or whose bitmaps leave too little possible overlap, is cut off whole. A pair of rows
+must also agree in some of its least shingles (AGREE). Surviving pairs are joined to candidate families by a spanning forest, so a group of n costs n rows.
 The sets of each family, in shards of bounded size, go through the same dual traversal again with wider
 bitmaps, where a pair that is not yet connected is verified exactly on its sets.
 """
@@ -23,6 +23,8 @@ from .common import Spans, Union, column, components, id_text, lowered, mixed, p
 
 #: Hash orders; 64-bit words of a bitmap in blocks and in families; rows of a leaf.
 BANDS, NARROW, WIDE, LEAF = 20, 8, 64, 32
+#: Least shingles, of BANDS, that a pair must have in common (by 8 bits of each): at 0.75 fewer have a chance of 3e-8.
+AGREE = 4
 _ORDERS = np.random.default_rng(7).integers(1, 2**63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -50,9 +52,13 @@ def bitmap(shingles: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(out).view(np.uint64)
 
 
+def bands(sizes) -> np.ndarray:
+    return (np.log(np.maximum(1, sizes)) / np.log(4 / 3)).astype(int)
+
+
 def sort_keys(shingles: np.ndarray) -> tuple[int, int]:
     """Size band and a least hash: neighbours in this order are likely to be alike."""
-    return int(np.log(max(1, len(shingles))) / np.log(4 / 3)), int(mixed(shingles ^ _ORDERS[0]).min() >> np.uint64(1))
+    return int(bands(len(shingles))), int(mixed(shingles ^ _ORDERS[0]).min() >> np.uint64(1))
 
 
 class SignatureTree:
@@ -61,8 +67,9 @@ class SignatureTree:
     A node also has the most shingles that its members hold beyond one for each bit: those can hide in
     bits that are shared."""
 
-    def __init__(self, sizes: np.ndarray, maps: np.ndarray, order: np.ndarray, fan: int = LEAF):
+    def __init__(self, sizes: np.ndarray, maps: np.ndarray, order: np.ndarray, fan: int = LEAF, codes: np.ndarray | None = None):
         self.order, self.fan = order, fan
+        self.codes = None if codes is None else codes[order]
         sizes, maps = sizes[order], maps[order]
         self.levels = [(sizes, sizes, sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64), maps)]
         while len(self.levels[-1][0]) > 1:
@@ -97,7 +104,10 @@ class SignatureTree:
         most = np.minimum.outer(high[x], high[y])
         shared = np.array([np.bitwise_count(m & maps[y]).sum(axis=1, dtype=np.int64) for m in maps[x]]).reshape(len(x), len(y))
         most = np.minimum(most, shared + np.minimum.outer(hidden[x], hidden[y]))
-        return (100 + percent) * most >= percent * np.add.outer(low[x], low[y])
+        fits = (100 + percent) * most >= percent * np.add.outer(low[x], low[y])
+        if level == 0 and self.codes is not None and fits.any():
+            fits &= (self.codes[x][:, None, :] == self.codes[y][None, :, :]).sum(axis=2) >= AGREE
+        return fits
 
 
 def signatures(docs: DataFrame, n: int = 5) -> DataFrame:
@@ -116,13 +126,14 @@ def signatures(docs: DataFrame, n: int = 5) -> DataFrame:
                     for b, o in enumerate(_ORDERS):
                         keys[b, some] = np.minimum.reduceat(mixed(flat * o), at) * np.uint64(2 * BANDS + 1) + np.uint64(b)
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(signed(np.ascontiguousarray(keys.T)).ravel()))
+                codes = np.ascontiguousarray((mixed(keys) & np.uint64(255)).astype(np.uint8).T)
                 order = [sort_keys(s) if len(s) else (0, 0) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array(signed(k1)), pa.array(signed(k2)), rows, pa.array([bitmap(s, NARROW).tobytes() for s in sets], pa.binary()), pa.array([o[0] for o in order], pa.int64()), pa.array([o[1] for o in order], pa.int64())],
-                    names=["doc_id", "n_shingles", "k1", "k2", "keys", "map", "o1", "o2"],
+                    [batch.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array(signed(k1)), pa.array(signed(k2)), rows, pa.array([bitmap(s, NARROW).tobytes() + c.tobytes() for s, c in zip(sets, codes)], pa.binary()), pa.array([o[1] for o in order], pa.int64())],
+                    names=["doc_id", "n_shingles", "k1", "k2", "keys", "map", "o2"],
                 )
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, keys array<long>, map binary, o1 long, o2 long")
+    return id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, keys array<long>, map binary, o2 long")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -166,7 +177,8 @@ def forest(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs(batches, "key"):
-            key, ids, sizes, o1, o2 = (rows[c].to_numpy() for c in ("key", "doc_id", "n_shingles", "o1", "o2"))
+            key, ids, sizes, o2 = (rows[c].to_numpy() for c in ("key", "doc_id", "n_shingles", "o2"))
+            o1 = bands(sizes)
             cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
             out: list[tuple[int, int]] = []
             maps = rows["map"].to_pylist()
@@ -174,7 +186,8 @@ def forest(percent: int):
                 if b - a < 2:
                     continue
                 own, groups = ids[a:b].tolist(), Union(b - a)
-                tree = SignatureTree(sizes[a:b], np.array([np.frombuffer(m, np.uint64) for m in maps[a:b]]), np.lexsort((o2[a:b], o1[a:b])))
+                raw = np.frombuffer(b"".join(maps[a:b]), np.uint8).reshape(b - a, 8 * NARROW + BANDS)
+                tree = SignatureTree(sizes[a:b], np.ascontiguousarray(raw[:, : 8 * NARROW]).view(np.uint64), np.lexsort((o2[a:b], o1[a:b])), codes=raw[:, 8 * NARROW :])
                 for i, j in tree.pairs(percent):
                     out += [(own[x], own[y]) for x, y in zip(i.tolist(), j.tolist()) if groups.join(x, y)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
@@ -222,11 +235,11 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 75, shard: int = 2048) -
     sets = saved(signatures(docs, n))
     full = sets.where("n_shingles > 0")
     key = ["k1", "k2", "n_shingles"]
-    reps = full.groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    linked = full.select("doc_id", *key).join(reps, key)
-    vertices = full.join(reps.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id", *key])
+    # one vertex for each set, with what it needs, in one exchange
+    reps = saved(full.groupBy(*key).agg(F.min_by(F.struct("doc_id", "keys", "map", "o2"), "doc_id").alias("v")).select(*key, F.col("v.doc_id").alias("rep"), "v.keys", "v.map", "v.o2"))
+    linked = full.select("doc_id", *key).join(reps.select(*key, "rep").hint("merge"), key)
     p = parts(spark)
-    met = vertices.select(F.explode("keys").alias("key"), "doc_id", "n_shingles", "map", "o1", "o2").repartition(p, "key").sortWithinPartitions("key")
+    met = reps.select(F.explode("keys").alias("key"), F.col("rep").alias("doc_id"), "n_shingles", "map", "o2").repartition(p, "key").sortWithinPartitions("key")
     candidates = saved(met.mapInArrow(forest(percent), "a long, b long").distinct())
     family = components(candidates)
     sizes = family.groupBy("component").agg(F.count("*").alias("n")).withColumn("cells", F.ceil(F.col("n") / shard).cast("int"))
@@ -234,7 +247,8 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 75, shard: int = 2048) -
     # every pair of parts of a family is a shard of its own; a part alone (side 2) is compared with itself
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     member = member.select(F.col("id").alias("doc_id"), F.when(F.col("cell") == F.col("other"), 2).when(F.col("cell") < F.col("other"), 0).otherwise(1).alias("side"), F.xxhash64("component", F.least("cell", "other"), F.greatest("cell", "other")).alias("shard"))
-    shards = docs.join(member, "doc_id").repartition(p, "shard").sortWithinPartitions("shard")
+    # by merge at every size, as the members grow with the documents
+    shards = docs.join(member.hint("merge"), "doc_id").repartition(p, "shard").sortWithinPartitions("shard")
     links = saved(shards.mapInArrow(verified(percent, n), "a long, b long"))
     copies = linked.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     of = components(links.union(copies)).withColumnRenamed("id", "doc_id")
