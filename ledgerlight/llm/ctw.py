@@ -3,9 +3,9 @@
 The model's text is the document's lower-cased words with one space between them and an end mark. A byte is
 eight binary decisions; each decision, given those before it in its byte, has a context tree of its own over
 the `DEPTH` bytes before. A node's counts have a Krichevsky-Trofimov probability Pe; its weighted
-probability is Pw = (Pe + product of its children's Pw) / 2, at full depth Pe. The predictive probability
-mixes all depths: at each node Pe / (2 Pw) of the node's own estimate, the rest from the node one byte deeper;
-a node not seen in training says one half.
+probability is Pw = (Pe + product of its children's Pw) / 2; at full depth, and where it was met once, it is
+a leaf with Pw = Pe. The predictive probability mixes all depths: at each node Pe / (2 Pw) of the node's own
+estimate, the rest from the node one byte deeper; a node not seen in training says one half.
 
 Counts come from every training document: runs of DEPTH + 1 bytes, added up per task, then by the two last
 context bytes, below which trees are independent. Scoring uses the nodes in shards of at most `NODES`, each sent to
@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, id_text, lowered, mixed, parts, saved, signed, text_chunks, word_hashes, word_spans
+from .common import column, id_text, lowered, mixed, parts, release, saved, signed, text_chunks, word_hashes, word_spans
 from .toxicity import held_out
 
 #: Context bytes; nodes in a shard; words in the table that every task has; entries of the memory of byte runs.
 DEPTH, NODES, HOT, MEMORY = 5, 5_000_000, 1 << 19, 1 << 21
-#: Below a node whose own estimate has this weight or more, and below one met once, nothing is kept: it would change a probability by less than 1e-4 of it.
+#: Below a node whose own estimate has this weight or more nothing is kept: it could change a probability by 1e-4 at most.
 SURE = 0.9999
 END, GRAMS, WORDS = 10, 0, 1
 END_WORD = 0x1234567
@@ -83,7 +83,7 @@ class Tally:
     """Counts of 64-bit keys."""
 
     def __init__(self):
-        self.keys, self.counts, self.size = [], [], 0
+        self.keys, self.counts, self.size, self.limit = [], [], 0, 1_000_000
 
     def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
         if counts is None:
@@ -91,7 +91,7 @@ class Tally:
         self.keys.append(keys)
         self.counts.append(counts.astype(np.int64))
         self.size += len(keys)
-        if self.size > 3_000_000 and len(self.keys) > 8:
+        if self.size > self.limit and len(self.keys) > 8:
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
@@ -103,6 +103,7 @@ class Tally:
         head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         keys, counts = keys[head], np.add.reduceat(counts, head)
         self.keys, self.counts, self.size = [keys], [counts], 0
+        self.limit = max(1_000_000, len(keys) // 2)
         return keys, counts
 
 
@@ -113,11 +114,12 @@ def gathered(p: int):
         grams, words, docs = Tally(), Tally(), 0
         for batch in batches:
             docs += batch.num_rows
-            for _, _, data, offsets in text_chunks(batch):
+            for _, _, data, offsets in text_chunks(batch, limit=1 << 19):
                 runs, _, hashes, _ = stream(data, offsets)
                 grams.add(runs)
                 if len(hashes):
                     words.add(hashes)
+            release()
         if docs:
             words.add(np.array([END_WORD], np.uint64), np.array([docs]))
         for kind, tally in ((GRAMS, grams), (WORDS, words)):
@@ -245,10 +247,10 @@ def recalled(model: Model, token: int, runs: np.ndarray) -> np.ndarray:
     """model.log10 with a memory of runs met before, in a table of fixed size."""
     if token not in _memory:
         _memory.clear()
-        _memory[token] = np.full(MEMORY, np.uint64(2**64 - 1)), np.zeros(MEMORY)
+        _memory[token] = np.full(MEMORY, np.uint64(2**64 - 1)), np.zeros(MEMORY, np.float32)
     known, value = _memory[token]
     at = (mixed(runs) % np.uint64(MEMORY)).astype(np.int64)
-    out = value[at]
+    out = value[at].astype(np.float64)
     miss = np.flatnonzero(known[at] != runs)
     if len(miss):
         new, of = np.unique(runs[miss], return_inverse=True)
@@ -266,7 +268,7 @@ def scored(shared, token: int, shard: int, shards: int, hot=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(shared.value)
         for batch in batches:
-            for i, j, data, offsets in text_chunks(batch):
+            for i, j, data, offsets in text_chunks(batch, limit=1 << 19):
                 runs, begin, words, first = stream(data, offsets)
                 if shards > 1:
                     own = mixed(nearest(runs, DEPTH) ^ np.uint64(0x5EED)) % np.uint64(shards) == shard
@@ -284,6 +286,7 @@ def scored(shared, token: int, shard: int, shards: int, hot=None):
                     base = np.bincount(row, np.where(hit, np.log10(c + 1.0), 0), rows)
                     known = np.bincount(row, hit, rows).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, rows), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score), pa.array(n_bytes if shard == 0 else np.zeros(rows, np.int64))], names=["doc_id", "n_tokens", "n_known", "base", "score", "n_bytes"])
+            release()
 
     return run
 
@@ -304,7 +307,7 @@ def rare(hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = column(batch, "doc_id")
-            for i, j, data, offsets in text_chunks(batch):
+            for i, j, data, offsets in text_chunks(batch, limit=1 << 19):
                 data = lowered(data)
                 starts, ends, first = word_spans(data, offsets)
                 words = word_hashes(data, starts, ends)
@@ -312,6 +315,7 @@ def rare(hot):
                 row = np.repeat(np.arange(j - i), np.diff(first))[~hit]
                 words = words[~hit]
                 yield pa.RecordBatch.from_arrays([pa.array(signed(words)), pa.array(ids[i:j][row])], names=["word", "doc_id"])
+            release()
 
     return run
 
@@ -351,7 +355,7 @@ def score(docs: DataFrame) -> DataFrame:
             upper.insert(0, (np.zeros(0, np.uint64),) + (np.zeros(0, np.float32),) * 2)
             continue
         key, n0, n1, below, w = weighted(up(key), n0, n1, below)
-        upper.insert(0, (key, w.astype(np.float32), ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32)))
+        upper.insert(0, (key, np.where(n0 + n1 > 1, w, 1.0).astype(np.float32), ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32)))
     n_nodes = nodes.count()
     shards = max(1, -(-n_nodes // NODES))
     partial = None
