@@ -9,13 +9,14 @@ beam widened until they agree. Links are those with cosine >= threshold in doubl
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Union, components, mixed, saved
+from .common import Union, components, mixed, parts, saved
 
 SCHEMA = "vec_id long, n_links long, component_id long, kept boolean"
 
@@ -23,11 +24,12 @@ SCHEMA = "vec_id long, n_links long, component_id long, kept boolean"
 class Graph:
     """A hierarchical navigable small-world graph over unit rows; inner products are similarities."""
 
-    def __init__(self, rows: np.ndarray, ids: np.ndarray, m: int = 10, build_beam: int = 40):
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, m: int = 10, build_beam: int = 32):
         self.rows, self.m, n = rows, m, len(rows)
         u = (mixed(ids.astype(np.uint64)) >> np.uint64(11)).astype(np.float64) / 2**53
         self.level = np.minimum((-np.log(np.maximum(u, 1e-12)) / np.log(m)).astype(int), 8)
         self.near: list[dict[int, list[int]]] = [{} for _ in range(int(self.level.max()) + 1)] if n else []
+        self.ways: list[dict[int, int]] = [{} for _ in self.near]
         self.seen, self.mark = np.zeros(n, np.int64), 0
         self.top = -1
         for i in range(n):
@@ -49,12 +51,23 @@ class Graph:
             most = self.m * (2 if k == 0 else 1)
             chosen = self._diverse(at, self.m)
             self.near[k][i] = chosen
+            ways = self.ways[k]
+            for j in chosen:
+                ways[j] = ways.get(j, 0) + 1
             for j in chosen:
                 other = self.near[k][j]
                 other.append(i)
+                ways[i] = ways.get(i, 0) + 1
                 if len(other) > most:
                     s = self.rows[other] @ self.rows[j]
-                    self.near[k][j] = self._diverse(sorted(zip(s.tolist(), other), reverse=True), most)
+                    kept = self._diverse(sorted(zip(s.tolist(), other), reverse=True), most)
+                    for x in set(other).difference(kept):
+                        # the last way to a row stays, or nothing would find it
+                        if ways[x] == 1:
+                            kept.append(x)
+                        else:
+                            ways[x] -= 1
+                    self.near[k][j] = kept
         for k in range(high + 1, level + 1):
             self.near[k][i] = []
         if level > high:
@@ -110,29 +123,51 @@ class Graph:
                             above.append(out)
         return sorted(best + above, reverse=True)
 
-    def query(self, q: np.ndarray, width: int, floor: float) -> list[tuple[float, int]]:
+    def query(self, q: np.ndarray, width: int, floor: float, also: int = -1) -> list[tuple[float, int]]:
+        """From the top down; where q is a row of the graph itself, from that row too."""
         at = [(float(self.rows[self.top] @ q), self.top)]
         for k in range(int(self.level[self.top]), 0, -1):
             at = self.beam(q, at, 1, k)
+        if also >= 0 and all(j != also for _, j in at):
+            at.append((float(self.rows[also] @ q), also))
         return self.beam(q, at, width, 0, floor)
 
 
-def linked(graph: Graph, queries: np.ndarray, threshold: float, width: int = 16, slack: float = 0.03, least_recall: float = 0.99, audit: int = 128) -> list[np.ndarray]:
-    """For each unit row of queries the graph's rows with inner product >= threshold.
+def linked(graph: Graph, queries: np.ndarray, of_node: np.ndarray, threshold: float, width: int = 16, slack: float = 0.02, least_recall: float = 0.99, audit: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(queries, rows of the graph, which of them have inner product >= threshold), each query once.
 
-    `audit` queries are checked against all rows; below `least_recall` the beam and the slack are doubled,
-    and a beam as wide as the graph is exact."""
+    of_node: the query that a row of the graph is, or -1. A query's beam follows all within twice the angle
+    of the threshold; these hold whatever links with a row that links with it, so such rows are answered
+    with it. `audit` queries are checked against all rows; below `least_recall` the beam and the slack are
+    doubled, and a beam as wide as the graph is exact."""
     step = max(1, len(queries) // audit)
     sample = np.arange(0, len(queries), step)
     true = [set(np.flatnonzero(graph.rows @ queries[i] >= threshold).tolist()) for i in sample]
-    while True:
-        def ask(i: int) -> np.ndarray:
-            return np.array([j for s, j in graph.query(queries[i], width, threshold - slack) if s >= threshold], dtype=np.int64)
+    double = 2 * threshold * threshold - 1
+    node_of = np.full(len(queries), -1)
+    node_of[of_node[of_node >= 0]] = np.flatnonzero(of_node >= 0)
+
+    def pool(i: int) -> list[tuple[float, int]]:
+        return graph.query(queries[i], width, double - slack, int(node_of[i]))
 
-        got = sum(len(t & set(ask(i).tolist())) for i, t in zip(sample, true))
-        if got >= least_recall * sum(map(len, true)) or width >= len(graph.rows):
-            return [ask(i) for i in range(len(queries))]
+    while width < len(graph.rows):
+        got = sum(len(t & {j for s, j in pool(i) if s >= threshold}) for i, t in zip(sample, true))
+        if got >= least_recall * sum(map(len, true)):
+            break
         width, slack = 2 * width, 2 * slack
+    done = np.zeros(len(queries), bool)
+    for i in range(len(queries)):
+        if done[i]:
+            continue
+        near = pool(i)
+        rows = np.array([j for _, j in near], dtype=np.int64)
+        with_it = of_node[rows[np.array([s for s, _ in near]) >= threshold]]
+        own = np.unique(np.append(with_it[(with_it >= 0)], i))
+        own = own[~done[own]]
+        done[own] = True
+        for k in range(0, len(own), 512):
+            part = own[k : k + 512]
+            yield part, rows, queries[part] @ graph.rows[rows].T >= threshold
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, shard: int = 8192) -> DataFrame:
@@ -165,20 +200,34 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, shard: int = 81
             return pa.Table.from_arrays([pa.array([], pa.int64())] * 3, names=names)
         members, queries = members.sort_by("rep"), queries.sort_by("rep")
         ids, copies, asking = members["rep"].to_numpy(), members["copies"].to_numpy(), queries["rep"].to_numpy()
-        found = linked(Graph(unit(members), ids), unit(queries), threshold)
+        asks = {int(v): k for k, v in enumerate(asking)}
+        of_node = np.array([asks.get(int(v), -1) for v in ids])
         place = {int(v): k for k, v in enumerate(np.unique(np.concatenate([ids, asking])))}
         groups, every = Union(len(place)), np.array(list(place))
         links = np.zeros(len(asking), np.int64)
-        for i, (q, own) in enumerate(zip(asking.tolist(), found)):
-            own = own[ids[own] != q]
-            links[i] = copies[own].sum()
-            for v in ids[own].tolist():
-                groups.join(place[q], place[v])
+        node_of = np.full(len(asking), -1)
+        node_of[of_node[of_node >= 0]] = np.flatnonzero(of_node >= 0)
+        # links within the shard hold both ways, whichever end found them; a bit a pair of the shard's rows
+        both = np.zeros((len(ids), len(ids)), bool)
+        for part, rows, hit in linked(Graph(unit(members), ids), unit(queries), of_node, threshold):
+            hit &= ids[rows][None, :] != asking[part][:, None]
+            here = node_of[part] >= 0
+            both[np.ix_(node_of[part[here]], rows)] = hit[here]
+            links[part[~here]] = hit[~here] @ copies[rows]
+            for q in np.flatnonzero(hit.any(axis=1)).tolist():
+                groups.join(place[int(asking[part[q]])], place[int(ids[rows[hit[q].argmax()]])])
+            for r in np.flatnonzero(hit.any(axis=0)).tolist():
+                groups.join(place[int(ids[rows[r]])], place[int(asking[part[hit[:, r].argmax()]])])
+        both |= both.T
+        links[of_node[of_node >= 0]] = both[of_node >= 0] @ copies
         near = np.array([every[groups.root(place[q])] for q in asking.tolist()])
         return pa.Table.from_arrays([pa.array(asking), pa.array(links), pa.array(near)], names=names)
 
     keys = ["label", "dims", "own"]
-    found = saved(unique.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(answer, "rep long, links long, near long"))
+    p = max(parts(vectors.sparkSession), 24)
+    # dealt by number, so that small tables too are spread over all cores
+    members, asks = unique.repartition(p, *keys), asks.repartition(p, *keys)
+    found = saved(members.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(answer, "rep long, links long, near long"))
     of = components(found.select(F.col("rep").alias("a"), F.col("near").alias("b"))).withColumnRenamed("id", "rep")
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     unique = unique.join(sums, "rep", "left").join(of, "rep", "left").select("label", "key", "copies", F.col("links"), F.coalesce("component", "rep").alias("component"))
