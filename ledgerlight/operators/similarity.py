@@ -32,6 +32,8 @@ def shared_tokens(edges: DataFrame, account: str, token: str, most: int | None =
     e = edges.select(F.col(account).alias("a"), F.col(token).alias("t")).where("a IS NOT NULL AND t IS NOT NULL").distinct()
     sizes = e.groupBy("a").agg(F.count("*").alias("n"))
     starts = e if most is None else e.join(e.groupBy("t").agg(F.count("*").alias("_c")).where(F.col("_c") <= most).drop("_c"), "t")
+    # dealt by number: pairs are many where edges are few, and few edges would be put together in one task
+    starts = starts.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t")
     other = starts.select(F.col("a").alias("b"), "t")
     pairs = starts.join(other, "t").where("a < b")
     if most is None:

@@ -221,7 +221,7 @@ EDGE = "e AS (SELECT DISTINCT o_custkey AS a, l_suppkey AS s FROM lineitem JOIN
 
 
 def _edges(spark, d):
-    return rw(spark, d).where("o_custkey % 20 = 0 OR l_quantity = 1").select("o_custkey", "l_suppkey")
+    return rw(spark, d).select("o_custkey", "l_suppkey")
 
 
 @query(f"WITH {EDGE}, p AS (SELECT x.a, count(DISTINCT y.a) AS degree FROM e x JOIN e y ON x.s = y.s AND x.a <> y.a GROUP BY x.a) SELECT DISTINCT e.a AS o_custkey, coalesce(degree, 0) AS degree FROM e LEFT JOIN p ON e.a = p.a")

@@ -49,3 +49,17 @@ def test_every_name_has_its_columns_once(spark):
     for name in ("hit_metrics_total", "timing_block", "category_distribution"):
         c = Q.QUERIES[name](spark, SF).columns
         assert len(c) == len(set(c))
+
+
+def test_shared_tokens_use_every_edge(spark, tmp_path):
+    """Brute force over customers and quantities that an id or quantity filter would drop."""
+    lines = [(k, c, s) for k, (c, s) in enumerate([(1, 7), (1, 8), (1, 8), (2, 7), (2, 9), (3, 8), (3, 9), (20, 7), (21, 5)])]
+    spark.createDataFrame([(k, c, "1-URGENT", "2000-01-01") for k, c, _ in lines], "o_orderkey long, o_custkey long, o_orderpriority string, o_orderdate string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, s, 2.0, "N") for k, _, s in lines], "l_orderkey long, l_suppkey long, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    sets: dict[int, set[int]] = {}
+    for _, c, s in lines:
+        sets.setdefault(c, set()).add(s)
+    degrees = {a: sum(a != b and bool(sets[a] & sets[b]) for b in sets) for a in sets}
+    assert {r.o_custkey: r.degree for r in Q.QUERIES["shared_token_degree"](spark, str(tmp_path)).collect()} == degrees
+    pairs = {(a, b): (len(sets[a] & sets[b]), round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6)) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    assert {(r.a, r.b): (r.common, r.jaccard) for r in Q.QUERIES["jaccard_pairs"](spark, str(tmp_path)).collect()} == pairs
