@@ -4,7 +4,8 @@ What follows a text changes its tokenisation only near the end: a merge that the
 frees its left token for a later merge, and so on to the left, each time by a merge of a later rank.
 `lookahead` takes the longest such chain from the merge list. So tokens that end that far before the end
 of what was read are final; `Transducer` emits them and keeps the rest, in memory that depends on the
-merge list alone. Words that fit in its buffer are merged many at a time, in arrays.
+merge list alone. Words go through it one after another as one stream of symbols; those in its buffer
+are merged at once, in arrays. `Decoder` turns the ids that come out into text.
 """
 
 from __future__ import annotations
@@ -113,10 +114,10 @@ def lookahead(rules: list[tuple[int, int, int]], length: dict[int, int]) -> int:
 
 
 class Transducer:
-    """Symbols in, final tokens out as soon as they are settled."""
+    """Symbols in, final tokens out as soon as they are settled. ends: which symbols end a word, that is stand on the left of no merge."""
 
-    def __init__(self, merges: Merges, length: np.ndarray, block: int = 4096):
-        self.merges, self.length, self.block = merges, length, block
+    def __init__(self, merges: Merges, length: np.ndarray, block: int = 4096, ends: np.ndarray | None = None):
+        self.merges, self.length, self.block, self.ends = merges, length, block, ends
         self.held = np.zeros(0, np.int64)
 
     def feed(self, symbols: np.ndarray) -> Iterator[np.ndarray]:
@@ -135,7 +136,10 @@ class Transducer:
         return ids
 
     def _tokens(self) -> np.ndarray:
-        return self.merges.apply(self.held, np.zeros(len(self.held), np.int64))[0]
+        word = np.zeros(len(self.held), np.int64)
+        if self.ends is not None and len(word):
+            word[1:] = np.cumsum(self.ends[self.held[:-1]])
+        return self.merges.apply(self.held, word)[0]
 
 
 class Decoder:
@@ -146,7 +150,7 @@ class Decoder:
         import codecs
 
         self.names, self.byte_level, self.begun = names, byte_level, False
-        self.value = {c: b for b, c in enumerate(byte_chars())}
+        self.value = {c: b for b, c in enumerate(byte_chars())} if byte_level else {}
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int], final: bool = False) -> str:
@@ -163,7 +167,7 @@ class Coder:
 
     #: Pieces remembered at once, in each of two generations; longer pieces are not remembered.
     LIMIT, LONG = 150_000, 64
-    #: Symbols of a word above which it goes through the transducer.
+    #: Symbols that the transducer takes at once.
     STREAM = 1 << 14
 
     def __init__(self, path: str):
@@ -184,14 +188,20 @@ class Coder:
         self.size = np.array([len(t.removesuffix(self.end)) if self.end else len(t) for t in self.names], dtype=np.int64)
         length = {i: int(self.size[i]) for i in vocab.values()}
         self.merges = Merges([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], length)
-        self.shown = [t.encode() for t in self.names]
+        #: Tokens that end a word; None if a merge goes on after one, then words are streams of their own.
+        self.ends: np.ndarray | None = np.zeros(size, bool)
+        self.ends[self.last] = True
+        for a, b in pairs:
+            self.ends[vocab[a + b]] |= self.ends[vocab[b]]
+        if self.ends[[vocab[a] for a, _ in pairs]].any() or self.ends[self.symbol].any():
+            self.ends = None
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.word = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self.word_with_controls = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|(?:[^\s\p{L}\p{N}]|[\x1c-\x1f])+")
         self.controls = regex.compile(r"[\x1c-\x1f]")
         self.space = regex.compile(r"[^\S\x1c-\x1f]+")
-        self.young: dict[str, tuple[bytes, bytes]] = {}
-        self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -221,22 +231,16 @@ class Coder:
         return self.word.findall(piece)
 
     def word_ids(self, words: list[str]) -> list[np.ndarray]:
-        """The tokens of each word."""
+        """The tokens of each word, all through the transducer."""
         raw = [w.encode() for w in words]
-        size = np.array([len(r) for r in raw], dtype=np.int64)
-        out: list = [None] * len(words)
-        for i in np.flatnonzero(size > self.STREAM):
-            out[i] = np.concatenate(list(self.stream(raw[i])))
-        short = np.flatnonzero(size <= self.STREAM)
-        if len(short):
-            data = np.frombuffer(b"".join([raw[i] for i in short]), dtype=np.uint8)
-            ids, ends = self.symbol[data], np.cumsum(size[short])
-            ids[ends - 1] = self.last[data[ends - 1]]
-            ids, word = self.merges.apply(ids, np.repeat(np.arange(len(short)), size[short]))
-            cut = np.searchsorted(word, np.arange(len(short) + 1)).tolist()
-            for k, i in enumerate(short.tolist()):
-                out[i] = ids[cut[k] : cut[k + 1]]
-        return out
+        if self.ends is None or not raw:
+            return [np.concatenate(list(self.stream(r))) for r in raw]
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        symbols, at = self.symbol[data], np.cumsum([len(r) for r in raw]) - 1
+        symbols[at] = self.last[data[at]]
+        machine = Transducer(self.merges, self.size, self.STREAM, self.ends)
+        ids = np.concatenate([*machine.feed(symbols), machine.finish()])
+        return np.split(ids, np.flatnonzero(self.ends[ids])[:-1] + 1)
 
     def stream(self, word: bytes) -> Iterator[np.ndarray]:
         """The tokens of one word, through the transducer."""
@@ -248,26 +252,17 @@ class Coder:
         yield machine.finish()
 
     def learn(self, pieces: list[str]) -> None:
-        """Remembers the ids and the decoded text of new pieces."""
+        """Remembers the ids of new pieces."""
         words: dict[str, int] = {}
         of = []
         for p in pieces:
             of.append(None if p[:1] == " " else [words.setdefault(w, len(words)) for w in self.words(p)])
-        found = self.word_ids(list(words))
-        shown = self.shown
-        ids = [x.astype("<u4").tobytes() for x in found]
-        text = [b" ".join([shown[i] for i in x.tolist()]) for x in found]
+        ids = [x.astype("<u4").tobytes() for x in self.word_ids(list(words))]
         for p, own in zip(pieces, of):
-            if own is None:
-                i = self.special[p[1:]]
-                self.young[p] = np.array([i], "<u4").tobytes(), shown[i]
-            elif len(own) == 1:
-                self.young[p] = ids[own[0]], text[own[0]]
-            else:
-                self.young[p] = b"".join([ids[k] for k in own]), b" ".join([text[k] for k in own])
+            self.young[p] = np.array([self.special[p[1:]]], "<u4").tobytes() if own is None else b"".join([ids[k] for k in own])
 
     def code(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """The ids (little-endian unsigned 32-bit) and the decoded text (UTF-8) of each text."""
+        """The ids (little-endian unsigned 32-bit) of each text and what Decoder makes of them (UTF-8)."""
         split = [self.pieces(t) for t in texts]
         young = self.young
         missing = set().union(*split) - young.keys()
@@ -276,8 +271,8 @@ class Coder:
         self.learn([p for p in missing if p not in again])
         out = []
         for own in split:
-            got = list(map(young.__getitem__, own))
-            out.append((b"".join([g[0] for g in got]), b" ".join([g[1] for g in got if g[0]])))
+            ids = b"".join(map(young.__getitem__, own))
+            out.append((ids, Decoder(self.names).feed(np.frombuffer(ids, "<u4").tolist(), True).encode()))
         for p in missing:
             if len(p) > self.LONG:
                 young.pop(p, None)

@@ -384,6 +384,21 @@ def test_bpe_any_text(text):
     assert np.frombuffer(bpe.coder(path).code([text])[0][0], "<u4").tolist() == ids
 
 
+def test_bpe_words_and_ids_take_the_machines(monkeypatch, library):
+    """Every symbol of every new word enters a transducer, and decoded texts come out of a decoder fed with the ids."""
+    fed, decoded = [], []
+    feed, decode = bpe.Transducer.feed, bpe.Decoder.feed
+    monkeypatch.setattr(bpe.Transducer, "feed", lambda self, symbols: (fed.append(len(symbols)), feed(self, symbols))[1])
+    monkeypatch.setattr(bpe.Decoder, "feed", lambda self, ids, final=False: (decoded.append(list(ids)), decode(self, ids, final))[1])
+    texts = ["short words don't differ </w> x</w>", "naïve 日本語 <|endoftext|> x", "", "ab" * 20000 + " tail " + "q" * 700]
+    got = bpe.Coder(vocabulary("word_bpe_49k.json")).code(texts)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids, _ in got] == want == decoded
+    assert [text.decode() for _, text in got] == [library.decode(i, skip_special_tokens=False) for i in want]
+    words = set("short words don 't differ </ w > x naïve 日本語 tail".split()) | {"ab" * 20000, "q" * 700}
+    assert sum(fed) >= sum(len(w.encode()) for w in words)
+
+
 def naive(symbols: list[int], rules: list[tuple[int, int, int]]) -> list[int]:
     ids = list(symbols)
     rank = {(a, b): k for k, (a, b, _) in reversed(list(enumerate(rules)))}
