@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import stats
 from ..functions.clean import band, days
+from . import ranks
 
 
 def ordered(account: str, *order: str):
@@ -103,16 +104,16 @@ def dates(rows: DataFrame, account: str, primary: str, others: list[str], as_of:
 def excitation(events: DataFrame, account: str, t: str, tie: str, tau: float) -> DataFrame:
     """Rows with r: the decayed number of earlier events of the account, r_i = exp(-gap / tau) (1 + r_{i-1}).
 
-    The recursion runs in one pass over the account's sorted times."""
-    def step(s, x):
-        gap = x["t"] - s["t"]
-        r = F.when(s["t"].isNull(), 0.0).otherwise(F.exp(-gap / tau) * (1.0 + s["r"]))
-        return F.struct(x["t"].alias("t"), r.alias("r"), F.concat(s["out"], F.array(F.struct(x["k"].alias("k"), r.alias("r")))).alias("out"))
-
-    seq = F.array_sort(F.collect_list(F.struct(F.col(t).cast("double").alias("t"), F.col(tie).alias("k"))))
-    zero = F.struct(F.lit(None).cast("double").alias("t"), F.lit(0.0).alias("r"), F.array().cast("array<struct<k:bigint,r:double>>").alias("out"))
-    g = events.groupBy(account).agg(seq.alias("s"))
-    return g.select(account, F.inline(F.aggregate("s", zero, step)["out"])).withColumnRenamed("k", tie)
+    In closed form over time slices of 100 tau: a running sum within the slice and one number from the slice
+    before, so an account may have any number of events. Rows without a time are left out."""
+    span = 100.0 * tau
+    e = events.where(F.col(t).isNotNull()).select(account, tie, F.col(t).cast("double").alias("_t")).withColumn("_b", F.floor(F.col("_t") / span))
+    x = (F.col("_t") - F.col("_b") * span) / tau
+    w = Window.partitionBy(account, "_b").orderBy("_t", tie).rowsBetween(Window.unboundedPreceding, -1)
+    # what the slice before gives, as of the start of this one; anything older has decayed by e^-100 and more
+    carried = e.groupBy(account, (F.col("_b") + 1).alias("_b")).agg(F.sum(F.exp(x - 100.0)).alias("_c"))
+    e = e.withColumn("_x", x).withColumn("_s", F.coalesce(F.sum(F.exp("_x")).over(w), F.lit(0.0)))
+    return e.join(carried, [account, "_b"], "left").select(account, tie, (F.exp(-F.col("_x")) * (F.col("_s") + F.coalesce("_c", F.lit(0.0)))).alias("r"))
 
 
 def em(times: np.ndarray, tau: float, rounds: int = 30) -> tuple[float, float, float]:
@@ -169,7 +170,7 @@ def small_signals(events: DataFrame, account: str, ts: str, tie: str, amount: st
     gap = seconds - F.lag(seconds).over(w)
     e = events.select(
         account, a.alias("a"), seconds.alias("s"), (F.hour(ts) < 6).cast("double").alias("night"), (a <= 3).cast("double").alias("tiny"),
-        ((a >= 50) & (F.abs(a - F.bround(a / 10) * 10) <= 0.005)).cast("double").alias("round"), F.coalesce((gap < 3600).cast("double"), F.lit(0.0)).alias("burst"),
+        ((a >= 50) & (F.abs(a - F.bround(a / 10) * 10) < 0.005)).cast("double").alias("round"), F.coalesce((gap < 3600).cast("double"), F.lit(0.0)).alias("burst"),
         ((F.row_number().over(w) - 1) / F.count("*").over(Window.partitionBy(account)) >= 0.8).alias("late"),
     )
     g = e.groupBy(account).agg(
@@ -212,17 +213,13 @@ def new_token_shares(events: DataFrame, account: str, ts: str, tie: str, token:
     return e.groupBy(account).agg(F.count_distinct(token).alias("tokens"), F.coalesce(F.avg(F.when(late, (F.col("_first") >= 0.8).cast("double"))), F.lit(0.0)).alias("late_new_share"))
 
 
-def average_rank(value: str, *partition: str):
-    """Rank with ties averaged."""
-    w = Window.partitionBy(*partition)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*partition, value)) - 1) / 2
-
-
 def group_residuals(df: DataFrame, key: str, value: str, age: str, group: str) -> DataFrame:
     """key, residual: percentile of value less its median in (group, age band)."""
-    n = F.count(F.col(value)).over(Window.partitionBy())
-    e = df.where(F.col(value).isNotNull()).withColumn("_p", average_rank(value) / n).withColumn("_band", band(F.col(age), (0, 25, 35, 45, 55, 65, 200)))
-    return e.withColumn("residual", F.col("_p") - F.median("_p").over(Window.partitionBy(group, "_band"))).select(key, "residual")
+    e = ranks.with_average_rank(df.where(F.col(value).isNotNull()), value, "_p", share=True).withColumn("_band", band(F.col(age), (0, 25, 35, 45, 55, 65, 200))).withColumn("_g", F.col(group))
+    # medians are one row per group: no group is held whole
+    middle = e.groupBy("_g", "_band").agg(F.median("_p").alias("_m"))
+    same = e["_g"].eqNullSafe(middle["_g"]) & e["_band"].eqNullSafe(middle["_band"])
+    return e.join(middle, same).select(key, (F.col("_p") - F.col("_m")).alias("residual"))
 
 
 def type_surprisal(df: DataFrame, key: str, kind: str, given: str) -> DataFrame:
@@ -236,25 +233,25 @@ def peer_ranks(df: DataFrame, key: str, value: str, levels: list[list[str]], is_
 
     levels: groupings from fine to coarse; [] is everybody."""
     out = df
+    ref = F.col(is_ref).cast("long")
     for k, g in enumerate(levels):
-        w = Window.partitionBy(*g)
-        ref = F.col(is_ref).cast("long")
-        hi = F.sum(ref).over(w.orderBy(value).rangeBetween(Window.unboundedPreceding, 0))
-        tie = F.sum(ref).over(Window.partitionBy(*g, value))
-        out = out.withColumn(f"_m{k}", F.sum(ref).over(w)).withColumn(f"_u{k}", ((hi - tie + hi) / 2.0 + 0.5) / (F.col(f"_m{k}") + 1))
+        # by distinct (group, value); counts up to it in all groups, less those of the groups before
+        counts = df.groupBy(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(g)), F.col(value).alias("_v")).agg(F.sum(ref).alias("_c"))
+        by = [f"_g{i}" for i in range(len(g))]
+        to = ranks.running(counts, [*map(F.col, by), F.col("_v")], {"_to": F.col("_c")})
+        of = to.groupBy(*by).agg(F.min(F.col("_to") - F.col("_c")).alias("_before"), F.sum("_c").alias(f"_m{k}"))
+        t = to.alias("t").join(of.alias("o"), [F.col(f"t.{c}").eqNullSafe(F.col(f"o.{c}")) for c in by]) if by else to.join(F.broadcast(of))
+        hi = F.col("_to") - F.col("_before")
+        t = t.select(*(F.col(f"t.{c}") if by else F.col(c) for c in by), "_v", f"_m{k}", (((hi - F.col("_c")) + hi) / 2.0 + 0.5).alias("_h"))
+        t = t.withColumn(f"_u{k}", F.col("_h") / (F.col(f"_m{k}") + 1)).drop("_h")
+        out = out.join(t, [F.col(value).eqNullSafe(F.col("_v")), *(F.col(c).eqNullSafe(F.col(x)) for c, x in zip(g, by))]).drop("_v", *by)
     u = F.col(f"_u{len(levels) - 1}")
     for k in range(len(levels) - 2, -1, -1):
         u = F.when(F.col(f"_m{k}") >= least, F.col(f"_u{k}")).otherwise(u)
     return out.select(key, u.alias("u"))
 
 
-def _scores(u: pd.Series) -> pd.Series:
-    from statistics import NormalDist
-
-    inv = NormalDist().inv_cdf
-    return u.map(lambda p: None if pd.isna(p) else min(3.5, max(-3.5, inv(min(max(p, 1e-9), 1 - 1e-9))))).astype(float)
-
-
-def normal_score(u):
-    """Inverse normal distribution, between -3.5 and 3.5."""
-    return F.pandas_udf(_scores, "double")(u)
+def normal_score(u, clip: float = 3.5, least: float = 1e-9):
+    """Inverse normal distribution, between -clip and clip; null stays null."""
+    z = stats.inverse_normal(F.least(F.greatest(F.col(u) if isinstance(u, str) else u, F.lit(least)), F.lit(1 - least)))
+    return F.when(z.isNotNull(), F.least(F.greatest(z, F.lit(-clip)), F.lit(clip)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats
-from .accounts import average_rank
+from . import ranks
 from .encode import unpivot
 
 
@@ -28,7 +28,10 @@ def auc(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     """a, b, rho for each pair of columns, over rows without nulls."""
-    ranked = df.dropna(subset=columns).select(*(average_rank(c).alias(c) for c in columns))
+    source = ranked = df.dropna(subset=columns).select(*columns)
+    for k, c in enumerate(columns):
+        ranked = ranks.with_average_rank(ranked, c, f"_r{k}", source=source)
+    ranked = ranked.select(*(F.col(f"_r{k}").alias(c) for k, c in enumerate(columns)))
     one = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("rho")) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     return ranked.agg(F.array(*one).alias("x")).select(F.inline("x"))
 
@@ -36,8 +39,7 @@ def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
 def cumulative(df: DataFrame, score: str, label: str) -> DataFrame:
     """score, p, n and cp, cn down to it, from the highest."""
     g = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return g.withColumn("cp", F.sum("p").over(w)).withColumn("cn", F.sum("n").over(w))
+    return ranks.running(g, [-F.col("score")], {"cp": F.col("p"), "cn": F.col("n")})
 
 
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -47,13 +49,14 @@ def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def precision_at_positives(df: DataFrame, score: str, label: str, tie: str) -> DataFrame:
     """Precision among as many of the highest scores as there are positives."""
-    r = df.select(F.col(label).cast("long").alias("y"), F.row_number().over(Window.orderBy(F.desc(score), tie)).alias("k"), F.sum(F.col(label).cast("long")).over(Window.partitionBy()).alias("p"))
+    y = df.select(F.col(label).cast("long").alias("y"), F.col(score).alias("s"), F.col(tie).alias("t"))
+    r = ranks.numbered(y, [-F.col("s"), F.col("t")], "k").join(F.broadcast(y.agg(F.sum("y").alias("p"))))
     return r.where("k <= p").agg((F.sum("y") / F.greatest(F.max("p"), F.lit(1))).alias("precision"))
 
 
 def budgets(df: DataFrame, score: str, label: str, tie: str, shares: list[float], n_book: int, n_fraud_book: int) -> DataFrame:
     """For each share of alerts: k, recall, alerts and catches in the book, lift, whether k is enough to rely on."""
-    r = df.select(F.col(label).cast("long").alias("y"), F.row_number().over(Window.orderBy(F.desc(score), tie)).alias("r"))
+    r = ranks.numbered(df.select(F.col(label).cast("long").alias("y"), F.col(score).alias("s"), F.col(tie).alias("t")), [-F.col("s"), F.col("t")], "r")
     total = r.agg(F.count("*").alias("n"), F.sum("y").alias("p"))
     table = df.sparkSession.createDataFrame([(float(b),) for b in shares], "budget double")
     b = F.broadcast(table.join(total).withColumn("k", F.greatest(F.lit(1), F.round(F.col("budget") * F.col("n")).cast("long"))))
@@ -66,8 +69,8 @@ def false_positives(df: DataFrame, scores: list[str], label: str, tie: str, reca
     """score_name, k, fp: alerts needed to reach the recall, and how many of them are false."""
     out = None
     for s in scores:
-        w = Window.orderBy(F.desc(s), tie)
-        r = df.select(F.row_number().over(w).alias("k"), F.sum(F.col(label).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cp"), F.sum(F.col(label).cast("long")).over(Window.partitionBy()).alias("p"))
+        y = df.select(F.col(label).cast("long").alias("y"), F.col(s).alias("s"), F.col(tie).alias("t"))
+        r = ranks.running(y, [-F.col("s"), F.col("t")], {"k": F.lit(1).cast("long"), "cp": F.col("y")}).join(F.broadcast(y.agg(F.sum("y").alias("p"))))
         need = F.ceil(F.lit(recall) * F.col("p"))
         one = r.where(F.col("cp") >= need).agg(F.min("k").alias("k"), F.max(need).alias("need")).select(F.lit(s).alias("score_name"), F.col("k").cast("long").alias("k"), (F.col("k") - F.col("need")).alias("fp"))
         out = one if out is None else out.unionByName(one)

@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from pyspark.storagelevel import StorageLevel
 
 from ..operators.curves import adjusted_rand
 from .rules import Rule
@@ -44,7 +45,8 @@ def boosted(features: list[str], label: str, depth: int = 4, trees: int = 20, se
 
 def out_of_fold(df: DataFrame, features: list[str], label: str, account: str, k: int = 3, **parameters) -> DataFrame:
     """df with score: each row's from a model that has not seen its account."""
-    data = filled(df.join(account_folds(df, account, label, k), account), features).withColumn(label, F.col(label).cast("double"))
+    # each fold reads it several times
+    data = filled(df.join(account_folds(df, account, label, k), account), features).withColumn(label, F.col(label).cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
     out = None
     for fold in range(k):
         model = boosted(features, label, **parameters).fit(data.where(F.col("fold") != fold))
@@ -146,17 +148,26 @@ def tree_rules(df: DataFrame, features: list[str], label: str, depth: int = 3, l
 
 def whitened(df: DataFrame, features: list[str], k: int, output: str = "embedding", weight: float = 1.0) -> tuple[PipelineModel, DataFrame]:
     """Standardised, rotated to k principal axes, each of variance weight^2; nulls are means."""
-    data = df.fillna(0.0, subset=features)
-    stages = [VectorAssembler(inputCols=features, outputCol="_x"), StandardScaler(inputCol="_x", outputCol="_z", withMean=True), PCA(k=k, inputCol="_z", outputCol="_p")]
+    from pyspark.ml.feature import Imputer
+
+    data = df.withColumns({c: F.col(c).cast("double") for c in features})
+    filled_ = [f"_f_{c}" for c in features]
+    known = data.agg(*(F.count(F.nanvl(c, F.lit(None).cast("double"))).alias(c) for c in features)).first()
+    # a feature without any value has no mean: it is 0 throughout
+    data = data.withColumns({c: F.lit(0.0) for c in features if not known[c]})
+    stages = [Imputer(inputCols=features, outputCols=filled_), VectorAssembler(inputCols=filled_, outputCol="_x"), StandardScaler(inputCol="_x", outputCol="_z", withMean=True), PCA(k=k, inputCol="_z", outputCol="_p")]
     model = Pipeline(stages=stages).fit(data)
-    pc = model.stages[-1].pc.toArray()
-    spread = np.sqrt(np.maximum(model.stages[-1].explainedVariance.toArray() * len(features), 1e-9))
-    del pc
-    scale = F.array(*(F.lit(weight / float(s)) for s in spread))
-    out = model.transform(data).withColumn(output, F.zip_with(vector_to_array("_p"), scale, lambda a, b: a * b)).drop("_x", "_z", "_p")
+    scale = F.array(*(F.lit(weight / s) for s in axis_spread(model)))
+    out = model.transform(data).withColumn(output, F.zip_with(vector_to_array("_p"), scale, lambda a, b: a * b)).drop("_x", "_z", "_p", *filled_)
     return model, out
 
 
+def axis_spread(model: PipelineModel) -> list[float]:
+    """Standard deviation along each principal axis. Scaled columns have variance 1, but for constant ones, which have none."""
+    varying = int((model.stages[-2].std.toArray() > 0).sum())
+    return [float(x) for x in np.sqrt(np.maximum(model.stages[-1].explainedVariance.toArray() * varying, 1e-9))]
+
+
 def gaussian_segments(df: DataFrame, vector: str, k: int, seed: int = 7, engine: str = "gmm") -> DataFrame:
     """df with cluster, conf, entropy: a mixture of Gaussians, or k-means with a softmax of distances; 0 is the largest."""
     from pyspark.ml.functions import array_to_vector
@@ -179,6 +190,7 @@ def gaussian_segments(df: DataFrame, vector: str, k: int, seed: int = 7, engine:
 def choose_k(df: DataFrame, key: str, vector: str, ks: range, rounds: int = 2, engine: str = "kmeans") -> DataFrame:
     """k, ari, least_share: mean agreement of fits on hashed halves with the fit on all."""
     rows = []
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     for k in ks:
         full = gaussian_segments(df, vector, k, engine=engine).select(key, F.col("cluster").alias("a"))
         aris = []
@@ -188,6 +200,7 @@ def choose_k(df: DataFrame, key: str, vector: str, ks: range, rounds: int = 2, e
             aris.append(adjusted_rand(full.join(half, key), "a", "b").first()[0])
         sizes = full.groupBy("a").count().agg(F.min("count"), F.sum("count")).first()
         rows.append((k, float(np.mean(aris)), float(sizes[0] / max(sizes[1], 1))))
+    df.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, ari double, least_share double")
 
 
@@ -200,19 +213,18 @@ def quantile_grid(df: DataFrame, features: list[str], points: int = 101) -> dict
 
 def rank_gauss(df: DataFrame, grid: dict[str, list[float]], clip: float = 5.0) -> DataFrame:
     """Each feature as the normal score of its place on the frozen grid of quantiles; nulls stay."""
-    def scored(c: str):
+    from .accounts import normal_score
+
+    def place(c: str):
         knots = np.array(grid[c])
 
         def run(x: pd.Series) -> pd.Series:
-            from statistics import NormalDist
-
             lo, hi = np.interp(x, knots, np.linspace(0, 1, len(knots))), 1 - np.interp(-x, -knots[::-1], np.linspace(0, 1, len(knots)))
-            p, inv = np.clip((lo + hi) / 2, 1e-7, 1 - 1e-7), NormalDist().inv_cdf
-            return pd.Series([None if np.isnan(v) else max(-clip, min(clip, inv(v))) for v in p], dtype=float)
+            return pd.Series((lo + hi) / 2).where(x.notna())
 
         return F.pandas_udf(run, "double")(F.col(c).cast("double"))
 
-    return df.withColumns({c: scored(c) for c in grid})
+    return df.withColumns({c: place(c) for c in grid}).withColumns({c: normal_score(c, clip, 1e-7) for c in grid})
 
 
 def supervised_axis(df: DataFrame, features: list[str], label: str, key: str, k: int = 3, weight: float = 0.25) -> DataFrame:

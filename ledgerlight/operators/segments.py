@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import ranks
 from .encode import unpivot
 
 
@@ -31,7 +32,8 @@ def hit_metrics(df: DataFrame, segment: str, label: str, weight: float = 1.0) ->
 def drivers(df: DataFrame, cluster: str, features: list[str], quantiles: int = 25) -> DataFrame:
     """Per cluster and feature: Cohen's d, one-against-rest AUC, the side, and the threshold with the best Youden's J.
 
-    The thresholds are the same few quantiles of the feature for all clusters; counts above them come from one
+    The thresholds are the same few quantiles of the feature for all clusters: values at or above one are on its
+    high side, values at or below it on its low side. Counts come from one
     pass over (cluster, feature, interval) cells, so nothing is multiplied by rows."""
     long = unpivot(df, [cluster], features).where("value IS NOT NULL").withColumnRenamed(cluster, "cluster")
     grid = [0.02 + 0.96 * k / (quantiles - 1) for k in range(quantiles)]
@@ -53,22 +55,28 @@ def drivers(df: DataFrame, cluster: str, features: list[str], quantiles: int = 2
     v = v.withColumn("own", F.coalesce(F.sum("c").over(wc), F.lit(0))).join(all_v, ["column", "value"])
     wins = F.col("c") * ((F.col("below") - F.col("own")) + (F.col("a") - F.col("c")) / 2.0)
     auc = v.groupBy("column", "cluster").agg(F.sum(wins).alias("w"))
-    # cells between thresholds: how many of them a value exceeds
-    cells = long.join(F.broadcast(cuts), "column").withColumn("k", F.size(F.filter("cuts", lambda t: t < F.col("value"))))
-    cells = cells.groupBy("column", "cluster", "k").agg(F.count("*").alias("c"))
-    per = cells.join(F.broadcast(cuts), "column").select("column", "cluster", "k", "c", F.posexplode("cuts").alias("p", "t"))
-    per = per.groupBy("column", "cluster", "p", "t").agg(F.sum(F.when(F.col("k") > F.col("p"), F.col("c")).otherwise(0)).alias("tp"), F.sum("c").alias("n1"))
+    # cells between thresholds: how many of them a value reaches, and whether it lies on the last of these
+    cells = long.join(F.broadcast(cuts), "column").withColumn("k", F.size(F.filter("cuts", lambda t: t <= F.col("value"))))
+    cells = cells.groupBy("column", "cluster", "k", F.coalesce(F.get("cuts", F.col("k") - 1) == F.col("value"), F.lit(False)).alias("on")).agg(F.count("*").alias("c"))
+    per = cells.join(F.broadcast(cuts), "column").select("column", "cluster", "k", "on", "c", F.posexplode("cuts").alias("p", "t"))
+    reaches, stays = F.col("k") > F.col("p"), (F.col("k") <= F.col("p")) | (F.col("on") & (F.col("k") == F.col("p") + 1))
+    per = per.groupBy("column", "cluster", "p", "t").agg(F.sum(F.when(reaches, F.col("c")).otherwise(0)).alias("up"), F.sum(F.when(stays, F.col("c")).otherwise(0)).alias("down"), F.sum("c").alias("n1"))
     pw = Window.partitionBy("column", "p")
-    per = per.withColumn("above", F.sum("tp").over(pw)).withColumn("n", F.sum("n1").over(pw)).join(d.select("column", "cluster", "d"), ["column", "cluster"])
+    per = per.withColumns({"all_up": F.sum("up").over(pw), "all_down": F.sum("down").over(pw), "n": F.sum("n1").over(pw)}).join(d.select("column", "cluster", "d"), ["column", "cluster"])
     high = F.col("d") >= 0
-    tp = F.when(high, F.col("tp")).otherwise(F.col("n1") - F.col("tp"))
-    sel = F.when(high, F.col("above")).otherwise(F.col("n") - F.col("above"))
+    tp = F.when(high, F.col("up")).otherwise(F.col("down"))
+    sel = F.when(high, F.col("all_up")).otherwise(F.col("all_down"))
     j = tp / F.col("n1") - (sel - tp) / F.greatest(F.col("n") - F.col("n1"), F.lit(1))
     per = per.select("column", "cluster", "p", F.col("t").alias("threshold"), F.round(j, 12).alias("youden"), (tp / F.col("n1")).alias("coverage"), (tp / F.greatest(sel, F.lit(1))).alias("purity"))
     best = per.withColumn("_r", F.row_number().over(Window.partitionBy("column", "cluster").orderBy(F.desc("youden"), "p"))).where("_r = 1").drop("_r", "p")
     n_all = F.sum("n").over(Window.partitionBy("column"))
     out = d.withColumn("_rest", n_all - F.col("n")).join(auc, ["column", "cluster"]).join(best, ["column", "cluster"])
-    return out.select("cluster", "column", "d", F.when(F.col("_rest") > 0, F.col("w") / (F.col("n").cast("double") * F.col("_rest"))).otherwise(0.5).alias("auc"), F.when(F.col("d") >= 0, "high").otherwise("low").alias("side"), "threshold", "youden", "coverage", "purity")
+    # no cut better than none at all: no threshold
+    some = F.col("youden") > 0
+    return out.select(
+        "cluster", "column", "d", F.when(F.col("_rest") > 0, F.col("w") / (F.col("n").cast("double") * F.col("_rest"))).otherwise(0.5).alias("auc"), F.when(F.col("d") >= 0, "high").otherwise("low").alias("side"),
+        F.when(some, F.col("threshold")).alias("threshold"), *(F.when(some, F.col(c)).otherwise(0.0).alias(c) for c in ("youden", "coverage", "purity")),
+    )
 
 
 def bounds(df: DataFrame, cluster: str, features: list[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
@@ -260,7 +268,6 @@ def verdicts(summary: DataFrame, least_lift: float = 2.0, least_recall: float =
 
 def novelty(df: DataFrame, value: str, is_ref: str) -> DataFrame:
     """df with novelty: the share of references whose value is strictly lower."""
-    ref = F.col(is_ref).cast("long")
-    w = Window.orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
-    below = F.sum(ref).over(w) - F.sum(ref).over(Window.partitionBy(value))
-    return df.withColumn("novelty", below / F.greatest(F.sum(ref).over(Window.partitionBy()), F.lit(1)))
+    b = ranks.below(df, value, {"_r": F.col(is_ref).cast("long")})
+    b = b.select(F.col(value).alias("_v"), (F.col("_r_below") / F.greatest("_r_all", F.lit(1))).alias("novelty"))
+    return df.join(b, F.col(value) == F.col("_v"), "left").drop("_v")

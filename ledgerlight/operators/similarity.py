@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats
-from .accounts import average_rank
+from . import ranks
 
 #: References that every task may hold; more are split into that many rows a block.
 MAX_REFERENCES = 20_000
@@ -47,7 +47,10 @@ def shared_tokens(edges: DataFrame, account: str, token: str, most: int | None =
 
 def gower(pairs: DataFrame, rows: DataFrame, key: str, numbers: list[str], kinds: list[str]) -> DataFrame:
     """pairs (a, b) with the mean difference of percentile ranks and of kinds."""
-    r = rows.select(key, *(((average_rank(c)) / F.count(c).over(Window.partitionBy())).alias(c) for c in numbers), *kinds)
+    source = r = rows.select(key, *numbers, *kinds)
+    for c in numbers:
+        r = ranks.with_average_rank(r, c, f"_r_{c}", share=True, source=source)
+    r = r.select(key, *(F.col(f"_r_{c}").alias(c) for c in numbers), *kinds)
     left = r.select(*(F.col(c).alias("a" if c == key else f"a_{c}") for c in r.columns))
     right = r.select(*(F.col(c).alias("b" if c == key else f"b_{c}") for c in r.columns))
     t = pairs.join(left, "a").join(right, "b")

@@ -13,6 +13,10 @@ from ..config import Roles, Settings
 from ..operators import accounts, curves, models, similarity
 
 
+#: Levels of the channel that a segmentation takes; more are an error, none is left out.
+MOST_CHANNELS = 200
+
+
 @dataclass
 class Frozen:
     """What must not depend on the batch: the channels, prior branching ratios and the features' order."""
@@ -49,7 +53,9 @@ class Segmentation:
     def fit(self, events: DataFrame, labels: DataFrame) -> DataFrame:
         """labels: account, label. Returns accounts with cluster, conf, entropy, risk and lift."""
         r, s = self.roles, self.settings
-        channels = [x[0] for x in events.select(r.channel).distinct().orderBy(r.channel).limit(200).collect()] if r.channel else []
+        channels = [x[0] for x in events.select(r.channel).distinct().orderBy(r.channel).limit(MOST_CHANNELS + 1).collect()] if r.channel else []
+        if len(channels) > MOST_CHANNELS:
+            raise ValueError(f"{r.channel} has more than {MOST_CHANNELS} levels: group them first, each makes columns")
         table = blocks(events, r, None, channels, 0.3)
         features = [c for c in table.columns if c != r.account]
         self.frozen = Frozen(channels, 0.3, features, min(s.components, len(features)), s.segments)
@@ -66,11 +72,8 @@ class Segmentation:
         from pyspark.ml.functions import vector_to_array
 
         f = self.frozen
-        table = blocks(events, self.roles, f, f.channels, f.prior).fillna(0.0, subset=f.features)
-        import numpy as np
-
-        spread = np.sqrt(np.maximum(self.space.stages[-1].explainedVariance.toArray() * len(f.features), 1e-9))
-        scale = F.array(*(F.lit(1.0 / float(x)) for x in spread))
+        table = blocks(events, self.roles, f, f.channels, f.prior).withColumns({c: F.col(c).cast("double") for c in f.features})
+        scale = F.array(*(F.lit(1.0 / x) for x in models.axis_spread(self.space)))
         return self.space.transform(table).select(self.roles.account, F.zip_with(vector_to_array("_p"), scale, lambda a, b: a * b).alias("embedding"))
 
     def assign(self, events: DataFrame) -> DataFrame:

@@ -6,10 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .functions import clean, stats
-from .operators import accounts, curves, encode, models, rules, segments, similarity
+from .operators import accounts, curves, encode, models, ranks, rules, segments, similarity
 from .sources import extracts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,7 +193,12 @@ def spearman_matrix(spark, d):
     return r6(curves.spearman(x, x.columns))
 
 
-@query()
+_FIVE = [*NUMBERS, "2 * l_quantity"]
+_KEPT = ["TRUE"] + [" AND ".join(f"(NOT k{i} OR abs(coalesce(r{i}_{j}, 0)) < 0.95)" for i in range(j)) for j in range(1, 5)]
+
+
+@query("WITH k AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c} + 0.0) + (count(*) OVER (PARTITION BY {c} + 0.0) - 1) / 2.0 AS x{i}" for i, c in enumerate(_FIVE)) + " FROM lineitem), c AS (SELECT " + ", ".join(f"corr(x{i}, x{j}) AS r{i}_{j}" for j in range(5) for i in range(j)) + " FROM k), s0 AS (SELECT *, TRUE AS k0 FROM c), "
+       + ", ".join(f"s{j} AS (SELECT *, {_KEPT[j]} AS k{j} FROM s{j - 1})" for j in range(1, 5)) + " " + " UNION ALL ".join(f"SELECT '{n}' AS feature FROM s4 WHERE k{i}" for i, n in enumerate([*NUMBERS, "twice"])))
 def spearman_filter(spark, d):
     x = t(spark, d, "lineitem").select(*NUMBERS, (F.col("l_quantity") * 2).alias("twice"))
     kept = encode.correlation_filter([tuple(r) for r in curves.spearman(x, x.columns).collect()], x.columns)
@@ -205,11 +209,11 @@ def spearman_filter(spark, d):
 
 
 @query(f"""WITH {EV}, g AS (SELECT *, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER w AS gap, (row_number() OVER w - 1) / count(*) OVER (PARTITION BY user_id) >= 0.8 AS late FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-a AS (SELECT user_id, count(*) AS n, avg(value) AS m, max(value) AS mx, min(value) AS mn, coalesce(stddev_samp(value), 0) AS sd, avg((hour(ts) < 6)::INT) AS night, avg((value <= 3)::INT) AS tiny, avg(coalesce((gap < 3600)::INT, 0)) AS burst,
+a AS (SELECT user_id, count(*) AS n, avg(value) AS m, max(value) AS mx, min(value) AS mn, coalesce(stddev_samp(value), 0) AS sd, avg((hour(ts) < 6)::INT) AS night, avg((value <= 3)::INT) AS tiny, avg((value >= 50 AND abs(value - round_even(value / 10, 0) * 10) < 0.005)::INT) AS rnd, avg(coalesce((gap < 3600)::INT, 0)) AS burst,
 greatest((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6 / 86400 / 30, 1) AS mo, avg(CASE WHEN late THEN value END) AS la, avg(CASE WHEN NOT late THEN value END) AS ea FROM g GROUP BY user_id)
-SELECT user_id, n, round(ln(1 + m), 6) AS log_avg, round(ln((mx + .01) / (m + .01)), 6) AS spikiness, round(ln((mn + .01) / (m + .01)), 6) AS floor, round(sd / (m + .01), 6) AS cv, round(night, 6) AS night_rate, round(tiny, 6) AS tiny_rate, round(burst, 6) AS burst_rate, round(ln(n / mo), 6) AS log_tx_per_month, round(coalesce(ln((la + 1) / (ea + 1)), 0), 6) AS late_vs_early FROM a""")
+SELECT user_id, n, round(ln(1 + m), 6) AS log_avg, round(ln((mx + .01) / (m + .01)), 6) AS spikiness, round(ln((mn + .01) / (m + .01)), 6) AS floor, round(sd / (m + .01), 6) AS cv, round(night, 6) AS night_rate, round(tiny, 6) AS tiny_rate, round(rnd, 6) AS round_rate, round(burst, 6) AS burst_rate, round(ln(n / mo), 6) AS log_tx_per_month, round(coalesce(ln((la + 1) / (ea + 1)), 0), 6) AS late_vs_early FROM a""")
 def mss_tx_features(spark, d):
-    return r6(accounts.small_signals(ev(spark, d), "user_id", "ts", "event_id", "value").drop("round_rate"))
+    return r6(accounts.small_signals(ev(spark, d), "user_id", "ts", "event_id", "value"))
 
 
 @query("SELECT user_id, round(-sum(p * ln(p)), 6) AS entropy FROM (SELECT user_id, event_type, count(*) / sum(count(*)) OVER (PARTITION BY user_id) AS p FROM events GROUP BY 1, 2) GROUP BY user_id")
@@ -217,7 +221,7 @@ def mss_mix_entropy(spark, d):
     return r6(accounts.mixes(ev(spark, d), "user_id", "event_type", TYPES).select("user_id", "entropy"))
 
 
-EDGE = "e AS (SELECT DISTINCT o_custkey AS a, l_suppkey AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 20 = 0 OR l_quantity = 1)"
+EDGE = "e AS (SELECT DISTINCT o_custkey AS a, l_suppkey AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
 def _edges(spark, d):
@@ -271,7 +275,7 @@ def transition_block(spark, d):
     return r6(accounts.transitions(ev(spark, d), "user_id", "t", "event_id", "event_type", TYPES))
 
 
-@query()
+@query("WITH p AS (" + ORACLES["transition_block"].replace("round((coalesce(c, 0) + 0.5::DOUBLE)", "((coalesce(c, 0) + 0.5::DOUBLE)").replace("PARTITION BY g.user_id, g.a), 6) AS p", "PARTITION BY g.user_id, g.a)) AS p") + ") SELECT user_id, round(sum(CASE WHEN from_state = to_state THEN p ELSE 0 END) / 5, 6) AS dy_self_trans, round(-sum(p * ln(p)) / 5, 6) AS dy_entropy FROM p GROUP BY user_id")
 def transition_features(spark, d):
     return r6(accounts.transition_features(accounts.transitions(ev(spark, d), "user_id", "t", "event_id", "event_type", TYPES), "user_id", len(TYPES)))
 
@@ -286,11 +290,14 @@ def numeric_block(spark, d):
     return r6(accounts.numeric(ev(spark, d), "user_id", ["value"]))
 
 
+def _season(c: str, name: str) -> str:
+    return ", ".join(f"round({f}(2 * pi() * ({c} - {p} * floor({c} / {p})) / {p}), 6) + 0.0 AS dt_{w}_{f}_{name}" for w, p in (("week", "7::DOUBLE"), ("year", "365.25::DOUBLE")) for f in ("sin", "cos"))
+
+
 @query(f"""WITH {RW}, g AS (SELECT o_custkey, min((epoch_us(o_orderdate) - 946684800000000) / 86400e6) AS p, min((epoch_us(l_shipdate) - 946684800000000) / 86400e6) AS s FROM rw GROUP BY o_custkey)
-SELECT o_custkey, round(ln(1 + greatest(1000 - p, 0)), 6) AS dt_recency_o_orderdate, 0 AS dt_missing_o_orderdate, round(sin(2 * pi() * (p - 7 * floor(p / 7)) / 7), 6) + 0.0 AS dt_week_sin_o_orderdate, round(ln(1 + greatest(s - p, 0)), 6) AS dt_gap_l_shipdate FROM g""")
+SELECT o_custkey, round(ln(1 + greatest(1000 - p, 0)), 6) AS dt_recency_o_orderdate, 0 AS dt_missing_o_orderdate, {_season("p", "o_orderdate")}, round(ln(1 + greatest(1000 - s, 0)), 6) AS dt_recency_l_shipdate, 0 AS dt_missing_l_shipdate, round(ln(1 + greatest(s - p, 0)), 6) AS dt_gap_l_shipdate, {_season("s", "l_shipdate")} FROM g""")
 def date_block(spark, d):
-    b = accounts.dates(rw(spark, d), "o_custkey", "o_orderdate", ["l_shipdate"], 1000.0)
-    return r6(b.select("o_custkey", "dt_recency_o_orderdate", "dt_missing_o_orderdate", "dt_week_sin_o_orderdate", "dt_gap_l_shipdate"))
+    return r6(accounts.dates(rw(spark, d), "o_custkey", "o_orderdate", ["l_shipdate"], 1000.0))
 
 
 @query(f"WITH {EV} SELECT x.user_id, x.event_id, round(coalesce(sum(exp(-(x.t - y.t) / (1 / 24.0))), 0), 6) AS r FROM ev x LEFT JOIN ev y ON x.user_id = y.user_id AND (y.t < x.t OR (y.t = x.t AND y.event_id < x.event_id)) GROUP BY 1, 2")
@@ -317,14 +324,14 @@ def peer_quantile_u(spark, d):
     return r6(_peers(spark, d))
 
 
-@query()
+@query(PEER.replace("SELECT c_custkey, round(CASE", "SELECT c_custkey, round(least(greatest(" + stats.normal_quantile_sql("u") + ", -3.5), 3.5), 6) AS z FROM (SELECT c_custkey, (CASE").replace(", 6) AS u FROM w", ") AS u FROM w)"))
 def peer_rank_gauss(spark, d):
     return r6(_peers(spark, d).select("c_custkey", accounts.normal_score("u").alias("z")))
 
 
 @query("SELECT c_custkey, round((rank() OVER (ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2.0) / count(*) OVER (), 6) AS pct FROM customer")
 def avg_rank_pct(spark, d):
-    return r6(t(spark, d, "customer").select("c_custkey", (accounts.average_rank("c_nationkey") / F.count("*").over(Window.partitionBy())).alias("pct")))
+    return r6(ranks.with_average_rank(t(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", "pct", share=True).select("c_custkey", "pct"))
 
 
 # segments and curves
@@ -352,18 +359,32 @@ def cluster_scorecard(spark, d):
     return r6(curves.scorecard(rw(spark, d), "o_orderpriority", "y", 20_000_000, 800))
 
 
-@query(f"""WITH {RW}, l AS (SELECT o_orderpriority AS c, 'l_quantity' AS f, l_quantity AS v FROM rw UNION ALL SELECT o_orderpriority, 'l_tax', l_tax + 0.0 FROM rw), k AS (SELECT DISTINCT c FROM l),
+GRID = "[" + ", ".join(f"{0.02 + 0.96 * k / 24!r}" for k in range(25)) + "]"
+
+
+def _driver_sql(features: list[str]) -> str:
+    long = " UNION ALL ".join(f"SELECT o_orderpriority AS c, '{x}' AS f, {x} + 0.0::DOUBLE AS v FROM rw" for x in features)
+    return f"""WITH {RW}, l AS ({long}), k AS (SELECT DISTINCT c FROM l),
 s AS (SELECT k.c AS cluster, f AS "column", avg(CASE WHEN l.c = k.c THEN v END) AS m1, avg(CASE WHEN l.c <> k.c THEN v END) AS m0, var_samp(CASE WHEN l.c = k.c THEN v END) AS v1, var_samp(CASE WHEN l.c <> k.c THEN v END) AS v0, sum((l.c = k.c)::INT) AS n1, sum((l.c <> k.c)::INT) AS n0 FROM l CROSS JOIN k GROUP BY 1, 2),
-r AS (SELECT c, f, rank() OVER (PARTITION BY f ORDER BY v) + (count(*) OVER (PARTITION BY f, v) - 1) / 2.0 AS r FROM l), a AS (SELECT c, f, sum(r) AS s, count(*) AS n FROM r GROUP BY 1, 2)
-SELECT s.cluster, s."column", round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 6) AS d, round((a.s - n1 * (n1 + 1) / 2.0) / (n1::DOUBLE * n0), 6) AS auc FROM s JOIN a ON a.c = s.cluster AND a.f = s."column" """)
+e AS (SELECT *, (m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)) AS d FROM s),
+r AS (SELECT c, f, rank() OVER (PARTITION BY f ORDER BY v) + (count(*) OVER (PARTITION BY f, v) - 1) / 2.0 AS r FROM l), a AS (SELECT c, f, sum(r) AS s, count(*) AS n FROM r GROUP BY 1, 2),
+q AS (SELECT f, unnest(list_distinct(quantile_cont(v, {GRID}))) AS t FROM l GROUP BY f), x AS (SELECT l.c, l.f, q.t, sum((v >= t)::INT) AS up, sum((v <= t)::INT) AS down, count(*) AS n FROM l JOIN q ON l.f = q.f GROUP BY 1, 2, 3),
+y AS (SELECT *, sum(up) OVER w AS au, sum(down) OVER w AS ad, sum(n) OVER w AS nn FROM x WINDOW w AS (PARTITION BY f, t)), z AS (SELECT y.*, d, CASE WHEN d >= 0 THEN up ELSE down END AS tp, CASE WHEN d >= 0 THEN au ELSE ad END AS sel FROM y JOIN e ON e.cluster = y.c AND e."column" = y.f),
+j AS (SELECT *, round(tp / n - (sel - tp) / (nn - n), 12) AS j FROM z), b AS (SELECT *, row_number() OVER (PARTITION BY c, f ORDER BY j DESC, t) AS r FROM j)
+SELECT e.cluster, e."column", round(e.d, 6) AS d, round((a.s - n1 * (n1 + 1) / 2.0) / (n1::DOUBLE * n0), 6) AS auc, CASE WHEN e.d >= 0 THEN 'high' ELSE 'low' END AS side, CASE WHEN j > 0 THEN round(t, 6) END AS threshold, CASE WHEN j > 0 THEN round(j, 6) ELSE 0 END AS youden, CASE WHEN j > 0 THEN round(tp / b.n, 6) ELSE 0 END AS coverage, CASE WHEN j > 0 THEN round(tp / greatest(sel, 1), 6) ELSE 0 END AS purity
+FROM e JOIN a ON a.c = e.cluster AND a.f = e."column" JOIN b ON b.c = e.cluster AND b.f = e."column" AND b.r = 1"""
+
+
+@query(_driver_sql(["l_quantity", "l_tax"]))
 def cluster_drivers(spark, d):
     x = rw(spark, d).withColumn("l_tax", F.col("l_tax") + 0.0)
-    return r6(segments.drivers(x, "o_orderpriority", ["l_quantity", "l_tax"]).select("cluster", "column", "d", "auc"))
+    return r6(segments.drivers(x, "o_orderpriority", ["l_quantity", "l_tax"]))
 
 
-@query()
+@query(_driver_sql(NUMBERS))
 def cluster_driver_thresholds(spark, d):
-    return r6(segments.drivers(rw(spark, d), "o_orderpriority", NUMBERS))
+    x = rw(spark, d).withColumns({c: F.col(c) + 0.0 for c in NUMBERS})
+    return r6(segments.drivers(x, "o_orderpriority", NUMBERS))
 
 
 @query(f"""WITH {RW}, b AS (SELECT o_orderpriority AS c, quantile_cont(l_extendedprice, 0.05) AS lo, quantile_cont(l_extendedprice, 0.95) AS hi FROM rw GROUP BY 1), i AS (SELECT b.c, lo, hi, avg(CASE WHEN o_orderpriority = b.c THEN (l_extendedprice BETWEEN lo AND hi)::INT END) AS a, avg(CASE WHEN o_orderpriority <> b.c THEN (l_extendedprice BETWEEN lo AND hi)::INT END) AS o FROM rw CROSS JOIN b GROUP BY 1, 2, 3)
@@ -494,7 +515,7 @@ def centroid_bars(spark, d):
     return r6(similarity.member_bars(e, "label", "embedding", c))
 
 
-@query()
+@query(f"WITH {EMB}, b AS (SELECT g, quantile_cont(cos, 0.05) AS bar FROM k WHERE label = g GROUP BY g) SELECT vec_id, CASE WHEN cos >= bar THEN cluster ELSE -1 END AS cluster, round(cos, 6) AS cosine FROM a JOIN b ON a.cluster = b.g")
 def centroid_gated(spark, d):
     e, c, _ = _assigned(spark, d)
     return r6(similarity.nearest(e, "vec_id", "embedding", c, similarity.member_bars(e, "label", "embedding", c)))
@@ -557,14 +578,15 @@ def token_multihot(spark, d):
     return p.select("p_partkey", *encode.multi_hot("p", ["green", "red"]))
 
 
-COMBO = """WITH k AS (SELECT DISTINCT p_partkey AS k, (p_size > 45)::INT AS y, unnest(string_split(p_name, ' ')) AS t FROM part), n AS (SELECT sum((p_size > 45)::INT) AS nf, sum((p_size <= 45)::INT) AS ng FROM part), o AS (SELECT t, sum(y) AS f, sum(1 - y) AS g FROM k GROUP BY t HAVING sum(y) >= 2), p AS (SELECT a.t || '+' || b.t AS t, sum(a.y) AS f, sum(1 - a.y) AS g FROM k a JOIN k b ON a.k = b.k AND a.t < b.t JOIN o x ON x.t = a.t JOIN o z ON z.t = b.t GROUP BY 1 HAVING sum(a.y) >= 2)
-SELECT t AS combo, f::BIGINT AS frauds, g::BIGINT AS goods, round((f / nf) / ((g + 1) / (ng + 1)), 6) AS lift FROM (SELECT * FROM o UNION ALL SELECT * FROM p), n WHERE (f / nf) / ((g + 1) / (ng + 1)) >= 0.5"""
+COMBO = """WITH k AS (SELECT DISTINCT p_partkey AS k, (p_size > 45)::INT AS y, unnest(string_split(p_name, ' ')) AS t FROM part), n AS (SELECT sum((p_size > 45)::INT) AS nf, sum((p_size <= 45)::INT) AS ng FROM part), o AS (SELECT t, sum(y) AS f, sum(1 - y) AS g FROM k GROUP BY t HAVING sum(y) >= 2), p AS (SELECT a.t || '+' || b.t AS t, sum(a.y) AS f, sum(1 - a.y) AS g FROM k a JOIN k b ON a.k = b.k AND a.t < b.t JOIN o x ON x.t = a.t JOIN o z ON z.t = b.t GROUP BY 1 HAVING sum(a.y) >= 2),
+q AS (SELECT a.t || '+' || b.t || '+' || c.t AS t, sum(a.y) AS f, sum(1 - a.y) AS g FROM k a JOIN k b ON a.k = b.k AND a.t < b.t JOIN k c ON a.k = c.k AND b.t < c.t JOIN o z ON z.t = c.t JOIN p ON p.t = a.t || '+' || b.t GROUP BY 1 HAVING sum(a.y) >= 2)
+SELECT t AS combo, f::BIGINT AS frauds, g::BIGINT AS goods, round((f / nf) / ((g + 1) / (ng + 1)), 6) AS lift FROM (SELECT * FROM o UNION ALL SELECT * FROM p UNION ALL SELECT * FROM q), n WHERE (f / nf) / ((g + 1) / (ng + 1)) >= 0.5"""
 
 
 @query(COMBO)
 def token_combos(spark, d):
     p = t(spark, d, "part").select("p_partkey", (F.col("p_size") > 45).cast("int").alias("y"), F.split("p_name", " ").alias("w"))
-    return r6(rules.token_combinations(p, "p_partkey", "w", "y", 2, 0.5, 1000, 100000, 2))
+    return r6(rules.token_combinations(p, "p_partkey", "w", "y", 2, 0.5, 1000, 100000))
 
 
 @query(f"WITH {EDGE}, s AS (SELECT a, count(*) AS n FROM e GROUP BY a), p AS (SELECT x.a, y.a AS b, count(*) AS common FROM e x JOIN e y ON x.s = y.s AND x.a < y.a GROUP BY 1, 2) SELECT p.a, p.b, common, round(common / (x.n + y.n - common), 6) AS jaccard FROM p JOIN s x ON x.a = p.a JOIN s y ON y.a = p.b")
@@ -605,7 +627,8 @@ def knn_kernel_score(spark, d):
     return r6(_kernel(spark, d).select("vec_id", "score"), 5)
 
 
-@query()
+@query(KNN[: KNN.index(" SELECT a AS vec_id, round(ln(")].replace("SELECT d.a, d.b, (d.t < 3)::INT AS y,", "SELECT d.a, d.b, d.t, (d.t < 3)::INT AS y,") + """, f AS (SELECT *, row_number() OVER (PARTITION BY a, t ORDER BY s DESC, b) AS r FROM e WHERE y = 1), g AS (SELECT a, t, avg(s) AS m FROM f WHERE r <= 3 GROUP BY 1, 2),
+h AS (SELECT a, t, row_number() OVER (PARTITION BY a ORDER BY round(m, 13) DESC, t DESC) AS r FROM g), x AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM f) SELECT h.a AS vec_id, h.t AS predicted, x.b AS exemplar FROM h JOIN x ON h.a = x.a WHERE h.r = 1 AND x.r = 1""")
 def knn_kernel_types(spark, d):
     return _kernel(spark, d).select("vec_id", "predicted", "exemplar")
 
@@ -630,10 +653,10 @@ def _labelled(spark, d):
 @query()
 def gbt_oof(spark, d):
     """AUC of scores out of fold, on whole tables."""
-    return r6(curves.auc(models.out_of_fold(_labelled(spark, d), NUMBERS, "f", "o_custkey", k=2, trees=3), ["score"], "f"), 3)
+    return r6(curves.auc(models.out_of_fold(_labelled(spark, d), NUMBERS, "f", "o_custkey"), ["score"], "f"), 3)
 
 
-@query()
+@query("SELECT 0.0::DOUBLE AS gap, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def contribution_sum_check(spark, d):
     x = _labelled(spark, d)
     m = models.boosted(NUMBERS, "f", trees=3).fit(models.filled(x, NUMBERS))
@@ -649,7 +672,7 @@ def tree_rule(spark, d):
 
 @query()
 def beam_peel(spark, d):
-    found = rules.peel(rw(spark, d), "y", ["l_quantity", "l_tax"], rounds=2, least=5, width=5, depth=2)
+    found = rules.peel(rw(spark, d), "y", ["l_quantity", "l_tax"], least=5)
     return spark.createDataFrame([(r.text(), float(q), int(n), int(f)) for r, q, n, f in found], "rule string, quality double, n long, frauds long")
 
 
@@ -680,7 +703,7 @@ def kmeans_states(spark, d):
 def select_k(spark, d):
     b = _blocks(spark, d)
     e = models.whitened(b, [c for c in b.columns if c != "user_id"], 3)[1].select("user_id", "embedding")
-    return models.choose_k(e, "user_id", "embedding", range(2, 4), rounds=1)
+    return models.choose_k(e, "user_id", "embedding", range(2, 7))
 
 
 # more of the same
@@ -793,11 +816,12 @@ def supervised_axis(spark, d):
 
 @query()
 def mixture_segments(spark, d):
-    e = t(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("v"))
-    return r6(models.mixture_assign(e, "vec_id", "v", models.diagonal_mixture(e, "v", 3, rounds=5)), 4)
+    e = t(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return r6(models.mixture_assign(e, "vec_id", "v", models.diagonal_mixture(e, "v", 3)), 4)
 
 
-@query()
+@query(f"""WITH {RW}, f AS (SELECT l_quantity + 0.0::DOUBLE AS y, (l_quantity > 45)::INT::DOUBLE AS a, (l_tax = 0)::INT::DOUBLE AS b FROM rw), c AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS byy FROM f),
+k AS (SELECT *, (bb * ay - ab * byy) / (aa * bb - ab * ab) AS p, (aa * byy - ab * ay) / (aa * bb - ab * ab) AS q FROM c) SELECT a::INT AS mo__BIG, b::INT AS mo__FREE, round(avg(y - my - p * (a - ma) - q * (b - mb)), 4) + 0.0 AS mean, count(*) AS n FROM f, k GROUP BY 1, 2""")
 def residualised(spark, d):
     x = segments.behaviours(rw(spark, d), MOS)
     return r6(models.residualised(x, ["l_quantity"], ["mo__BIG", "mo__FREE"]).groupBy("mo__BIG", "mo__FREE").agg(F.avg("l_quantity").alias("mean"), F.count("*").alias("n")), 4)

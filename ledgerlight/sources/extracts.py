@@ -13,12 +13,21 @@ from pyspark.sql.window import Window
 from ..functions.clean import account_key, is_date, is_numeric, number, parse_date
 
 
+#: Extensions that read_any tells apart.
+KINDS = ("parquet", "csv", "txt", "json", "ndjson", "orc")
+
+
 def read_any(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Parquet, CSV, JSON or ORC by extension; a folder is parquet. A schema is better than inference for texts."""
+    """Parquet, CSV, JSON or ORC by extension; a folder without one is read file by file, each by its own, and united.
+    Without a schema the types of CSV columns come from all rows."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if kind not in KINDS and len(found := files_in(spark, path)) > 1 and len({x.rsplit(".", 1)[-1].lower() for x in found}) > 1:
+        return union_relaxed([read_any(spark, x, schema) for x in found])
+    if kind not in KINDS and found and found[0].rsplit(".", 1)[-1].lower() in KINDS:
+        kind = found[0].rsplit(".", 1)[-1].lower()
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if kind in ("csv", "txt"):
-        return reader.csv(path, header=True, inferSchema=schema is None, samplingRatio=None if schema is not None else 0.1)
+        return reader.csv(path, header=True, inferSchema=schema is None)
     if kind in ("json", "ndjson"):
         return reader.json(path)
     if kind == "orc":
@@ -26,6 +35,16 @@ def read_any(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return reader.parquet(path)
 
 
+def files_in(spark: SparkSession, path: str) -> list[str]:
+    """The data files that lie in a folder, by any file system that Spark knows; none if it is no folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at) or not fs.getFileStatus(at).isDirectory():
+        return []
+    found = [(x.getPath().toString(), x.getPath().getName()) for x in fs.listStatus(at) if x.isFile()]
+    return sorted(p for p, name in found if name[:1] not in "._" and name.rsplit(".", 1)[-1].lower() in KINDS)
+
+
 def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
     if a == b:
         return a
@@ -121,18 +140,26 @@ def write(df: DataFrame, path: str, partition_by: list[str] | None = None) -> No
     w.csv(path, header=True) if kind == "csv" else w.json(path) if kind == "json" else w.parquet(path)
 
 
-def markdown(df: DataFrame, columns: list[str] | None = None, rows: int = 1000) -> str:
-    """A report table; reports are small, and at most `rows` rows are shown."""
+def _report_rows(df: DataFrame, most: int) -> list:
+    """All rows of a report; one of more than `most` rows is an error, as it belongs into a table."""
+    found = df.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows: write them as a table")
+    return found
+
+
+def markdown(df: DataFrame, columns: list[str] | None = None, most: int = 100_000) -> str:
+    """A report table of all rows."""
     columns = columns or df.columns
     def shown(x):
         return "" if x is None else f"{x:.4g}" if isinstance(x, float) else str(x).replace("|", "\\|")
 
     lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
-    return "\n".join(lines + ["| " + " | ".join(shown(r[c]) for c in columns) + " |" for r in df.select(*columns).limit(rows).collect()])
+    return "\n".join(lines + ["| " + " | ".join(shown(r[c]) for c in columns) + " |" for r in _report_rows(df.select(*columns), most)])
 
 
-def report_json(df: DataFrame, rows: int = 1000) -> str:
-    return json.dumps([r.asDict(True) for r in df.limit(rows).collect()], default=str, indent=1)
+def report_json(df: DataFrame, most: int = 100_000) -> str:
+    return json.dumps([r.asDict(True) for r in _report_rows(df, most)], default=str, indent=1)
 
 
 def account_sample(df: DataFrame, account: str, n: int, seed: int = 0) -> DataFrame:
