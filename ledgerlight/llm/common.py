@@ -160,6 +160,42 @@ def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
+def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each key in a partition that is sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = column(batch, key)
+        cut = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        for a, b in zip(cut[:-1], cut[1:]):
+            if held and held[-1].column(held[-1].schema.get_field_index(key))[-1].as_py() != k[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: str, least: int = 1 << 16) -> Iterator[pa.Table]:
+    """Whole groups of a partition that is sorted by key, about `least` rows at a time."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n >= least:
+            k = column(batch, key)
+            cut = int(np.searchsorted(k, k[-1]))
+            if cut:
+                yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
+                held, n = [batch.slice(cut)], batch.num_rows - cut
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 class Union:
     """Groups of the numbers below n."""
 

@@ -6,11 +6,10 @@ group (previous-smaller pointers), which moves to a new group right above its ow
 in ascending order; each emits those whose Lyndon prefix ends where it starts, found along the same
 pointers, into the next place of their group. Both phases take linear time; nothing is renamed recursively.
 
-`remove` meets segments of documents by anchor (see repeats). In each shard the texts to the right of the
-anchors, and those to the left read backwards, become strings of blocks named in byte order; their suffix
-arrays give the order of the segments' sides and the common prefixes of neighbours. A window that reaches d
-bytes left of its anchor occurs elsewhere if another segment has the same first d bytes to the left and
-the same window - d to the right.
+`remove` meets segments of documents by anchor (see repeats). In each shard all their texts are cut into
+phrases, ended by a rule that only looks at the bytes themselves, and named in byte order. One suffix array of
+the whole shard, at every phrase of every text, puts equal strings side by side; what neighbours share, to
+the right and, read backwards, to the left of their first phrase start, says which windows recur.
 """
 
 from __future__ import annotations
@@ -22,12 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import column, id_text
-from .jaccard import runs
-from .repeats import ASK, Bytes, covered, packed, removals, unpacked
+from .common import Spans, byte_symbols, column, id_text, runs
+from .repeats import ASK, Bytes, covered, joined, removals, unpacked
 
-#: Bytes of a block, and segments that are taken together (more only if they share an anchor).
-BLOCK, ROWS = 64, 8192
+#: Segments that are taken together (more only if they share an anchor).
+ROWS = 4096
+#: White space, and the bytes after which it ends a phrase at first: about a third of all.
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+CERTAIN = (np.arange(256) * 37 % 256 % 3 == 0) & ~SPACE
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -99,34 +101,62 @@ def suffix_array(text: list[int]) -> list[int]:
     return out[1:]
 
 
-def side_order(rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of zero-padded byte rows, and by rank the bytes shared with the one before (0 for the first)."""
-    m, width = rows.shape
-    blocks = -(-width // BLOCK)
-    wide = np.zeros((m, blocks * BLOCK), np.uint8)
-    wide[:, :width] = rows
-    flat = wide.reshape(m * blocks, BLOCK)
-    used = (np.arange(blocks)[None, :] * BLOCK < np.maximum(lengths, 1)[:, None]).ravel()
-    cells = np.ascontiguousarray(flat[used]).view(">u8")
-    by = np.lexsort(cells.T[::-1])
-    name = np.empty(len(cells), np.int64)
-    name[by] = np.cumsum(np.r_[True, (cells[by][1:] != cells[by][:-1]).any(axis=1)])
-    per = used.reshape(m, blocks).sum(axis=1)
-    first = np.cumsum(per + 1) - per - 1
-    text = np.zeros(len(cells) + m, np.int64)
-    text[np.arange(len(cells)) + np.repeat(np.arange(m), per)] = name
-    of_row = np.full(len(text), -1)
-    of_row[first] = np.arange(m)
-    order = of_row[np.array(suffix_array(text.tolist()), dtype=np.int64)]
-    order = order[order >= 0]
-    rank = np.empty(m, np.int64)
-    rank[order] = np.arange(m)
-    shared = np.zeros(m, np.int64)
-    for k in range(1, m, 4096):
-        a, b = rows[order[k - 1 : k + 4095]][: min(4096, m - k)], rows[order[k : k + 4096]]
-        differ = a != b
-        shared[k : k + 4096] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
-    return rank, shared
+def ends_of_phrases(data: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
+    """Which bytes end a phrase, by a rule that looks at the byte and the one before it in its text alone, so that
+    equal strings are cut alike; the first rule under which no phrase is longer than `most`. starts: of the texts.
+
+    A phrase is ended by white space after certain bytes, else by any white space, else by more and more bytes."""
+    before = np.empty_like(data)
+    before[1:] = data[:-1]
+    before[starts] = 32
+    ends = SPACE[data]
+    rules = [ends & CERTAIN[before], ends]
+    single = SPACE.copy()
+    while True:
+        ends = rules.pop(0) if rules else single[data]
+        cut = np.union1d(starts, np.append(np.flatnonzero(ends) + 1, len(data)))
+        long = np.flatnonzero(np.diff(cut) > most)
+        if not len(long):
+            return ends
+        if not rules:
+            held = np.zeros(256, np.int64)
+            for k in long[:1024]:
+                held[np.unique(data[cut[k] : cut[k + 1]])] += 1
+            total = np.bincount(data, minlength=256)
+            usual = np.flatnonzero(held * 2 >= held.max())
+            single[usual[np.argmin(total[usual])]] = True
+
+
+def shared_bytes(data: np.ndarray, left: np.ndarray, right: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """How many bytes are equal from left and from right on, up to `room`."""
+    out = np.zeros(len(left), np.int64)
+    most = int(room.max(initial=0))
+    wide = np.concatenate([data, np.zeros(most + 64, np.uint8)])
+    alive, done = np.arange(len(left)), 0
+    while len(alive) and done < most:
+        step = 64 if done else 32
+        view = np.lib.stride_tricks.sliding_window_view(wide, step)
+        on = []
+        for k in range(0, len(alive), 16384):
+            i = alive[k : k + 16384]
+            differ = view[left[i] + done] != view[right[i] + done]
+            some = differ.any(axis=1)
+            out[i] = done + np.where(some, differ.argmax(axis=1), step)
+            on.append(i[~some & (done + step < room[i])])
+        alive, done = np.concatenate(on), done + step
+    return np.minimum(out, room)
+
+
+def side_classes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of texts, and by rank the bytes at the beginning that one shares with the text of the rank before."""
+    distinct = sorted(set(texts))
+    rank = {t: k for k, t in enumerate(distinct)}
+    size = np.array([len(t) for t in distinct], np.int64)
+    at = np.cumsum(size) - size
+    data = np.frombuffer(b"".join(distinct), np.uint8)
+    shared = np.zeros(len(distinct), np.int64)
+    shared[1:] = shared_bytes(data, at[:-1], at[1:], np.minimum(size[:-1], size[1:]))
+    return np.array([rank[t] for t in texts], np.int64), shared
 
 
 def found(window: int):
@@ -141,43 +171,58 @@ def found(window: int):
 
 
 def shard(rows: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of windows that occur at another place of the shard's texts too, those of segments that are asked for.
+
+    One suffix array over all phrases of all texts; a window starts d bytes before its first phrase start (the
+    first that its own bytes decide) and recurs if a neighbouring suffix shares window - d bytes to the right
+    and has the same d bytes on its left."""
     doc, what, anchor = (rows[c].to_numpy() for c in ("doc_id", "what", "anchor"))
-    place, n, distance = unpacked(rows["place"].to_numpy())
+    place = unpacked(rows["place"].to_numpy())[0]
     order = np.lexsort((rows["place"].to_numpy(), doc, anchor))
     order = order[np.r_[True, (np.diff(doc[order]) != 0) | (np.diff(place[order]) != 0) | (anchor[order][1:] != anchor[order][:-1])]]
     texts = rows["text"].take(order).to_pylist()
-    doc, what, place, n, distance = (x[order] for x in (doc, what, place, n, distance))
-    m = len(doc)
-    right_size, left_size = n - 1 + window - distance, distance
-    right = np.zeros((m, int(right_size.max())), np.uint8)
-    left = np.zeros((m, max(1, int(left_size.max()))), np.uint8)
-    for k, (t, d) in enumerate(zip(texts, distance.tolist())):
-        b = np.frombuffer(t, np.uint8)
-        right[k, : len(b) - d] = b[d:]
-        left[k, :d] = b[:d][::-1]
-    right_rank, right_shared = side_order(right, right_size)
-    left_rank, left_shared = side_order(left, left_size)
+    doc, what, place = (x[order] for x in (doc, what, place))
+    size = np.array([len(t) for t in texts], np.int64)
+    stop = np.cumsum(size)
+    begin = stop - size
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ends = ends_of_phrases(data, begin, window * 3 // 4)
+    start = np.union1d(begin, np.flatnonzero(ends[:-1]) + 1)
+    of = np.searchsorted(begin, start, side="right") - 1
+    until = np.append(start[1:], len(data))
+    # phrases named in the order of their bytes; a text ends with a symbol under all names
+    key, first, name = np.unique(Spans(byte_symbols(data)).of(start, until), return_index=True, return_inverse=True)
+    spelled = [data[x:y].tobytes() for x, y in zip(start[first].tolist(), until[first].tolist())]
+    by = np.argsort(np.array(sorted(range(len(spelled)), key=spelled.__getitem__)))
+    symbols = np.insert(by[name] + 1, np.flatnonzero(np.diff(of, append=-1)) + 1, 0)
+    suffix = np.array(suffix_array(symbols.tolist()), np.int64)
+    number = np.cumsum(symbols > 0) - 1
+    suffix = number[suffix[symbols[suffix] > 0]]
+    at, room = start[suffix], stop[of[suffix]] - start[suffix]
+    right_shared = np.zeros(len(suffix), np.int64)
+    right_shared[1:] = shared_bytes(data, at[:-1], at[1:], np.minimum(np.minimum(room[:-1], room[1:]), window))
+    rank = np.empty(len(suffix), np.int64)
+    rank[suffix] = np.arange(len(suffix))
+    # windows from one byte before the phrase start before (or the text's start) to two bytes before this one
+    inner = np.flatnonzero(start > begin[of])
+    low = np.maximum(begin[of[inner]], start[inner - 1] - 1)
+    width = start[inner] - low
+    left_rank, left_shared = side_classes([data[x:y][::-1].tobytes() for x, y in zip(low.tolist(), start[inner].tolist())])
     docs, places = [], []
-    for d in range(int(left_size.max()) + 1):
-        has = np.flatnonzero((distance - n + 1 <= d) & (d <= distance))
-        if len(has) < 2:
-            continue
-        r = np.cumsum(right_shared < window - d)[right_rank[has]]
-        l = np.cumsum(left_shared < d)[left_rank[has]]
-        _, of, many = np.unique(l * (m + 1) + r, return_inverse=True, return_counts=True)
-        hit = has[(many[of] > 1) & (what[has] == ASK)]
-        docs.append(doc[hit])
-        places.append(packed(place[hit] + distance[hit] - d, 1, 0))
+    for d in range(2, int(width.max(initial=0)) + 1):
+        # a start that lies one byte after the start before is the next start's to decide
+        has = inner[width >= d]
+        if not len(has):
+            break
+        r = np.cumsum(right_shared < window - d)[rank[has]]
+        l = np.cumsum(left_shared < d)[left_rank[width >= d]]
+        _, group, many = np.unique(l * (len(suffix) + 1) + r, return_inverse=True, return_counts=True)
+        hit = has[(many[group] > 1) & (what[of[has]] == ASK)]
+        docs.append(doc[of[hit]])
+        places.append(place[of[hit]] + start[hit] - d - begin[of[hit]])
     if not docs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    docs, places = np.concatenate(docs), np.concatenate(places)
-    by = np.lexsort((places, docs))
-    docs, at = docs[by], unpacked(places[by])[0]
-    head = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (at[1:] > at[:-1] + 1) | (at[1:] // 2048 != at[:-1] // 2048)]) if len(docs) else np.zeros(0, np.int64)
-    if not len(head):
-        return docs, at
-    last = np.r_[head[1:], len(docs)] - 1
-    return docs[head], packed(at[head], at[last] - at[head] + 1, 0)
+    return joined(np.concatenate(docs), np.concatenate(places))
 
 
 def remove(docs: DataFrame, window: int = 400, gram: int = 200, with_text: bool = False) -> DataFrame:

@@ -15,8 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Spans, column, id_text, text_chunks, word_hashes, word_spans
-from .jaccard import runs
+from .common import Spans, column, id_text, runs, text_chunks, word_hashes, word_spans
 from .repeats import Words, covered, packed, removals, unpacked
 
 #: Phrases in one automaton, and segments that are taken together (more only if they share an anchor).

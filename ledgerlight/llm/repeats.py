@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, byte_symbols, column, mixed, parts, saved, signed, text_chunks, word_hashes, word_spans
+from .common import Spans, byte_symbols, column, mixed, parts, runs, saved, signed, text_chunks, word_hashes, word_spans
 
 #: A place is packed with the number of windows (less one) and the anchor's distance from the first: 2 x 12 bits.
 BITS = 12
@@ -114,12 +114,14 @@ def changes(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, place: np.
     return new, other
 
 
-#: What becomes of a segment: all its windows recur; to be looked at; the same, and equal ones exist.
-GONE, ASK, ASK_TWICE = 0, 1, 2
+#: What becomes of a segment: all its windows recur; to be looked at; the same, and equal ones exist; to be met window by window.
+GONE, ASK, ASK_TWICE, SPLIT = 0, 1, 2, 3
+#: Different segments of one anchor that go to one task; beyond that each window is met by its own hash.
+CROWD = 4096
 
 
 def met(keep_first: bool) -> Callable:
-    """Rows of a partition by anchor: which segments recur as a whole, and which share an anchor with others."""
+    """Rows of a partition sorted by anchor: which segments recur as a whole, and which share an anchor with others."""
 
     def rows(anchor: np.ndarray, doc: np.ndarray, place: np.ndarray, what: np.ndarray) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(doc), 1 << 16):
@@ -127,17 +129,13 @@ def met(keep_first: bool) -> Callable:
             yield pa.RecordBatch.from_arrays([pa.array(anchor[r]), pa.array(doc[r]), pa.array(place[r]), pa.array(what[r].astype(np.int32))], names=["anchor", "doc_id", "place", "what"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for b in batches:
-            copies = column(b, "copies")
-            over = copies == 0
-            anchor, content, doc, place = (column(b, c) for c in ("anchor", "content", "doc_id", "place"))
-            yield from rows(anchor[over], doc[over], place[over], np.full(int(over.sum()), GONE))
-            held.append([x[~over] for x in (anchor, content, doc, place, copies)])
-        if not held:
-            return
-        anchor, content, doc, place, copies = map(np.concatenate, zip(*held))
-        held.clear()
+        for t in runs(batches, "anchor"):
+            yield from some(*(t[c].to_numpy() for c in ("anchor", "content", "doc_id", "place", "copies")))
+
+    def some(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, place: np.ndarray, copies: np.ndarray) -> Iterator[pa.RecordBatch]:
+        over = copies == 0
+        yield from rows(anchor[over], doc[over], place[over], np.full(int(over.sum()), GONE))
+        anchor, content, doc, place, copies = (x[~over] for x in (anchor, content, doc, place, copies))
         _, of, many = np.unique(anchor, return_inverse=True, return_counts=True)
         again = (many[of] > 1) | (copies > 1)
         order = np.flatnonzero(again)
@@ -154,7 +152,7 @@ def met(keep_first: bool) -> Callable:
         ask = new & (kinds > 1)
         gone = ~new if keep_first else copies > 1
         yield from rows(anchor[gone], doc[gone], place[gone], np.full(int(gone.sum()), GONE))
-        yield from rows(anchor[ask], doc[ask], place[ask], np.where(copies[ask] > 1, ASK_TWICE, ASK))
+        yield from rows(anchor[ask], doc[ask], place[ask], np.where(kinds[ask] > CROWD, SPLIT, np.where(copies[ask] > 1, ASK_TWICE, ASK)))
 
     return run
 
@@ -184,6 +182,45 @@ def fetched(unit, window: int) -> Callable:
     return run
 
 
+def joined(docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Single windows of documents as packed runs of at most 2048."""
+    by = np.lexsort((places, docs))
+    docs, at = docs[by], places[by]
+    head = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (at[1:] > at[:-1] + 1) | (at[1:] // 2048 != at[:-1] // 2048)]) if len(docs) else np.zeros(0, np.int64)
+    if not len(head):
+        return docs, at
+    last = np.append(head[1:], len(docs)) - 1
+    return docs[head], packed(at[head], at[last] - at[head] + 1, 0)
+
+
+def each_window(unit, window: int) -> Callable:
+    """Two hashes and the place of every window of the segments given (columns doc_id, place, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, place = column(batch, "doc_id"), unpacked(column(batch, "place"))[0]
+            for i, j, data, offsets in text_chunks(batch):
+                symbols, first, _, _ = unit.symbols(data, offsets)
+                count = np.maximum(0, np.diff(first) - window + 1)
+                row = np.repeat(np.arange(j - i), count)
+                at = np.arange(count.sum()) + np.repeat(first[:-1] - np.cumsum(count) + count, count)
+                h1, h2 = Spans(symbols).of(at, at + window), Spans(mixed(symbols)).of(at, at + window)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h1)), pa.array(signed(h2)), pa.array(ids[i:j][row]), pa.array(place[i:j][row] + at - first[row])], names=["h1", "h2", "doc_id", "at"])
+
+    return run
+
+
+def met_by_window(texts: DataFrame, unit, window: int, keep_first: bool) -> DataFrame:
+    """(doc_id, place) of the windows to remove in segments of crowded anchors: hashes are counted by Spark, with
+    partial sums before the exchange, and only those that recur are joined back; AQE splits a hot one."""
+    w = texts.mapInArrow(each_window(unit, window), "h1 long, h2 long, doc_id long, at long")
+    here = F.struct("doc_id", "at")
+    again = w.groupBy("h1", "h2").agg(F.min(here).alias("lo"), F.max(here).alias("hi")).where("lo <> hi")
+    out = w.join(again.hint("merge"), ["h1", "h2"])
+    out = out.where(here != F.col("lo")) if keep_first else out
+    return out.select("doc_id", F.shiftleft("at", 2 * BITS).alias("place"))
+
+
 def removals(docs: DataFrame, unit, window: int, gram: int, keep_first: bool, decide: Callable) -> DataFrame:
     """docs (doc_id, text and more) with gone: packed places of windows to remove, or null.
 
@@ -191,10 +228,16 @@ def removals(docs: DataFrame, unit, window: int, gram: int, keep_first: bool, de
     p = parts(docs.sparkSession)
     plain = docs.select("doc_id", "text")
     rows = plain.mapInArrow(anchored(unit, window, gram), "anchor long, content long, doc_id long, place long, copies int")
-    known = saved(rows.repartition(p, "anchor").mapInArrow(met(keep_first), "anchor long, doc_id long, place long, what int"))
+    known = saved(rows.repartition(p, "anchor").sortWithinPartitions("anchor").mapInArrow(met(keep_first), "anchor long, doc_id long, place long, what int"))
     asked = known.where(F.col("what") != GONE).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "what")).alias("asked"))
     texts = plain.join(asked, "doc_id").mapInArrow(fetched(unit, window), "anchor long, doc_id long, place long, what int, text binary")
-    decided = texts.repartition(p, "anchor").sortWithinPartitions("anchor").mapInArrow(decide, "doc_id long, place long")
+    if known.where(F.col("what") == SPLIT).limit(1).count():
+        texts = saved(texts)
+        crowded = met_by_window(texts.where(F.col("what") == SPLIT), unit, window, keep_first)
+    else:
+        crowded = None
+    decided = texts.where(F.col("what") != SPLIT).repartition(p, "anchor").sortWithinPartitions("anchor").mapInArrow(decide, "doc_id long, place long")
+    decided = decided if crowded is None else decided.union(crowded)
     gone = known.where(F.col("what") == GONE).select("doc_id", "place").union(decided).groupBy("doc_id").agg(F.collect_list("place").alias("gone"))
     return docs.join(gone, "doc_id", "left")
 

@@ -205,8 +205,10 @@ def brute_bytes(texts: dict, window: int) -> dict:
 
 
 @pytest.mark.parametrize("window,gram", [(400, 200), (60, 20)])
-def test_lyndon_remove(corpus, empty, window, gram):
-    docs = corpus.where("doc_id IS NULL OR length(text) < 20000 OR text IS NULL")
+@pytest.mark.parametrize("crowd", [4096, 1])
+def test_lyndon_remove(corpus, empty, window, gram, crowd, monkeypatch):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    docs = corpus
     got = lyndon.remove(docs, window, gram).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_bytes(texts_of(docs), window)
     assert lyndon.remove(empty).count() == 0
