@@ -63,6 +63,11 @@ f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS
 t AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d), j AS (SELECT t.doc_id, t.word, t.k, gone.k AS g FROM t LEFT JOIN gone ON t.doc_id = gone.doc_id AND t.k = gone.k),
 a AS (SELECT doc_id, count(*) AS n, count(g) AS m, string_agg(CASE WHEN g IS NULL THEN word END, ' ' ORDER BY k) AS kept FROM j GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(m, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a ON d.doc_id = a.doc_id""",
+    "op4_lyndon_suffix_array": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), b AS (SELECT doc_id, j, substr(h, 2000 * j + 1, 2798) AS x FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2000 + 1)) AS j FROM d)),
+w AS (SELECT doc_id, 1000 * j + i AS i, md5(substr(x, 2 * i - 1, 800)) AS k FROM (SELECT doc_id, j, x, unnest(range(1, greatest(least(length(x) // 2 - 398, 1001), 1))) AS i FROM b)), g AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
+n AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM (SELECT *, (i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -999) > 400)::INT AS s FROM g)), p AS (SELECT doc_id, min(i) AS s, max(i) + 399 AS e FROM n GROUP BY doc_id, r),
+q AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS f FROM p), a AS (SELECT q.doc_id, sum(e - s + 1) AS m, count(*) AS c, string_agg(substr(h, 2 * f + 1, 2 * (s - f - 1)), '' ORDER BY s) AS t, max(e) AS e FROM q JOIN d ON d.doc_id = q.doc_id GROUP BY 1)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(m, 0)::BIGINT AS n_removed, coalesce(c, 0) AS n_spans, sha256(unhex(CASE WHEN c IS NULL THEN h ELSE t || substr(h, 2 * e + 1) END)) AS kept_sha256 FROM d LEFT JOIN a ON d.doc_id = a.doc_id""",
     "op6_jaccard_join": f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2), e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
