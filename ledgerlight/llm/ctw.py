@@ -3,15 +3,16 @@
 The model's text is the document's lower-cased words with one space between them and an end mark. A byte is
 eight binary decisions; each decision, given those before it in its byte, has a context tree of its own over
 the `DEPTH` bytes before. A node's counts have a Krichevsky-Trofimov probability Pe; its weighted
-probability is Pw = (Pe + product of its children's Pw) / 2; at full depth, and where it was met once, it is
-a leaf with Pw = Pe. The predictive probability mixes all depths: at each node Pe / (2 Pw) of the node's own
-estimate, the rest from the node one byte deeper; a node not seen in training says one half.
-
-Counts come from every training document: runs of DEPTH + 1 bytes, added up per task, then by the two last
-context bytes, below which trees are independent. Scoring uses the nodes in shards of at most `NODES`, each sent to
-all tasks in turn (its size is bounded by that), and adds up what the shards give for each document.
-The baseline is a unigram of words with add-one smoothing: the most frequent words (`HOT` at most) are sent
-to all tasks, all others meet their counts by a join.
+probability is Pw = (Pe + product of its children's Pw) / 2, and Pe at full depth. The predictive probability
+mixes all depths: at each node Pe / (2 Pw) of the node's own estimate, the rest from the node one byte
+deeper. A node without counts is like any other: it says one half.
+
+A byte's probability depends on the run of it and the DEPTH bytes before alone. So each group of documents
+(what one task wrote) hands in its distinct runs, with their counts in training texts; trees are built where
+runs with the same two nearest bytes meet, below which they are independent, and every run's score goes back
+to the groups that asked for it, as a table in the shared folder. Words and their counts travel the same way.
+Nothing but the nodes of depth 0 and 1 (at most 65 535) is sent to all tasks. Scores are whole numbers of
+2 ** -24, so sums do not depend on how rows lie.
 """
 
 from __future__ import annotations
@@ -21,18 +22,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, id_text, lowered, mixed, parts, release, saved, signed, text_chunks, word_hashes, word_spans
+from .common import column, id_text, lowered, mixed, parts, release, runs as whole_groups, saved, shared_dir, signed, text_chunks, word_hashes, word_spans
+from .idfile import storage
 from .toxicity import held_out
 
-#: Context bytes; nodes in a shard; words in the table that every task has; entries of the memory of byte runs.
-DEPTH, NODES, HOT, MEMORY = 5, 5_000_000, 1 << 19, 1 << 21
-#: Below a node whose own estimate has this weight or more nothing is kept: it could change a probability by 1e-4 at most.
-SURE = 0.9999
+#: Context bytes; runs that are taken together in a tree (more only if they share the two nearest bytes).
+DEPTH, BLOCK = 5, 200_000
 END, GRAMS, WORDS = 10, 0, 1
-END_WORD = 0x1234567
+#: Units of a score and of a word's logarithm.
+UNIT, WORD_UNIT = 2.0**24, 2.0**32
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 HALF = np.log(0.5)
 
@@ -47,7 +50,12 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 
 def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Krichevsky-Trofimov probability of a string of n0 zeros and n1 ones."""
-    return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1.0) - np.log(np.pi)
+    n = n0 + n1
+    out = np.where(n == 1, HALF, 0.0)
+    some = np.flatnonzero(n > 1)
+    a, b = n0[some], n1[some]
+    out[some] = log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - np.log(np.pi)
+    return out
 
 
 def stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,16 +88,20 @@ def stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Tally:
-    """Counts of 64-bit keys."""
+    """Counts of 64-bit keys; a count may be 0."""
 
     def __init__(self):
         self.keys, self.counts, self.size, self.limit = [], [], 0, 1_000_000
 
-    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
-        if counts is None:
-            keys, counts = np.unique(keys, return_counts=True)
+    def add(self, keys: np.ndarray, counted: bool = True) -> None:
+        if not len(keys):
+            return
+        keys, counts = np.unique(keys, return_counts=True)
+        self.merged(keys, counts.astype(np.int64) * counted)
+
+    def merged(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.keys.append(keys)
-        self.counts.append(counts.astype(np.int64))
+        self.counts.append(counts)
         self.size += len(keys)
         if self.size > self.limit and len(self.keys) > 8:
             self.merge()
@@ -107,214 +119,278 @@ class Tally:
         return keys, counts
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """An array as compressed planes of bytes."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
+
+
+def restored(data: bytes, kind) -> np.ndarray:
+    raw, size = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
+
+
+def squeezed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences."""
+    return squeezed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def restored_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(restored(data, np.uint64), dtype=np.uint64)
+
+
+def nearest(runs: np.ndarray) -> np.ndarray:
+    """The two nearest context bytes of byte runs."""
+    return runs >> np.uint64(8 * (DEPTH - 1))
+
+
+def grouped_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of the task that writes them."""
+    task = TaskContext.get()
+    g = task.partitionId() if task else 0
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, g, np.int32))], names=[*batch.schema.names, "g"])
+
+
+def same_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    for batch in batches:
+        g = column(batch, "g")
+        cut = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+        for a, b in zip(cut[:-1], cut[1:]):
+            if b > a:
+                yield int(g[a]), batch.slice(a, b - a)
+
+
 def gathered(p: int):
-    """The counts of byte runs and words of a task, a row for each kind and part."""
+    """The distinct byte runs and words of each group of documents with their counts in training texts, a row for each kind and part."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, words, docs = Tally(), Tally(), 0
-        for batch in batches:
-            docs += batch.num_rows
-            for _, _, data, offsets in text_chunks(batch, limit=1 << 19):
-                runs, _, hashes, _ = stream(data, offsets)
-                grams.add(runs)
-                if len(hashes):
-                    words.add(hashes)
-            release()
-        if docs:
-            words.add(np.array([END_WORD], np.uint64), np.array([docs]))
-        for kind, tally in ((GRAMS, grams), (WORDS, words)):
+    def rows(g: int, tallies) -> Iterator[pa.RecordBatch]:
+        for kind, tally in zip((GRAMS, WORDS), tallies):
             keys, counts = tally.merge()
-            part = (mixed(nearest(keys, DEPTH) if kind == GRAMS else keys) % np.uint64(p)).astype(np.int64)
+            part = (mixed(nearest(keys) if kind == GRAMS else keys) % np.uint64(p)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[order], np.arange(p + 1))
-            rows = [(kind, k, keys[order[a:b]].tobytes(), counts[order[a:b]].tobytes()) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["kind", "part", "keys", "counts"])
+            out = [(kind, k, g, squeezed_keys(keys[order[a:b]]), squeezed(counts[order[a:b]])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["kind", "part", "g", "keys", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tallies = None, (Tally(), Tally())
+        for g, batch in same_group(batches):
+            if now is not None and g != now:
+                yield from rows(now, tallies)
+                tallies = (Tally(), Tally())
+            now = g
+            learns = column(batch, "train")
+            for i, j, data, offsets in text_chunks(batch, limit=1 << 20):
+                found, begin, words, first = stream(data, offsets)
+                for tally, keys, size in ((tallies[0], found, np.diff(np.append(begin, len(found)))), (tallies[1], words, np.diff(first))):
+                    of = np.repeat(learns[i:j], size)
+                    tally.add(keys[of])
+                    tally.add(keys[~of], False)
+            release()
+        if now is not None:
+            yield from rows(now, tallies)
 
     return run
 
 
-def added(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+def added(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     tally = Tally()
-    for b in batches:
-        for k, c in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-            tally.add(np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64))
+    for k, c in zip(rows["keys"], rows["counts"]):
+        tally.merged(restored_keys(k.as_py()), restored(c.as_py(), np.int64))
     return tally.merge()
 
 
-def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, counts = added(batches)
-    for i in range(0, len(keys), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(signed(keys[i : i + (1 << 16)])), pa.array(counts[i : i + (1 << 16)])], names=["word", "n"])
+def up(key: np.ndarray) -> np.ndarray:
+    """The key of a node's parent. Keys are context bytes, the nearest first, over an 8-bit place in the byte's tree."""
+    return ((key >> np.uint64(16)) << np.uint64(8)) | (key & np.uint64(255))
+
+
+def parents(key: np.ndarray, n0: np.ndarray, n1: np.ndarray, pw: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The nodes one byte nearer: keys, counts, log Pw, weight of the own estimate, and for each child its parent's number."""
+    above = up(key)
+    order = np.argsort(above, kind="stable")
+    above = above[order]
+    new = np.r_[True, above[1:] != above[:-1]]
+    head = np.flatnonzero(new)
+    of = np.empty(len(key), np.int64)
+    of[order] = np.cumsum(new) - 1
+    n0, n1 = np.add.reduceat(n0[order], head), np.add.reduceat(n1[order], head)
+    own = HALF + log_kt(n0, n1)
+    both = np.logaddexp(own, HALF + np.add.reduceat(pw[order], head))
+    return above[head], n0, n1, both, np.exp(np.minimum(own - both, 0)), of
+
+
+def blocks(runs: np.ndarray) -> Iterator[slice]:
+    """Runs in ascending order, a few whole two-byte contexts at a time."""
+    near = nearest(runs)
+    cut = np.append(np.flatnonzero(np.r_[True, near[1:] != near[:-1]]), len(runs))
+    a = 0
+    while a < len(runs):
+        b = int(cut[min(np.searchsorted(cut, a + BLOCK), len(cut) - 1)])
+        yield slice(a, b)
+        a = b
+
+
+def leaves(runs: np.ndarray, counts: np.ndarray, j: int) -> tuple[np.ndarray, ...]:
+    """Nodes of full depth for the j-th bit: keys, counts; for each run its node and its bit."""
+    path = runs >> np.uint64(8 - j)
+    new = np.r_[True, path[1:] != path[:-1]]
+    head = np.flatnonzero(new)
+    bit = ((runs >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
+    place = (np.uint64(1) << np.uint64(j)) | (path[head] & np.uint64((1 << j) - 1))
+    key = ((path[head] >> np.uint64(j)) << np.uint64(8)) | place
+    return key, np.add.reduceat(np.where(bit, 0, counts), head), np.add.reduceat(np.where(bit, counts, 0), head), np.cumsum(new) - 1, bit
+
+
+def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes of depth 2 with counts and log Pw, those that were met in training."""
+    for rows in whole_groups(batches, "part"):
+        runs, counts = added(rows)
+        for s in blocks(runs):
+            for j in range(8):
+                key, n0, n1, _, _ = leaves(runs[s], counts[s], j)
+                pw = log_kt(n0, n1)
+                for _ in range(DEPTH - 2):
+                    key, n0, n1, pw, _, _ = parents(key, n0, n1, pw)
+                met = n0 + n1 > 0
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key[met])), pa.array(n0[met]), pa.array(n1[met]), pa.array(pw[met]), pa.array((key[met] >> np.uint64(16)).astype(np.int32))], names=["node", "n0", "n1", "pw", "near"])
+
+
+def raised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes of depth 1 from all of depth 2 with the same nearest byte; rows are sorted by node."""
+    for rows in whole_groups(batches, "near"):
+        key, n0, n1, pw, w, _ = parents(rows["node"].to_numpy().view(np.uint64), *(rows[c].to_numpy() for c in ("n0", "n1", "pw")))
+        yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(n0), pa.array(n1), pa.array(pw), pa.array(w)], names=["node", "n0", "n1", "pw", "w"])
+
+
+def own_estimate(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    return (n1 + 0.5) / (n0 + n1 + 1.0)
+
+
+def scored(upper):
+    """For each group the scores of its runs. upper: sorted keys, weights and estimates of depths 1 and 0."""
+
+    def ones(key: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+        """The probability of a one at each node of full depth, mixed over all depths."""
+        p, pw, to = own_estimate(n0, n1), log_kt(n0, n1), np.arange(len(key))
+        for _ in range(DEPTH - 2):
+            key, n0, n1, pw, w, of = parents(key, n0, n1, pw)
+            to = of[to]
+            p = (w * own_estimate(n0, n1))[to] + (1 - w)[to] * p
+        for keys, w, own in upper.value:
+            key = up(key)
+            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+            met = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+            w_, own_ = (np.where(met, x[at], 0.5) if len(keys) else np.full(len(key), 0.5) for x in (w, own))
+            p = (w_ * own_)[to] + (1 - w_)[to] * p
+        return p
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, "part"):
+            runs, counts = added(rows)
+            value = np.zeros(len(runs), np.int32)
+            for s in blocks(runs):
+                total = np.zeros(s.stop - s.start)
+                for j in range(8):
+                    key, n0, n1, of, bit = leaves(runs[s], counts[s], j)
+                    p = ones(key, n0, n1)[of]
+                    total += np.log10(np.where(bit, p, 1 - p))
+                value[s] = np.rint(total * UNIT)
+            yield from answers(rows, runs, value, GRAMS)
+            release()
 
-def weighted(key: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, ...]:
-    """Nodes by key: counts, log Pw, weight of the node's own estimate."""
-    order = np.argsort(key, kind="stable")
-    key, head = key[order], None
-    head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    key, n0, n1 = key[head], np.add.reduceat(n0[order], head), np.add.reduceat(n1[order], head)
-    pe = log_kt(n0, n1)
-    if below is None:
-        return key, n0, n1, pe, np.ones(len(key))
-    pw = np.logaddexp(HALF + pe, HALF + np.add.reduceat(below[order], head))
-    return key, n0, n1, pw, np.exp(np.minimum(HALF + pe - pw, 0))
+    return run
 
 
-def up(key: np.ndarray) -> np.ndarray:
-    """The key of a node's parent. Keys are context bytes, the nearest first, over an 8-bit place in the byte's tree."""
-    return ((key >> np.uint64(16)) << np.uint64(8)) | (key & np.uint64(255))
+def answers(rows: pa.Table, keys: np.ndarray, value: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
+    for g, own in zip(rows["g"].to_pylist(), rows["keys"]):
+        own = own.as_py()
+        yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([kind], pa.int32()), pa.array([own], pa.binary()), pa.array([squeezed(value[np.searchsorted(keys, restored_keys(own))])], pa.binary())], names=["g", "kind", "keys", "value"])
 
 
-def nearest(key: np.ndarray, depth: int) -> np.ndarray:
-    """The two nearest context bytes in a key of `depth` context bytes."""
-    return key >> np.uint64(8 * (depth - 1))
-
-
-def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes of depth DEPTH to 2; depth 2 with its counts and log Pw, for the two above."""
-    runs, counts = added(batches)
-    if not len(runs):
-        return
-    byte, context = runs & np.uint64(255), runs >> np.uint64(8)
-    keys, zeros, ones = [], [], []
-    for j in range(8):
-        bit = (byte >> np.uint64(7 - j)) & np.uint64(1)
-        node = (np.uint64(1) << np.uint64(j)) | (byte >> np.uint64(8 - j))
-        keys.append((context << np.uint64(8)) | node)
-        zeros.append(np.where(bit == 0, counts, 0.0))
-        ones.append(np.where(bit == 1, counts, 0.0))
-    key, n0, n1, below = np.concatenate(keys), np.concatenate(zeros), np.concatenate(ones), None
-    levels = {}
-    for depth in range(DEPTH, 1, -1):
-        levels[depth] = key, n0, n1, pw, w = weighted(key, n0, n1, below)
-        key, below = up(key), pw
-    above = grows = None
-    for depth in range(2, DEPTH + 1):
-        key, n0, n1, pw, w = levels.pop(depth)
-        kept = np.ones(len(key), bool) if above is None else grows[np.searchsorted(above, up(key))]
-        above, grows = key, kept & (w < SURE) & (n0 + n1 > 1)
-        w = np.where(grows, w, 1.0)
-        kept = np.flatnonzero(kept)
-        for i in range(0, len(kept), 1 << 16):
-            s = kept[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), depth, np.int32)), pa.array(signed(key[s])), pa.array(n0[s]), pa.array(n1[s]), pa.array(pw[s]), pa.array(w[s])], names=["depth", "node", "n0", "n1", "pw", "w"])
-
-
-class Model:
-    """Nodes by depth: sorted keys, weight of the own estimate, its probability of a one."""
-
-    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        self.nodes = nodes
-
-    def log10(self, runs: np.ndarray) -> np.ndarray:
-        """log10 of the probability of the last byte of each run given those before it; runs are in ascending order."""
-        byte, context = runs & np.uint64(255), runs >> np.uint64(8)
-        out = np.zeros(len(runs))
-        for j in range(8):
-            bit = (byte >> np.uint64(7 - j)) & np.uint64(1)
-            key = (context << np.uint64(8)) | (np.uint64(1) << np.uint64(j)) | (byte >> np.uint64(8 - j))
-            levels, alive = [], np.arange(len(runs))
-            for depth, (keys, w, one) in enumerate(self.nodes):
-                if not len(keys) or not len(alive):
-                    break
-                own = key[alive]
-                own = ((own >> np.uint64(8 * (DEPTH - depth + 1))) << np.uint64(8)) | (own & np.uint64(255))
-                # runs are in order, so equal keys stand together and look-ups go forward
-                new = np.r_[True, own[1:] != own[:-1]]
-                at = np.minimum(np.searchsorted(keys, own[new]), len(keys) - 1)
-                hit = keys[at] == own[new]
-                of = np.cumsum(new) - 1
-                hit, at = hit[of], at[of]
-                alive, at = alive[hit], at[hit]
-                levels.append((alive, w[at].astype(np.float64), one[at].astype(np.float64)))
-            p = np.full(len(runs), 0.5)
-            for k, (where, w, one) in enumerate(reversed(levels)):
-                if k:
-                    deeper = np.full(len(runs), 0.5)
-                    deeper[before] = p[before]
-                    p = deeper
-                p[where] = w * one + (1 - w) * p[where]
-                before = where
-            out += np.log10(np.where(bit == 1, p, 1 - p))
-        return out
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each group the counts of its words in training."""
+    for rows in whole_groups(batches, "part"):
+        yield from answers(rows, *added(rows), WORDS)
 
 
-_memory: dict[int, tuple] = {}
-
-
-def recalled(model: Model, token: int, runs: np.ndarray) -> np.ndarray:
-    """model.log10 with a memory of runs met before, in a table of fixed size."""
-    if token not in _memory:
-        _memory.clear()
-        _memory[token] = np.full(MEMORY, np.uint64(2**64 - 1)), np.zeros(MEMORY, np.float32)
-    known, value = _memory[token]
-    at = (mixed(runs) % np.uint64(MEMORY)).astype(np.int64)
-    out = value[at].astype(np.float64)
-    miss = np.flatnonzero(known[at] != runs)
-    if len(miss):
-        new, of = np.unique(runs[miss], return_inverse=True)
-        p = model.log10(new)
-        slot = (mixed(new) % np.uint64(MEMORY)).astype(np.int64)
-        known[slot], value[slot] = new, p
-        # slots that two new runs share hold the later one in both tables
-        out[miss] = p[of]
-    return out
+def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in whole_groups(batches, "part"):
+        counts = added(rows)[1]
+        yield pa.RecordBatch.from_arrays([pa.array([int(counts.sum())]), pa.array([int((counts > 0).sum())])], names=["n", "distinct"])
 
 
-def scored(shared, token: int, shard: int, shards: int, hot=None):
-    """For each row what one shard of nodes gives and, in the first, the counts and the hot words' part of the baseline."""
+def written(folder: str):
+    """A file for each group: its parts' keys and values, as they came."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shared.value)
-        for batch in batches:
-            for i, j, data, offsets in text_chunks(batch, limit=1 << 19):
-                runs, begin, words, first = stream(data, offsets)
-                if shards > 1:
-                    own = mixed(nearest(runs, DEPTH) ^ np.uint64(0x5EED)) % np.uint64(shards) == shard
-                    p = np.zeros(len(runs))
-                    p[own] = recalled(model, token, runs[own])
-                else:
-                    p = recalled(model, token, runs)
-                score, rows = np.add.reduceat(p, begin), j - i
-                n_bytes = np.diff(np.r_[begin, len(runs)])
-                base, known, tokens = np.zeros(rows), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-                if shard == 0:
-                    row = np.repeat(np.arange(rows), np.diff(first))
-                    tokens = np.diff(first) + 1
-                    c, hit = looked_up(hot.value, words)
-                    base = np.bincount(row, np.where(hit, np.log10(c + 1.0), 0), rows)
-                    known = np.bincount(row, hit, rows).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, rows), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score), pa.array(n_bytes if shard == 0 else np.zeros(rows, np.int64))], names=["doc_id", "n_tokens", "n_known", "base", "score", "n_bytes"])
-            release()
+        fs, at = storage(folder)
+        for rows in whole_groups(batches, "g", 1):
+            for g in np.unique(rows["g"].to_numpy()).tolist():
+                own = rows.filter(pa.compute.equal(rows["g"], g))
+                part = f"{at}/{g}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as f, pa.ipc.new_stream(f, own.schema) as out:
+                    out.write_table(own)
+                fs.move(part, f"{at}/{g}.scores")
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32())], names=["g"])
 
     return run
 
 
-def looked_up(table: tuple[np.ndarray, np.ndarray], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = table
-    if not len(keys) or not len(words):
-        return np.zeros(len(words)), np.zeros(len(words), bool)
-    new, of = np.unique(words, return_inverse=True)
-    at = np.minimum(np.searchsorted(keys, new), len(keys) - 1)
-    hit = keys[at] == new
-    return np.where(hit, counts[at], 0)[of], hit[of]
+class Lookup:
+    """Values of known 64-bit keys: one slot by hash each, those whose slot is taken in a sorted list."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        slot = (mixed(keys) >> self.shift).astype(np.int64)
+        self.keys, self.values = np.full(1 << bits, np.uint64(2**64 - 1)), np.zeros(1 << bits, values.dtype)
+        self.keys[slot], self.values[slot] = keys, values
+        rest = np.flatnonzero(self.keys[slot] != keys)
+        rest = rest[np.argsort(keys[rest])]
+        self.rest, self.rest_values = keys[rest], values[rest]
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        slot = (mixed(keys) >> self.shift).astype(np.int64)
+        out = self.values[slot]
+        miss = np.flatnonzero(self.keys[slot] != keys)
+        if len(miss):
+            at = np.searchsorted(self.rest, keys[miss])
+            if not len(self.rest) or at.max() >= len(self.rest) or (self.rest[at] != keys[miss]).any():
+                raise ValueError("a run or word was not handed in")
+            out[miss] = self.rest_values[at]
+        return out
 
 
-def rare(hot):
-    """Words of each row that are not in the hot table, with how often."""
+def lookups(folder: str, g: int) -> tuple[Lookup, Lookup]:
+    fs, at = storage(folder)
+    with fs.open_input_stream(f"{at}/{g}.scores") as f:
+        rows = pa.ipc.open_stream(f).read_all()
+    out = []
+    for kind, dtype in ((GRAMS, np.int32), (WORDS, np.int64)):
+        own = rows.filter(pa.compute.equal(rows["kind"], kind))
+        keys = [restored_keys(x.as_py()) for x in own["keys"]]
+        values = [restored(x.as_py(), dtype) for x in own["value"]]
+        out.append(Lookup(np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, dtype), *values])))
+    return out[0], out[1]
+
+
+def summed(folder: str):
+    """For each row its tokens, known words, the logarithms of their counts, score and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = column(batch, "doc_id")
-            for i, j, data, offsets in text_chunks(batch, limit=1 << 19):
-                data = lowered(data)
-                starts, ends, first = word_spans(data, offsets)
-                words = word_hashes(data, starts, ends)
-                _, hit = looked_up(hot.value, words)
-                row = np.repeat(np.arange(j - i), np.diff(first))[~hit]
-                words = words[~hit]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(words)), pa.array(ids[i:j][row])], names=["word", "doc_id"])
+        now = None
+        for g, batch in same_group(batches):
+            if g != now:
+                scores = counts = None
+                (scores, counts), now = lookups(folder, g), g
+            for i, j, data, offsets in text_chunks(batch, limit=1 << 20):
+                runs, begin, words, first = stream(data, offsets)
+                c, rows = counts.of(words), j - i
+                known, base = (np.r_[0, np.cumsum(x)] for x in (c > 0, np.rint(np.log10(c + 1.0) * WORD_UNIT).astype(np.int64)))
+                out = [np.diff(first) + 1, np.diff(known[first]), np.diff(base[first]), np.add.reduceat(scores.of(runs), begin, dtype=np.int64), np.diff(np.append(begin, len(runs)))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, rows), *(pa.array(x.astype(np.int64)) for x in out)], names=["doc_id", "n_tokens", "n_known", "base", "score", "n_bytes"])
             release()
 
     return run
@@ -329,75 +405,41 @@ def score(docs: DataFrame) -> DataFrame:
     byte has probability one half. Other columns are not read.
     """
     spark = docs.sparkSession
-    context = spark.sparkContext
-    docs = id_text(docs)
     p = parts(spark)
-    counts = saved(docs.where(~held_out(7, 2)).mapInArrow(gathered(p), "kind int, part int, keys binary, counts binary"))
-    words = saved(counts.where(F.col("kind") == WORDS).repartition(p, "part").mapInArrow(word_counts, "word long, n long"))
-    nodes = saved(counts.where(F.col("kind") == GRAMS).repartition(p, "part").mapInArrow(trees, "depth int, node long, n0 double, n1 double, pw double, w double"))
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # the count from which on words are hot: at most HOT words reach it
-    last = words.groupBy("n").count().orderBy(F.desc("n"))
-    least, held = 1 << 62, 0
-    for n, c in last.limit(HOT).toLocalIterator():
-        if held + c > HOT:
-            break
-        least, held = n, held + c
-    table = words.where((F.col("n") >= least) & (F.col("word") != END_WORD)).toArrow()
-    key, n = table.column("word").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    order = np.argsort(key)
-    hot = context.broadcast((key[order], n[order].astype(np.float64)))
-    top = nodes.where("depth = 2").select("node", "n0", "n1", "pw").toArrow()
-    upper, key, n0, n1, below = [], *(top.column(c).to_numpy() for c in ("node", "n0", "n1", "pw"))
-    key = key.view(np.uint64)
-    for _ in range(2):
-        if not len(key):
-            upper.insert(0, (np.zeros(0, np.uint64),) + (np.zeros(0, np.float32),) * 2)
-            continue
-        key, n0, n1, below, w = weighted(up(key), n0, n1, below)
-        upper.insert(0, (key, np.where(n0 + n1 > 1, w, 1.0).astype(np.float32), ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32)))
-    n_nodes = nodes.count()
-    shards = max(1, -(-n_nodes // NODES))
-    partial = None
-    pick = nodes.select("depth", "node", F.col("w").cast("float").alias("w"), ((F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)).cast("float").alias("one"))
-    for shard in range(shards):
-        shared = context.broadcast(upper + lower(pick, shard, shards))
-        rows = docs.mapInArrow(scored(shared, uuid.uuid4().int, shard, shards, hot), "doc_id long, n_tokens long, n_known long, base double, score double, n_bytes long")
-        partial = rows if partial is None else partial.union(rows)
-    cold = docs.mapInArrow(rare(hot), "word long, doc_id long").join(words.where(F.col("n") < least), "word")
-    cold = cold.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit(1).cast("long").alias("n_known"), F.log10(F.col("n") + 1.0).alias("base"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_bytes"))
-    sums = partial.union(cold).groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score", "n_bytes")))
+    given = id_text(docs).withColumn("train", ~held_out(7, 2))
+    docs = saved(given.mapInArrow(grouped_rows, "doc_id long, text string, train boolean, g int"))
+    tallies = saved(docs.mapInArrow(gathered(p), "kind int, part int, g int, keys binary, counts binary"))
+
+    def met(kind: int) -> DataFrame:
+        return tallies.where(F.col("kind") == kind).select("part", "g", "keys", "counts").repartition(p, "part").sortWithinPartitions("part", "g")
+
+    second = saved(met(GRAMS).mapInArrow(summaries, "node long, n0 long, n1 long, pw double, near int"))
+    # at most 256 x 255 nodes of depth 1, from which those of depth 0 follow
+    top = second.repartition(p, "near").sortWithinPartitions("near", "node").mapInArrow(raised, "node long, n0 long, n1 long, pw double, w double").orderBy("node").toArrow()
+    key, n0, n1, pw, w = top["node"].to_numpy().view(np.uint64), *(top[c].to_numpy() for c in ("n0", "n1", "pw", "w"))
+    upper = [(key, w, own_estimate(n0, n1))]
+    if len(key):
+        key, n0, n1, pw, w, _ = parents(key, n0, n1, pw)
+        upper.append((key, w, own_estimate(n0, n1)))
+    else:
+        upper.append(upper[0])
+    shared = spark.sparkContext.broadcast(upper)
+    n, distinct = met(WORDS).mapInArrow(totals, "n long, distinct long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    ends = docs.where("train").count()
+    total, distinct = n + ends, distinct + (ends > 0)
+    back = "g int, kind int, keys binary, value binary"
+    folder = f"{shared_dir(spark)}/scores-{uuid.uuid4().hex}"
+    fs, at = storage(folder)
+    fs.create_dir(at, recursive=True)
+    found = met(GRAMS).mapInArrow(scored(shared), back).union(met(WORDS).mapInArrow(counted, back))
+    found.repartition(p, "g").sortWithinPartitions("g").mapInArrow(written(folder), "g int").count()
+    rows = docs.mapInArrow(summed(folder), "doc_id long, n_tokens long, n_known long, base long, score long, n_bytes long")
+    sums = rows.groupBy("doc_id").agg(F.count("*").alias("texts"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score", "n_bytes")))
     # every text has one end, and in training it was met once for each document
-    ends = words.where(F.col("word") == END_WORD).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    texts = docs.groupBy("doc_id").agg(F.count("*").alias("texts"))
-    sums = sums.join(texts, "doc_id")
+    points = F.col("score") / F.lit(UNIT)
     return sums.select(
         "doc_id", held_out(7, 2).alias("held_out"), "n_tokens",
         (F.col("n_known") + (F.col("texts") if ends else F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("texts") * float(np.log10(ends + 1.0)) - F.col("n_tokens") * float(np.log10(total + distinct + 1.0))).alias("base_score"),
-        "score", "n_bytes", (-F.col("score") / float(np.log10(2.0)) / F.col("n_bytes")).alias("bits_per_byte"),
+        (F.col("base") / F.lit(WORD_UNIT) + F.col("texts") * float(np.log10(ends + 1.0)) - F.col("n_tokens") * float(np.log10(total + distinct + 1.0))).alias("base_score"),
+        points.alias("score"), "n_bytes", (-points / float(np.log10(2.0)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
-
-
-def lower(pick: DataFrame, shard: int, shards: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Depths 2 to DEPTH of one shard, for the driver to send on; at most about NODES nodes."""
-    out = []
-    for depth in range(2, DEPTH + 1):
-        own = pick.where(F.col("depth") == depth).drop("depth")
-        if shards > 1:
-            own = own.mapInArrow(of_shard(shard, shards, depth), "node long, w float, one float")
-        t = own.toArrow()
-        key = t.column("node").to_numpy().view(np.uint64)
-        order = np.argsort(key)
-        out.append((key[order], t.column("w").to_numpy()[order], t.column("one").to_numpy()[order]))
-    return out
-
-
-def of_shard(shard: int, shards: int, depth: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key = column(b, "node").view(np.uint64)
-            own = mixed(nearest(key, depth) ^ np.uint64(0x5EED)) % np.uint64(shards) == shard
-            yield b.filter(pa.array(own))
-
-    return run

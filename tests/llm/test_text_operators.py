@@ -110,7 +110,7 @@ def brute_ctw(train: list[bytes], depth: int):
             return 0.5
         a, b = n[s, place]
         own = (b + 0.5) / (a + b + 1)
-        if len(s) == depth or a + b == 1:
+        if len(s) == depth:
             return own
         w = math.exp(math.log(0.5) + kt(a, b) - pw[s, place])
         deeper = bit(HISTORY[0][len(HISTORY[0]) - len(s) - 1 :], place)
@@ -131,14 +131,31 @@ def brute_ctw(train: list[bytes], depth: int):
 
 
 def test_ctw_is_the_recursion(spark, monkeypatch):
-    texts = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "zzz the mat", "dog log cat", "on the cat", "mat"]
+    texts = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "zzz the mat", "dog log cat", "on the cat", "mat", "", "the cats sat on a matter"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     normal = [(b" ".join(t.encode().split()) + b"\n") for t in texts]
     model = brute_ctw([x for k, x in enumerate(normal) if zlib.crc32(str(k).encode()) % 7 != 2], ctw.DEPTH)
     want = {k: model(x) for k, x in enumerate(normal)}
-    for nodes in (10**9, 60):
-        monkeypatch.setattr(ctw, "NODES", nodes)
-        assert all(math.isclose(r.score, want[r.doc_id], rel_tol=2e-3) for r in ctw.score(df).collect())
+    for size in (10**9, 7):
+        monkeypatch.setattr(ctw, "BLOCK", size)
+        assert all(math.isclose(r.score, want[r.doc_id], rel_tol=1e-6) for r in ctw.score(df).collect())
+
+
+def test_ctw_does_not_depend_on_partitions(spark, corpus):
+    one, other = (sorted(tuple(r) for r in ctw.score(x).collect()) for x in (corpus.repartition(1), corpus.repartition(7, "text")))
+    assert one == other
+
+
+def test_ctw_adds_rows_of_one_document(spark):
+    texts = ["some words here", "more words", "some words here"]
+    twice = {r.doc_id: r for r in ctw.score(spark.createDataFrame([(1, texts[0]), (1, texts[1]), (5, texts[2])], "doc_id long, text string")).collect()}
+    assert twice[1].n_tokens == 7 and twice[5].n_tokens == 4 and twice[1].train_tokens == sum(t.n_tokens for t in twice.values() if not t.held_out)
+
+
+def test_ctw_without_training(spark):
+    held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
+    r = ctw.score(spark.createDataFrame([(held, "ab c")], "doc_id long, text string")).first()
+    assert r.train_tokens == 0 and r.n_known == 0 and math.isclose(r.score, 8 * 5 * math.log10(0.5), rel_tol=1e-6)
 
 
 # substring removal
