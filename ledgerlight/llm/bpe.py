@@ -11,6 +11,7 @@ are merged at once, in arrays. `Decoder` turns the ids that come out into text.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -167,8 +168,8 @@ class Coder:
 
     #: Pieces remembered at once, in each of two generations; longer pieces are not remembered.
     LIMIT, LONG = 150_000, 64
-    #: Symbols that the transducer takes at once.
-    STREAM = 1 << 14
+    #: Symbols that the transducer takes at once; characters of a text that are handled at once.
+    STREAM, SLICE = 1 << 14, 1 << 20
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -200,6 +201,7 @@ class Coder:
         self.word_with_controls = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|(?:[^\s\p{L}\p{N}]|[\x1c-\x1f])+")
         self.controls = regex.compile(r"[\x1c-\x1f]")
         self.space = regex.compile(r"[^\S\x1c-\x1f]+")
+        self.border = regex.compile(r"[ \n](?=[0-9A-Za-z])")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -230,17 +232,19 @@ class Coder:
             return self.word_with_controls.findall(piece)
         return self.word.findall(piece)
 
-    def word_ids(self, words: list[str]) -> list[np.ndarray]:
-        """The tokens of each word, all through the transducer."""
+    def word_ids(self, words: list[str]) -> tuple[bytes, list[int]]:
+        """The tokens of all words one after another (little-endian unsigned 32-bit), all through the transducer, and where
+        those of each word begin; one place more at the end."""
         raw = [w.encode() for w in words]
         if self.ends is None or not raw:
-            return [np.concatenate(list(self.stream(r))) for r in raw]
+            own = [np.concatenate(list(self.stream(r))) for r in raw]
+            return b"".join(x.astype("<u4").tobytes() for x in own), [0, *(4 * np.cumsum([len(x) for x in own], dtype=np.int64)).tolist()]
         data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-        symbols, at = self.symbol[data], np.cumsum([len(r) for r in raw]) - 1
+        symbols, at = self.symbol[data], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw))) - 1
         symbols[at] = self.last[data[at]]
         machine = Transducer(self.merges, self.size, self.STREAM, self.ends)
         ids = np.concatenate([*machine.feed(symbols), machine.finish()])
-        return np.split(ids, np.flatnonzero(self.ends[ids])[:-1] + 1)
+        return ids.astype("<u4").tobytes(), [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
 
     def stream(self, word: bytes) -> Iterator[np.ndarray]:
         """The tokens of one word, through the transducer."""
@@ -254,15 +258,51 @@ class Coder:
     def learn(self, pieces: list[str]) -> None:
         """Remembers the ids of new pieces."""
         words: dict[str, int] = {}
-        of = []
+        number, young = words.setdefault, self.young
+        plain, other = [], []
         for p in pieces:
-            of.append(None if p[:1] == " " else [words.setdefault(w, len(words)) for w in self.words(p)])
-        ids = [x.astype("<u4").tobytes() for x in self.word_ids(list(words))]
-        for p, own in zip(pieces, of):
-            self.young[p] = np.array([self.special[p[1:]]], "<u4").tobytes() if own is None else b"".join([ids[k] for k in own])
+            if p.isalpha() and p.isascii():
+                plain.append((p, number(p, len(words))))
+            else:
+                other.append((p, None if p[:1] == " " else [number(w, len(words)) for w in self.words(p)]))
+        ids, at = self.word_ids(list(words))
+        for p, k in plain:
+            young[p] = ids[at[k] : at[k + 1]]
+        for p, own in other:
+            young[p] = np.array([self.special[p[1:]]], "<u4").tobytes() if own is None else b"".join([ids[at[k] : at[k + 1]] for k in own])
+
+    def slices(self, text: str) -> list[str]:
+        """A long text in slices, cut before a letter or digit that follows a space or line end: no word, special
+        token or composed character goes over such a place."""
+        out, a = [], 0
+        while len(text) - a > self.SLICE and (m := self.border.search(text, a + self.SLICE)):
+            out.append(text[a : m.end()])
+            a = m.end()
+        return [*out, text[a:]] if a else [text]
+
+    def coded(self, texts: list[str], with_output: bool = False) -> list[tuple]:
+        """For each text the number of ids, the SHA-256 of ids and decoded text and, if wanted, both: slice by slice, so that
+        of a very long text only a slice is held in other forms."""
+        out = []
+        for short, group in itertools.groupby(texts, lambda t: len(t) <= self.SLICE):
+            if short:
+                out += [(len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest(), *((ids, text) if with_output else ())) for ids, text in self.code(list(group))]
+                continue
+            for t in group:
+                n, digests, kept, decoder = 0, (hashlib.sha256(), hashlib.sha256()), ([], []), Decoder(self.names)
+                for s in self.slices(t):
+                    ((ids, text),) = self.code([s], decoder)
+                    both = ids, text
+                    n += len(ids) // 4
+                    for x, h, k in zip(both, digests, kept):
+                        h.update(x)
+                        if with_output:
+                            k.append(x)
+                out.append((n, digests[0].hexdigest(), digests[1].hexdigest(), *((b"".join(kept[0]), b"".join(kept[1])) if with_output else ())))
+        return out
 
-    def code(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """The ids (little-endian unsigned 32-bit) of each text and what Decoder makes of them (UTF-8)."""
+    def code(self, texts: list[str], decoder: "Decoder | None" = None) -> list[tuple[bytes, bytes]]:
+        """The ids (little-endian unsigned 32-bit) of each text and what Decoder, a new one or the one given, makes of them (UTF-8)."""
         split = [self.pieces(t) for t in texts]
         young = self.young
         missing = set().union(*split) - young.keys()
@@ -272,7 +312,7 @@ class Coder:
         out = []
         for own in split:
             ids = b"".join(map(young.__getitem__, own))
-            out.append((ids, Decoder(self.names).feed(np.frombuffer(ids, "<u4").tolist(), True).encode()))
+            out.append((ids, (decoder or Decoder(self.names)).feed(np.frombuffer(ids, "<u4").tolist(), decoder is None).encode()))
         for p in missing:
             if len(p) > self.LONG:
                 young.pop(p, None)
@@ -304,9 +344,8 @@ def code(docs: DataFrame, path: str | None = None, with_output: bool = False) ->
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 rows = []
-                for doc, (ids, text) in zip(part.column(0).to_pylist(), c.code(part.column(1).to_pylist())):
-                    more = (np.frombuffer(ids, "<u4").astype(np.int32), text.decode()) if with_output else ()
-                    rows.append((doc, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest(), *more))
+                for doc, (n, ids_sha, text_sha, *output) in zip(part.column(0).to_pylist(), c.coded(part.column(1).to_pylist(), with_output)):
+                    rows.append((doc, n, ids_sha, text_sha, *((np.frombuffer(output[0], "<u4").astype(np.int32), output[1].decode()) if with_output else ())))
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
     return id_text(docs).mapInArrow(run, SCHEMA + ", ids array<int>, decoded string" * with_output)

@@ -418,6 +418,21 @@ def test_bpe_words_and_ids_take_the_machines(monkeypatch, library):
     assert sum(fed) >= sum(len(w.encode()) for w in words)
 
 
+def test_bpe_long_texts_in_slices(monkeypatch, library):
+    monkeypatch.setattr(bpe.Coder, "SLICE", 50)
+    c = bpe.Coder(vocabulary("word_bpe_49k.json"))
+    texts = ["Some words é e\u0301 x\n\n y <|endoftext|> and  more don't we'll " * 9, "q" * 300, "ab cd", "", "日本 " * 60 + "ΑΣ σ Σ a b " * 20]
+    for t, (n, a, b, ids, text) in zip(texts, c.coded(texts, True)):
+        want = library.encode(t, add_special_tokens=False).ids
+        assert (n, np.frombuffer(ids, "<u4").tolist(), text.decode()) == (len(want), want, library.decode(want, skip_special_tokens=False))
+        assert (a, b) == (sha(ids), sha(text))
+
+
+def test_bpe_repeated_rows(spark):
+    got = bpe.code(spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c")], "doc_id long, text string")).collect()
+    assert sorted(r.n_tokens for r in got) == [1, 2, 2]
+
+
 def naive(symbols: list[int], rules: list[tuple[int, int, int]]) -> list[int]:
     ids = list(symbols)
     rank = {(a, b): k for k, (a, b, _) in reversed(list(enumerate(rules)))}
