@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, id_text, lowered, mixed, parts, release, runs as whole_groups, saved, shared_dir, signed, text_chunks, word_hashes, word_spans
+from .common import column, id_text, lowered, mixed, parts, release, run_dir, runs as whole_groups, saved, signed, text_chunks, word_hashes, word_spans
 from .idfile import storage
 from .toxicity import held_out
 
@@ -428,7 +428,7 @@ def score(docs: DataFrame) -> DataFrame:
     ends = docs.where("train").count()
     total, distinct = n + ends, distinct + (ends > 0)
     back = "g int, kind int, keys binary, value binary"
-    folder = f"{shared_dir(spark)}/scores-{uuid.uuid4().hex}"
+    folder = f"{run_dir(spark)}/scores-{uuid.uuid4().hex}"
     fs, at = storage(folder)
     fs.create_dir(at, recursive=True)
     found = met(GRAMS).mapInArrow(scored(shared), back).union(met(WORDS).mapInArrow(counted, back))

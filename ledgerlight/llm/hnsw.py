@@ -9,8 +9,6 @@ beam widened until they agree. Links are those with cosine >= threshold in doubl
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,6 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import Union, components, mixed, parts, saved
 
+#: Shards whose vectors ask a graph in one task.
+TOGETHER = 8
 SCHEMA = "vec_id long, n_links long, component_id long, kept boolean"
 
 
@@ -133,16 +133,14 @@ class Graph:
         return self.beam(q, at, width, 0, floor)
 
 
-def linked(graph: Graph, queries: np.ndarray, of_node: np.ndarray, threshold: float, width: int = 16, slack: float = 0.02, least_recall: float = 0.99, audit: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def linked(graph: Graph, queries: np.ndarray, of_node: np.ndarray, threshold: float, width: int = 16, slack: float = 0.02, least_recall: float = 0.99, audit: int = 512) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(queries, rows of the graph, which of them have inner product >= threshold), each query once.
 
     of_node: the query that a row of the graph is, or -1. A query's beam follows all within twice the angle
     of the threshold; these hold whatever links with a row that links with it, so such rows are answered
-    with it. `audit` queries are checked against all rows; below `least_recall` the beam and the slack are
-    doubled, and a beam as wide as the graph is exact."""
-    step = max(1, len(queries) // audit)
-    sample = np.arange(0, len(queries), step)
-    true = [set(np.flatnonzero(graph.rows @ queries[i] >= threshold).tolist()) for i in sample]
+    with it. What `audit` queries are answered, whichever way, is checked against all rows, a query's own row
+    left out; below `least_recall` the beam and the slack are doubled, and a beam as wide as the graph is exact."""
+    sample = np.arange(0, len(queries), max(1, len(queries) // audit))
     double = 2 * threshold * threshold - 1
     node_of = np.full(len(queries), -1)
     node_of[of_node[of_node >= 0]] = np.flatnonzero(of_node >= 0)
@@ -150,30 +148,37 @@ def linked(graph: Graph, queries: np.ndarray, of_node: np.ndarray, threshold: fl
     def pool(i: int) -> list[tuple[float, int]]:
         return graph.query(queries[i], width, double - slack, int(node_of[i]))
 
-    while width < len(graph.rows):
-        got = sum(len(t & {j for s, j in pool(i) if s >= threshold}) for i, t in zip(sample, true))
-        if got >= least_recall * sum(map(len, true)):
-            break
+    true = {}
+    for i in sample.tolist():
+        hit = graph.rows @ queries[i] >= threshold
+        true[i] = int(hit.sum()) - int(node_of[i] >= 0 and hit[node_of[i]])
+    while True:
+        out, got = [], 0
+        done = np.zeros(len(queries), bool)
+        for i in range(len(queries)):
+            if done[i]:
+                continue
+            near = pool(i)
+            rows = np.array([j for _, j in near], dtype=np.int64)
+            with_it = of_node[rows[np.array([s for s, _ in near]) >= threshold]]
+            own = np.unique(np.append(with_it[(with_it >= 0)], i))
+            own = own[~done[own]]
+            done[own] = True
+            for k in range(0, len(own), 512):
+                part = own[k : k + 512]
+                hit = queries[part] @ graph.rows[rows].T >= threshold
+                out.append((part, rows, hit))
+                got += sum(int((hit[r] & (rows != node_of[q])).sum()) for r, q in enumerate(part.tolist()) if q in true)
+        if got >= least_recall * sum(true.values()) or width >= len(graph.rows):
+            return out
         width, slack = 2 * width, 2 * slack
-    done = np.zeros(len(queries), bool)
-    for i in range(len(queries)):
-        if done[i]:
-            continue
-        near = pool(i)
-        rows = np.array([j for _, j in near], dtype=np.int64)
-        with_it = of_node[rows[np.array([s for s, _ in near]) >= threshold]]
-        own = np.unique(np.append(with_it[(with_it >= 0)], i))
-        own = own[~done[own]]
-        done[own] = True
-        for k in range(0, len(own), 512):
-            part = own[k : k + 512]
-            yield part, rows, queries[part] @ graph.rows[rows].T >= threshold
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, shard: int = 8192) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of vectors (vec_id, embedding, label).
 
-    Vectors are compared within a label. Null labels; vectors that are null, empty, zero or hold null or
+    Vectors are compared within a label. A task has one shard and the queries of at most TOGETHER shards, so
+    a label may have any number of vectors. An empty table gives no rows; other columns are not read. Null labels; vectors that are null, empty, zero or hold null or
     non-finite components; and vectors of another length link with nothing. Equal vectors of a label stand
     in the graphs once and link with each other. Rows with equal vec_id are one vertex of the component
     but keep their own rows. Rows without vec_id are left out.
@@ -187,7 +192,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, shard: int = 81
     counts = alone.groupBy("label", F.size("key").alias("dims")).agg(F.count("*").alias("n"))
     shards = F.ceil(F.col("n") / shard).cast("int")
     unique = saved(alone.withColumn("dims", F.size("key")).join(counts, ["label", "dims"]).withColumn("shards", shards).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int")).drop("n"))
-    asks = unique.withColumn("own", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    part = lambda own: F.floor(own / TOGETHER).cast("int")
+    asks = unique.withColumn("part", part(F.col("own"))).withColumn("own", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    graphs = unique.withColumn("part", F.explode(F.sequence(F.lit(0), part(F.col("shards") - 1))))
 
     def unit(t: pa.Table) -> np.ndarray:
         a = np.array(t["key"].combine_chunks().values.to_numpy(), dtype=np.float64).reshape(t.num_rows, -1)
@@ -223,10 +230,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, shard: int = 81
         near = np.array([every[groups.root(place[q])] for q in asking.tolist()])
         return pa.Table.from_arrays([pa.array(asking), pa.array(links), pa.array(near)], names=names)
 
-    keys = ["label", "dims", "own"]
+    keys = ["label", "dims", "own", "part"]
     p = max(parts(vectors.sparkSession), 24)
     # dealt by number, so that small tables too are spread over all cores
-    members, asks = unique.repartition(p, *keys), asks.repartition(p, *keys)
+    members, asks = graphs.repartition(p, *keys), asks.repartition(p, *keys)
     found = saved(members.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(answer, "rep long, links long, near long"))
     of = components(found.select(F.col("rep").alias("a"), F.col("near").alias("b"))).withColumnRenamed("id", "rep")
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -94,13 +94,14 @@ class Reader:
 
 
 def trained(docs: DataFrame, path: str, width: int, sample: int, size: int) -> bytes:
-    """A dictionary from `sample` documents, those of the smallest hashes of doc_id, in one task.
+    """A dictionary from all ids of `sample` documents, those of the smallest hashes of doc_id, in one task. zstandard
+    wants many short samples, so long documents are several of them.
 
     Empty where the sample holds too little to train on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [t for b in batches for t in b.column(0).to_pylist()]
-        own = [x.astype(f"<u{width}").tobytes()[:8192] for x in encoder(path).encode(texts)]
+        own = [raw[i : i + 8192] for x in encoder(path).encode(texts) for raw in [x.astype(f"<u{width}").tobytes()] for i in range(0, len(raw), 8192)]
         try:
             data = zstandard.train_dictionary(size, own).as_bytes()
         except zstandard.ZstdError:
@@ -115,7 +116,8 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, e
     """Writes all docs and returns the folder. Null texts are empty; rows without doc_id are left out.
 
     `sample` bounds the documents that the dictionary is trained on and nothing else. The driver sees one
-    row per shard. Rows with equal doc_id stand side by side, in an order fixed by their texts.
+    row per shard. Rows with equal doc_id stand side by side, in an order fixed by their texts. An empty table
+    gives files without documents; other columns are not read.
     """
     spark = docs.sparkSession
     path = path or vocabulary("byte_bpe_50k.json")

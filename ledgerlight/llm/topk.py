@@ -84,12 +84,16 @@ class Postings:
             yield q, ids, s
 
 
+#: Query blocks that one task takes.
+TOGETHER = 8
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 8192, query_block: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each row of queries with the rows of
     vectors but its own (both: vec_id, w), ties to the smaller vec_id; all, if fewer.
 
-    Candidates lie in blocks by a hash of vec_id; each block of queries meets each block of candidates by
-    an equi-join on the candidates' block number. Of rows with equal vec_id all are candidates and, as
+    Candidates lie in blocks by a hash of vec_id, queries too; a task has one block of candidates and TOGETHER
+    blocks of queries, so neither side of it grows with the tables. Other columns are not read. Of rows with equal vec_id all are candidates and, as
     they cannot be told apart, queries with equal vec_id answer as one, by the smallest w. Empty tables
     give no rows.
     """
@@ -98,12 +102,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 819
     n = vectors.count()
     blocks = max(1, -(-n // block))
     queries = queries.groupBy("vec_id").agg(F.min("w").alias("w"))
+    n_blocks = max(1, -(-queries.count() // query_block))
     packed = (
-        queries.withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-queries.count() // query_block)))))
+        queries.withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)))
         .groupBy("q").agg(F.collect_list(F.struct("vec_id", "w")).alias("rows"))
-        .select("q", "rows", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+        .select("q", "rows", F.floor(F.col("q") / TOGETHER).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
     )
-    candidates = vectors.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    candidates = vectors.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((n_blocks - 1) // TOGETHER))))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = [pa.array([], pa.int64())] * 3
@@ -116,7 +121,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 819
             out += [(np.full(len(ids), q), ids, s) for q, ids, s in index.best(np.array([r["vec_id"] for r in rows]), [r["w"] for r in rows], k)]
         return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["query_id", "vec_id", "score"])
 
-    found = candidates.groupBy("b").cogroup(packed.groupBy("b")).applyInArrow(score, SCHEMA)
+    found = candidates.groupBy("b", "part").cogroup(packed.groupBy("b", "part")).applyInArrow(score, SCHEMA)
     best = F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v"))
     merged = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(best)), 1, k).alias("best"))
     return merged.select("query_id", F.posexplode("best").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.v").alias("vec_id"), (-F.col("x.s")).alias("score"))

@@ -22,7 +22,7 @@ def usable(v) -> bool:
     return v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)
 
 
-@pytest.mark.parametrize("shard", [8192, 40])
+@pytest.mark.parametrize("shard", [8192, 40, 7])
 def test_near_duplicates(vectors, shard):
     rows = [r for r in vectors.collect() if r.vec_id is not None]
     unit = [np.array(r.embedding, float) / np.linalg.norm(np.array(r.embedding, float)) if usable(r.embedding) and r.label is not None else None for r in rows]
