@@ -18,6 +18,11 @@ class Roles:
     anchor: str | None = None
     dates: list[str] = field(default_factory=list)
     features: list[str] = field(default_factory=list)
+    #: A score that the extracts bring; features that no screen drops; columns that are no features; new names of columns.
+    score: str | None = None
+    force_keep: list[str] = field(default_factory=list)
+    exclude: list[str] = field(default_factory=list)
+    rename: dict[str, str] = field(default_factory=dict)
 
 
 @dataclass
@@ -32,6 +37,8 @@ class Settings:
     trees: int = 20
     depth: int = 4
     alert_rate: float = 0.01
+    #: Which frauds count as missed: oof, existing_score or temporal.
+    missed: str = "oof"
     # segments
     components: int = 4
     segments: int = 4

@@ -255,3 +255,23 @@ def normal_score(u, clip: float = 3.5, least: float = 1e-9):
     """Inverse normal distribution, between -clip and clip; null stays null."""
     z = stats.inverse_normal(F.least(F.greatest(F.col(u) if isinstance(u, str) else u, F.lit(least)), F.lit(1 - least)))
     return F.when(z.isNotNull(), F.least(F.greatest(z, F.lit(-clip)), F.lit(clip)))
+
+
+def risky_share(events: DataFrame, account: str, category: str, risky: list[str]) -> DataFrame:
+    """account, risky_share: the share of its rows in the given categories."""
+    return events.groupBy(account).agg(F.avg(F.coalesce(F.col(category).isin(*risky), F.lit(False)).cast("double")).alias("risky_share"))
+
+
+def transition_log_ratios(grid: DataFrame, account: str, states: list[str]) -> DataFrame:
+    """account and dy_clr_<from>__<to>: centred log-ratios of each row of its transitions."""
+    rows = grid.groupBy(account, "from_state").agg(F.array(*(F.max(F.when(F.col("to_state") == b, F.col("p"))) for b in states)).alias("p")).withColumn("c", stats.clr(F.col("p"), 1e-9))
+    return rows.groupBy(account).agg(*(F.max(F.when(F.col("from_state") == a, F.col("c")[j])).alias(f"dy_clr_{a}__{b}") for a in states for j, b in enumerate(states)))
+
+
+def spend_ratios(per: DataFrame, account: str, total: str, most: str, income: str, opened: str | None = None, as_of: str | None = None) -> DataFrame:
+    """account, spend_to_income, max_to_income (log ratios) and, with opened, account_age in days at as_of."""
+    i = F.greatest(F.coalesce(F.col(income).cast("double"), F.lit(0.0)), F.lit(1.0))
+    out = [F.ln((F.col(total) + 1) / i).alias("spend_to_income"), F.ln((F.col(most) + 1) / i).alias("max_to_income")]
+    if opened is not None:
+        out.append(F.greatest(F.datediff(F.lit(as_of).cast("date"), F.col(opened)), F.lit(0)).alias("account_age"))
+    return per.select(account, *out)

@@ -122,6 +122,15 @@ class Recipe:
         out += [null_flag(F.col(c)).cast("double").alias(f"isnull__{c}") for c in self.null_flags]
         return out + ([null_count(*self.counted).cast("double").alias("n_null_raw")] if self.counted else [])
 
+    def pruned(self, kept: list[str]) -> "Recipe":
+        """The recipe that makes only the kept features (and what they need)."""
+        dates = [p for p in (date_pairs(self.anchor, self.dates) if self.anchor else []) if f"days__{p[0]}_minus_{p[1]}" in kept]
+        used = {x for p in dates for x in p}
+        return Recipe(
+            [c for c in self.numeric if c in kept], [c for c in self.numeric_str if c in kept], {c: v for c, v in self.lowcard.items() if f"cat__{c}" in kept}, [c for c in self.null_flags if f"isnull__{c}" in kept],
+            self.counted if "n_null_raw" in kept else [], self.anchor if used else None, [c for c in self.dates if c in used],
+        )
+
     def names(self, df: DataFrame) -> list[str]:
         return df.select(*self.columns()).columns
 
@@ -201,4 +210,73 @@ def any_of(*columns: Column) -> Column:
     return reduce(lambda a, b: a | b, columns)
 
 
+def binary_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, binary (all values are 0 or 1), has_null; in one pass."""
+    def one(c: str) -> Column:
+        x = F.col(c).cast("double")
+        return F.struct(F.lit(c).alias("column"), F.coalesce(F.min(x.isin(0.0, 1.0).cast("int")), F.lit(0)).alias("binary"), F.coalesce(F.max(F.col(c).isNull().cast("int")), F.lit(0)).alias("has_null"))
+
+    return df.agg(F.array(*map(one, columns)).alias("x")).select(F.inline("x"))
+
+
+def column_roles(df: DataFrame, columns: list[str], reserved: tuple[str, ...] = (), id_share: float = 0.5) -> DataFrame:
+    """column, rows, distinct and what speaks against it: reserved, constant, id-like (nearly every row its own value), else keep."""
+    s = column_stats(df, columns).select("column", "rows", "distinct")
+    why = F.when(F.col("column").isin(*reserved) if reserved else F.lit(False), "reserved").when(F.col("distinct") <= 1, "constant").when(F.col("distinct") > F.col("rows") * id_share, "id_like")
+    return s.withColumn("role", why.otherwise("keep"))
+
+
+def asymmetric(df: DataFrame, built: list[str], label: str, most: float = 0.9) -> DataFrame:
+    """Built features that are missing in one class and not in the other: rates and verdict."""
+    return null_verdicts(null_rates(df, built, label), most, 2.0)
+
+
+def leak_report(aucs: DataFrame, leak: float = 0.995, top: int = 60) -> DataFrame:
+    """The features of the strongest single-feature AUC (max of auc and 1 - auc) and whether they leak. A top-k report."""
+    a = F.greatest("auc", 1 - F.col("auc"))
+    return aucs.select("column", a.alias("strength")).withColumn("leak", (F.col("strength") >= leak).cast("int")).orderBy(F.desc("strength"), "column").limit(top)
+
+
+def fit_levels(df: DataFrame, column: str, least: int = 30, most: int = 30) -> list[str]:
+    """Levels for one_hot: those of enough rows, the most frequent first; columns of more than `most` levels have none."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.trim(column).alias("v")).agg(F.count("*").alias("n"))
+    found = counts.orderBy(F.desc("n"), "v").limit(most + 1).collect()
+    return [] if len(found) > most else [r.v for r in found if r.n >= least]
+
+
+def multi_label(df: DataFrame, columns: list[str], delimiter: str = "|", names: str = "(?i)(types|list|tags|codes)$", least: float = 0.01) -> DataFrame:
+    """column, share of its values that hold the delimiter, and whether it holds several labels: by its name or that share."""
+    share = lambda c: F.coalesce(F.avg(F.contains(F.col(c).cast("string"), F.lit(delimiter)).cast("double")), F.lit(0.0))
+    t = df.agg(F.array(*(F.struct(F.lit(c).alias("column"), share(c).alias("share")) for c in columns)).alias("x")).select(F.inline("x"))
+    return t.withColumn("multi", ((F.col("share") >= least) | F.col("column").rlike(names)).cast("int"))
+
+
+def any_category(columns: list[str], vocabularies: dict[str, list[str]], delimiter: str = "|") -> list[Column]:
+    """A flag for each token that the vocabularies of two columns or more have: whether any of these holds it."""
+    held: dict[str, list[str]] = {}
+    for c in columns:
+        for t in vocabularies[c]:
+            held.setdefault(t, []).append(c)
+    return [F.greatest(*(F.array_contains(tokens(F.col(c), delimiter), t).cast("int") for c in own)).alias(f"anycat__{t}") for t, own in sorted(held.items()) if len(own) > 1]
+
+
+def custom_features(df: DataFrame, hook, keys: list[str], reserved: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """(hook(df), the features it added). A hook may add and drop columns; it must keep the keys and the rows' grain, and new names
+    must be plain and not reserved."""
+    import re
+
+    out = hook(df)
+    lost = [k for k in keys if k not in out.columns]
+    new = [c for c in out.columns if c not in df.columns]
+    bad = [c for c in new if c in reserved or not re.fullmatch(r"[A-Za-z]\w*", c)]
+    if lost or bad or len(set(out.columns)) < len(out.columns):
+        raise ValueError(f"custom features: lost keys {lost}, unusable names {bad}")
+    return out, new
+
+
+def named(df: DataFrame, prefixes: tuple[str, ...]) -> list[str]:
+    """Numeric columns whose names begin with one of the prefixes."""
+    return [f.name for f in df.schema if f.name.startswith(prefixes) and is_numeric(f.dataType)]
+
+
 __all__ = [n for n in dir() if not n.startswith("_")]

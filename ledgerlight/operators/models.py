@@ -343,3 +343,151 @@ def elasticity(model, df: DataFrame, key: str, features: list[str], assign, step
             one = t.agg(F.lit(c).alias("feature"), F.lit(float(s)).alias("step"), F.avg((F.col("cluster") != F.col("_was")).cast("double")).alias("moved"))
             out = one if out is None else out.unionByName(one)
     return out
+
+
+def train_val_split(df: DataFrame, key: str, share: float, mode: str = "stratified", stratum: str | None = None, account: str | None = None, day: str | None = None, rare: int = 10) -> DataFrame:
+    """df with is_val.
+
+    stratified: a share of each stratum, strata of fewer than `rare` rows together. account: whole accounts, stratified by
+    the largest stratum value of each. time: the rows after the (1 - share) quantile of days; rows without a day train."""
+    if mode == "stratified":
+        return stratified_split(df, key, stratum, share, rare)
+    if mode == "account":
+        per = df.groupBy(account).agg(F.max(F.col(stratum).cast("string")).alias("_stratum"))
+        return df.join(stratified_split(per, account, "_stratum", share, rare).select(account, "is_val"), account)
+    if mode != "time":
+        raise ValueError(f"no such split: {mode}")
+    t = F.unix_micros(F.col(day).cast("timestamp")).cast("double")
+    cut = df.agg(F.percentile(t, F.lit(1 - share)).alias("_cut"))
+    return df.join(F.broadcast(cut)).withColumn("is_val", F.coalesce((t > F.col("_cut")).cast("int"), F.lit(0))).drop("_cut")
+
+
+def early_stopped(df: DataFrame, features: list[str], label: str, account: str, depth: int = 4, trees: int = 100, share: float = 0.15, tolerance: float = 0.01, seed: int = 7) -> PipelineModel:
+    """Boosted trees that stop once the loss on a hashed share of accounts no longer falls."""
+    data = filled(df, features).withColumn(label, F.col(label).cast("double")).withColumn("_val", F.pmod(F.xxhash64(account, F.lit(seed)), F.lit(1000)) < int(1000 * share))
+    booster = GBTClassifier(featuresCol="_x", labelCol=label, maxDepth=depth, maxIter=trees, seed=seed, stepSize=0.2, validationIndicatorCol="_val", validationTol=tolerance)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), booster]).fit(data)
+
+
+def split_gain(model: PipelineModel, features: list[str]) -> dict[str, float]:
+    """Gain of all splits of each feature, weighted by their rows."""
+    out = dict.fromkeys(features, 0.0)
+    trees = model.stages[-1]._java_obj.trees()
+    weights = list(model.stages[-1]._java_obj.treeWeights())
+
+    def walk(node) -> None:
+        if "Internal" in node.getClass().getSimpleName():
+            out[features[int(node.split().featureIndex())]] += float(node.gain()) * float(node.impurityStats().count())
+            walk(node.leftChild())
+            walk(node.rightChild())
+
+    for k in range(len(weights)):
+        walk(trees[k].rootNode())
+    return out
+
+
+def gain_ranking(df: DataFrame, features: list[str], label: str, most: int = 400, forced: tuple[str, ...] = (), **parameters) -> list[str]:
+    """Features that a quick fit splits on, by gain, at most `most`; forced ones stay anyway."""
+    data = filled(df, features).withColumn(label, F.col(label).cast("double"))
+    gain = split_gain(boosted(features, label, **parameters).fit(data), features)
+    ranked = [c for c in sorted(features, key=lambda c: (-gain[c], c)) if gain[c] > 0][:most]
+    return ranked + [c for c in forced if c not in ranked and c in features]
+
+
+def refit(df: DataFrame, features: list[str], label: str, key: str, cover: float = 0.95, least: int = 10, most: int = 50, **parameters) -> tuple[PipelineModel, list[str]]:
+    """A fit on all features, its most important ones, and the fit on these alone."""
+    data = filled(df, features).withColumn(label, F.col(label).cast("double"))
+    found = contributions(boosted(features, label, **parameters).fit(data), data, features, key)
+    kept = [r.feature for r in importance(found, features, cover, least, most).orderBy(F.desc("importance"), "feature").collect()]
+    return boosted(kept, label, **parameters).fit(data), kept
+
+
+def scored_by(model: PipelineModel, df: DataFrame, features: list[str]) -> DataFrame:
+    out = model.transform(filled(df, features)).withColumn("score", vector_to_array("probability")[1])
+    return out.drop("_x", "rawPrediction", "probability", "prediction")
+
+
+def temporal_missed(df: DataFrame, features: list[str], label: str, day: str, rate: float = 0.01, quantile: float = 0.7, **parameters) -> DataFrame:
+    """Frauds after the cut-off month that a model of the months up to it scores under the alert threshold of goods."""
+    from ..plans.discovery import missed
+    from .curves import time_cutoff
+
+    cut = time_cutoff(df, day, quantile).first()[0]
+    month = F.date_format(day, "yyyy-MM")
+    data = df.withColumn(label, F.col(label).cast("double"))
+    model = boosted(features, label, **parameters).fit(filled(data.where(month <= cut), features))
+    return missed(scored_by(model, data.where(month > cut), features), label, rate)
+
+
+def choose_k_by_bic(df: DataFrame, vector: str, ks: range, train: str, least_ari: float = 0.8, least_share: float = 0.02, rounds: int = 20) -> DataFrame:
+    """k, bic (fit on training rows), ari of a fit on the other rows, least share of a cluster, chosen: the lowest BIC among
+    stable fits without tiny clusters, else among all. train: a 0/1 column."""
+    d = len(df.select(vector).first()[0])
+    data = df.withColumn("_k", F.xxhash64(vector)).select("_k", vector, train).persist(StorageLevel.MEMORY_AND_DISK)
+    part = data.where(F.col(train) == 1)
+    n, rows = part.count(), []
+    for k in ks:
+        one, other = diagonal_mixture(part, vector, k, rounds), diagonal_mixture(data.where(F.col(train) != 1), vector, k, rounds)
+        a = mixture_assign(data, "_k", vector, one, 0.0).select("_k", F.col("cluster").alias("a"), "density")
+        b = mixture_assign(data.where(F.col(train) != 1).dropDuplicates(["_k"]), "_k", vector, other, 0.0).select("_k", F.col("cluster").alias("b"))
+        a = a.persist(StorageLevel.MEMORY_AND_DISK)
+        loglik = a.join(part.select("_k").distinct(), "_k", "left_semi").agg(F.sum("density")).first()[0] or 0.0
+        ari = adjusted_rand(a.dropDuplicates(["_k"]).join(b, "_k"), "a", "b").first()[0]
+        sizes = [r[1] for r in a.groupBy("a").count().collect()]
+        rows.append((k, float((k * (2 * d + 1) - 1) * np.log(max(n, 1)) - 2 * loglik), float(ari), float(min(sizes) / sum(sizes)) if len(sizes) == k else 0.0))
+        a.unpersist()
+    data.unpersist()
+    fine = [r for r in rows if r[2] >= least_ari and r[3] >= least_share] or rows
+    best = min(fine, key=lambda r: (r[1], r[0]))[0]
+    return df.sparkSession.createDataFrame([(*r, int(r[0] == best)) for r in rows], "k int, bic double, ari double, least_share double, chosen int")
+
+
+def bootstrap_stability(df: DataFrame, key: str, vector: str, k: int, rounds: int = 3, engine: str = "kmeans") -> DataFrame:
+    """cluster, stability: over fits on hashed halves the mean of its best Jaccard index, among the half's rows."""
+    from .curves import best_jaccard
+
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    full = gaussian_segments(df, vector, k, engine=engine).select(key, F.col("cluster").alias("a")).persist(StorageLevel.MEMORY_AND_DISK)
+    out = None
+    for r in range(rounds):
+        part = df.where(F.pmod(F.xxhash64(key, F.lit(r)), F.lit(10)) < 7)
+        one = best_jaccard(full.join(gaussian_segments(part, vector, k, seed=r + 1, engine=engine).select(key, F.col("cluster").alias("b")), key), "a", "b")
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy(F.col("a").alias("cluster")).agg(F.avg("jaccard").alias("stability"))
+
+
+def separability(df: DataFrame, features: list[str], cluster: str, depth: int = 4, least: int = 30) -> DataFrame:
+    """cluster, recall, precision of a shallow tree that tells all clusters apart."""
+    data = filled(df, features).withColumn("_y", F.col(cluster).cast("double")).where("_y >= 0")
+    tree = DecisionTreeClassifier(featuresCol="_x", labelCol="_y", maxDepth=depth, minInstancesPerNode=least, seed=7)
+    out = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), tree]).fit(data).transform(data)
+    g = out.groupBy(F.col("_y").cast("int").alias("y"), F.col("prediction").cast("int").alias("p")).agg(F.count("*").alias("n"))
+    hit = F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0))
+    recall = g.groupBy(F.col("y").alias("cluster")).agg((hit / F.sum("n")).alias("recall"))
+    return recall.join(g.groupBy(F.col("p").alias("cluster")).agg((hit / F.sum("n")).alias("precision")), "cluster", "left")
+
+
+def boundary(moved: DataFrame, share: float = 0.5) -> DataFrame:
+    """feature, step: the smallest move (rows of `elasticity`) that changes the cluster of at least the share of rows; null, if none does."""
+    hit = F.when(F.col("moved") >= share, F.struct(F.abs("step").alias("a"), F.col("step").alias("s")))
+    return moved.groupBy("feature").agg(F.min(hit).alias("m"), F.max("moved").alias("most")).select("feature", F.col("m.s").alias("step"), "most")
+
+
+def plane(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """key, x, y: the first two principal coordinates, for a scatter plot."""
+    from pyspark.ml.functions import array_to_vector
+
+    data = df.select(key, array_to_vector(F.transform(vector, lambda v: v.cast("double"))).alias("_v"))
+    model = Pipeline(stages=[StandardScaler(inputCol="_v", outputCol="_z", withMean=True, withStd=False), PCA(k=2, inputCol="_z", outputCol="_p")]).fit(data)
+    p = vector_to_array("_p")
+    return model.transform(data).select(key, p[0].alias("x"), p[1].alias("y"))
+
+
+def sub_segments(df: DataFrame, vector: str, cluster: str, k: int = 2, least: int = 200, engine: str = "kmeans") -> DataFrame:
+    """df with sub: clusters of at least `least` rows are segmented once more by themselves; smaller ones are one."""
+    out = None
+    for r in df.groupBy(cluster).count().orderBy(cluster).collect():
+        own = df.where(F.col(cluster).eqNullSafe(F.lit(r[0])))
+        one = gaussian_segments(own.withColumnRenamed(cluster, "_was"), vector, k, engine=engine).withColumnsRenamed({"cluster": "sub", "_was": cluster}).select(*df.columns, "sub") if r[1] >= least else own.withColumn("sub", F.lit(0))
+        out = one if out is None else out.unionByName(one)
+    return df.withColumn("sub", F.lit(0)) if out is None else out

@@ -9,6 +9,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 @dataclass
@@ -16,9 +17,13 @@ class Rule:
     """feature -> (low, high, null fits): low < x <= high; None is no bound."""
 
     bounds: dict[str, tuple[float | None, float | None, bool]] = field(default_factory=dict)
+    #: feature -> texts of which it is one; feature -> whether it is null.
+    levels: dict[str, list[str]] = field(default_factory=dict)
+    nulls: dict[str, bool] = field(default_factory=dict)
 
     def column(self) -> Column:
-        parts = []
+        parts = [F.coalesce(F.col(c).cast("string").isin(*v), F.lit(False)) for c, v in self.levels.items()]
+        parts += [F.col(c).isNull() if v else F.col(c).isNotNull() for c, v in self.nulls.items()]
         for c, (lo, hi, null_ok) in self.bounds.items():
             x = F.col(c)
             test = reduce(and_, [x > lo] * (lo is not None) + [x <= hi] * (hi is not None), F.lit(True))
@@ -26,19 +31,34 @@ class Rule:
             parts.append((known | x.isNull()) if null_ok else known)
         return reduce(and_, parts, F.lit(True))
 
-    def text(self) -> str:
+    def text(self, binary: tuple[str, ...] = ()) -> str:
+        """binary: features of 0 and 1, whose bounds read as a value."""
         out = []
         for c, (lo, hi, null_ok) in self.bounds.items():
+            if c in binary and (hi if lo is None else lo) is not None and 0 <= (hi if lo is None else lo) < 1 and (lo is None or hi is None):
+                t = f"{c} = {int(lo is not None)}"
+                out.append(f"({t} OR {c} IS NULL)" if null_ok else t)
+                continue
             t = f"{c} > {lo:.4g}" if hi is None and lo is not None else f"{c} <= {hi:.4g}" if lo is None and hi is not None else f"{lo:.4g} < {c} <= {hi:.4g}" if lo is not None else f"{c} IS NOT NULL"
             out.append(f"({t} OR {c} IS NULL)" if null_ok else t)
+        out += [f"{c} = {v[0]}" if len(v) == 1 else f"{c} in {{{', '.join(v)}}}" for c, v in self.levels.items()]
+        out += [f"{c} IS NULL" if v else f"{c} IS NOT NULL" for c, v in self.nulls.items()]
         return " AND ".join(out) or "TRUE"
 
     def dumps(self) -> str:
-        return json.dumps(self.bounds, sort_keys=True)
+        return json.dumps([self.bounds, self.levels, self.nulls], sort_keys=True)
 
     @classmethod
     def loads(cls, text: str) -> "Rule":
-        return cls({k: tuple(v) for k, v in json.loads(text).items()})
+        bounds, levels, nulls = json.loads(text)
+        return cls({k: tuple(v) for k, v in bounds.items()}, levels, nulls)
+
+
+def cluster_recall(df: DataFrame, rules: dict[str, Column], members: Column) -> DataFrame:
+    """rule, cluster_recall: the share of the cluster's members that it holds."""
+    m = F.coalesce(members, F.lit(False))
+    one = [F.struct(F.lit(k).alias("rule"), (F.sum((F.coalesce(c, F.lit(False)) & m).cast("long")) / F.greatest(F.sum(m.cast("long")), F.lit(1))).alias("cluster_recall")) for k, c in rules.items()]
+    return df.agg(F.array(*one).alias("x")).select(F.inline("x"))
 
 
 def rule_counts(df: DataFrame, rules: dict[str, Column], label: str) -> DataFrame:
@@ -65,8 +85,43 @@ def quantile_conditions(df: DataFrame, features: list[str], quantiles: tuple[flo
     return out
 
 
+def level_conditions(df: DataFrame, columns: list[str], label: str, least: int = 30, most: int = 30) -> dict[str, Rule]:
+    """A condition for each level that enough positives have."""
+    long = df.where(F.col(label) == 1).select(F.inline(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns)))).where("v IS NOT NULL")
+    g = long.groupBy("c", "v").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    r = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("n"), "v"))
+    return {x.text(): x for c, v in g.withColumn("r", r).where(F.col("r") <= most).orderBy("c", "v").select("c", "v").collect() for x in [Rule(levels={c: [v]})]}
+
+
+def null_conditions(df: DataFrame, columns: list[str], label: str, least: int = 30) -> dict[str, Rule]:
+    """IS NULL for each column that enough positives lack."""
+    n = df.where(F.col(label) == 1).agg(*(F.sum(F.col(c).isNull().cast("long")).alias(c) for c in columns)).first()
+    return {r.text(): r for c in columns if (n[c] or 0) >= least for r in [Rule(nulls={c: True})]}
+
+
+def bitmap_counts(df: DataFrame, key: str, items: dict[str, Column], combos: list[tuple[str, ...]]) -> DataFrame:
+    """combo, n: rows that hold all items of a combination. Rows are numbered in the order of key; each item is a bitmap of 32 768
+    rows at a time, and combinations AND these, so rows are read once however many combinations there are."""
+    from . import ranks
+
+    rows = ranks.numbered(df.select(key, *(F.coalesce(c, F.lit(False)).alias(f"i{k}") for k, c in enumerate(items.values()))), [F.col(key)], "_n")
+    long = rows.select("_n", F.inline(F.array(*(F.struct(F.lit(name).alias("item"), F.col(f"i{k}").alias("h")) for k, name in enumerate(items))))).where("h")
+    maps = long.groupBy("item", F.bitmap_bucket_number("_n").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_n")).alias("bits"))
+    wanted = df.sparkSession.createDataFrame([("+".join(c), x, len(c)) for c in combos for x in c], "combo string, item string, size int")
+    both = maps.join(F.broadcast(wanted), "item").groupBy("combo", "size", "bucket").agg(F.count("*").alias("k"), F.expr("bitmap_and_agg(bits)").alias("bits"))
+    found = both.where("k = size").groupBy("combo").agg(F.sum(F.bitmap_count("bits")).alias("n"))
+    return wanted.select("combo").distinct().join(found, "combo", "left").select("combo", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def joined(a: Rule, b: Rule) -> Rule | None:
     """Both; None where that says nothing new or nothing fits."""
+    if any(c in a.levels and a.levels[c] != v for c, v in b.levels.items()) or any(a.nulls.get(c, v) != v for c, v in b.nulls.items()):
+        return None
+    if any(c in b.bounds or c in b.levels for c, v in a.nulls.items() if v) or any(c in a.bounds or c in a.levels for c, v in b.nulls.items() if v):
+        return None
+    if b.levels or b.nulls:
+        new = Rule(a.bounds | b.bounds, a.levels | b.levels, a.nulls | b.nulls)
+        return None if new == a else new
     out = dict(a.bounds)
     for c, (lo, hi, null_ok) in b.bounds.items():
         if c in out:
@@ -76,7 +131,7 @@ def joined(a: Rule, b: Rule) -> Rule | None:
             if lo is not None and hi is not None and lo >= hi:
                 return None
         out[c] = (lo, hi, null_ok)
-    return None if out == a.bounds or (a.bounds and out == b.bounds) else Rule(out)
+    return None if out == a.bounds or (a.bounds and out == b.bounds and not a.levels and not a.nulls) else Rule(out, a.levels, a.nulls)
 
 
 def beam(df: DataFrame, label: str, items: dict[str, Rule], width: int = 30, depth: int = 3, exponent: float = 0.5, least: int = 30) -> list[tuple[Rule, float, int, int]]:
@@ -102,9 +157,9 @@ def beam(df: DataFrame, label: str, items: dict[str, Rule], width: int = 30, dep
     return sorted(found.values(), key=lambda x: (-x[1], x[0].text()))[:width]
 
 
-def peel(df: DataFrame, label: str, features: list[str], rounds: int = 5, least: int = 30, **parameters) -> list[tuple[Rule, float, int, int]]:
+def peel(df: DataFrame, label: str, features: list[str], rounds: int = 5, least: int = 30, levels: tuple[str, ...] = (), **parameters) -> list[tuple[Rule, float, int, int]]:
     """Sequential covering: the best rule, then the best among the frauds that it misses."""
-    out, items = [], quantile_conditions(df, features)
+    out, items = [], quantile_conditions(df, features) | (level_conditions(df, levels, label, least) | null_conditions(df, [*features, *levels], label, least) if levels else null_conditions(df, features, label, least))
     rest = df
     for _ in range(rounds):
         best = beam(rest, label, items, least=least, **parameters)

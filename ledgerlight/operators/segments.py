@@ -128,7 +128,34 @@ def categories(df: DataFrame, segment: str, columns: list[str], label: str, is_v
     return keep.unionByName(other.withColumn("value", F.lit("<OTHER>")), allowMissingColumns=True)
 
 
+#: What conditions of known behaviours may call besides columns.
+ALLOWED = ("and", "or", "not", "in", "between", "is", "null", "true", "false", "like", "abs", "coalesce", "lower", "upper", "trim")
+
+
+def checked(rules: dict[str, str], columns: list[str]) -> list[str]:
+    """The columns that conditions name and the table lacks; a name that is no column but called like a function and not allowed is an error."""
+    import re
+
+    missing = []
+    for name, text in rules.items():
+        bare = re.sub(r"'[^']*'", "''", text)
+        for m in re.finditer(r"[A-Za-z_]\w*", bare):
+            word = m.group()
+            if word in columns or word.lower() in ALLOWED:
+                continue
+            if bare[m.end() :].lstrip()[:1] == "(":
+                raise ValueError(f"{name}: {word} is not allowed; use {', '.join(ALLOWED)} and the columns {', '.join(columns)}")
+            missing.append(word)
+    return list(dict.fromkeys(missing))
+
+
 def behaviours(df: DataFrame, rules: dict[str, str], catch_all: tuple[str, ...] = ()) -> DataFrame:
+    """As tagged, after a check of the conditions; a column that df lacks is 0."""
+    missing = checked(rules, df.columns)
+    return _tagged(df.withColumns({c: F.lit(0) for c in missing}), rules, catch_all).drop(*missing) if missing else _tagged(df, rules, catch_all)
+
+
+def _tagged(df: DataFrame, rules: dict[str, str], catch_all: tuple[str, ...] = ()) -> DataFrame:
     """A flag mo__<name> for each SQL condition, the set of those that hold, their number, and whether one but the catch-alls does."""
     out = df.withColumns({f"mo__{k}": F.coalesce(F.expr(v), F.lit(False)).cast("int") for k, v in rules.items()})
     held = F.concat_ws("+", *(F.when(F.col(f"mo__{k}") == 1, k) for k in rules))
@@ -149,11 +176,12 @@ def cooccurrence(df: DataFrame, flags: list[str], label: str) -> DataFrame:
     return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
-def label_ladder(coverage: Column, top_name: Column, top_share: Column, top_recall: Column, nearest: Column, cosine: Column) -> Column:
-    """What a segment is against known behaviours."""
+def label_ladder(coverage: Column, significant: Column, top_name: Column, top_recall: Column, nearest: Column, cosine: Column) -> Column:
+    """What a segment is against known behaviours. significant: array of the names of those that mark it."""
+    names = F.array_join(significant, "+")
     return (
-        F.when((coverage < 0.30) & (cosine >= 0.80), F.concat(F.lit("GAP:"), nearest)).when(coverage < 0.30, "NEW")
-        .when((top_share >= 0.70) & (top_recall >= 0.50), F.concat(F.lit("ALIGNED:"), top_name)).when(top_share >= 0.70, F.concat(F.lit("SUBTYPE:"), top_name))
+        F.when((coverage < 0.30) & F.coalesce(cosine >= 0.80, F.lit(False)) & nearest.isNotNull(), F.concat(F.lit("GAP:"), nearest)).when(coverage < 0.30, "NEW")
+        .when((F.size(significant) > 0) & (top_recall >= 0.50), F.concat(F.lit("ALIGNED:"), names)).when(F.size(significant) > 0, F.concat(F.lit("SUBTYPE:"), names))
         .when(coverage >= 0.70, "CROSS-MO").otherwise(F.concat(F.lit("PARTIAL:"), top_name))
     )
 
@@ -271,3 +299,75 @@ def novelty(df: DataFrame, value: str, is_ref: str) -> DataFrame:
     b = ranks.below(df, value, {"_r": F.col(is_ref).cast("long")})
     b = b.select(F.col(value).alias("_v"), (F.col("_r_below") / F.greatest("_r_all", F.lit(1))).alias("novelty"))
     return df.join(b, F.col(value) == F.col("_v"), "left").drop("_v")
+
+
+def significant_behaviours(overlays: DataFrame, coverage: DataFrame, profile: DataFrame | None = None, least: float = 0.2, enrichment: float = 1.5) -> DataFrame:
+    """segment and its label: from overlay rows (segment, mo, coverage, recall, enrichment) and segments' coverage by any behaviour.
+
+    A behaviour marks a segment if it covers enough of it and is enriched there; the most frequent comes first.
+    profile: segment, nearest, cosine of the closest known profile, if there is one."""
+    o = overlays.withColumn("mo", F.regexp_replace("mo", "^mo__", ""))
+    sig = (F.col("coverage") >= least) & (F.col("enrichment") >= enrichment)
+    row = F.struct((-F.col("coverage")).alias("c"), "mo", "recall", sig.alias("sig"))
+    g = o.groupBy("segment").agg(F.array_sort(F.collect_list(row)).alias("r")).join(coverage.select("segment", F.col("coverage").alias("_cov")), "segment")
+    if profile is not None:
+        g = g.join(profile.select("segment", "nearest", "cosine"), "segment", "left")
+    else:
+        g = g.withColumns({"nearest": F.lit(None).cast("string"), "cosine": F.lit(None).cast("double")})
+    names = F.transform(F.filter("r", lambda x: x["sig"]), lambda x: x["mo"])
+    return g.select("segment", label_ladder(F.col("_cov"), names, F.col("r")[0]["mo"], F.col("r")[0]["recall"], F.col("nearest"), F.col("cosine")).alias("ladder"))
+
+
+def residual_pool(df: DataFrame, rules: dict[str, str], label: str, catch_all: tuple[str, ...] = ()) -> DataFrame:
+    """Positives that no known behaviour covers; catch-alls do not count."""
+    return behaviours(df, rules, catch_all).where((F.col(label) == 1) & (F.col("mo_covered") == 0))
+
+
+def medians(df: DataFrame, cluster: str, columns: list[str]) -> DataFrame:
+    """cluster and the median of each column."""
+    return df.groupBy(F.col(cluster).alias("cluster")).agg(*(F.median(F.col(c).cast("double")).alias(f"median_{c}") for c in columns))
+
+
+def with_profile(metrics: DataFrame, profile: DataFrame, on: str = "cluster") -> DataFrame:
+    """Metrics with what is known of the same segments beside; segments without a profile stay."""
+    return metrics.join(profile, on, "left")
+
+
+def segment_overlap(df: DataFrame, segment: str, cluster: str) -> DataFrame:
+    """segment, n, the cluster that holds most of it, and the share it holds; rows without a cluster count in n alone."""
+    g = df.groupBy(F.col(segment).alias("segment"), F.col(cluster).alias("c")).agg(F.count("*").alias("k"))
+    best = F.max(F.when(F.col("c").isNotNull(), F.struct(F.col("k").alias("k"), (-F.col("c")).alias("o"), F.col("c").alias("c"))))
+    t = g.groupBy("segment").agg(F.sum("k").alias("n"), best.alias("b"))
+    return t.select("segment", "n", F.col("b.c").alias("best"), (F.col("b.k") / F.col("n")).alias("share"))
+
+
+def behaviour_detail(df: DataFrame, rules: dict[str, str], cluster: str, label: str, least: float = 0.1) -> DataFrame:
+    """mo, n, overlap (share that another behaviour holds too), herfindahl of its frauds over clusters, clusters with at least that share of them, the top one."""
+    t = _tagged(df, rules).where(F.col(label) == 1)
+    long = t.select(F.col(cluster).alias("c"), "mo_count", F.inline(F.array(*(F.struct(F.lit(k).alias("mo"), F.col(f"mo__{k}").alias("h")) for k in rules)))).where("h = 1")
+    g = long.groupBy("mo", "c").agg(F.count("*").alias("k"), F.sum((F.col("mo_count") > 1).cast("long")).alias("o"))
+    s = F.col("k") / F.sum("k").over(Window.partitionBy("mo"))
+    g = g.withColumn("s", s)
+    return g.groupBy("mo").agg(F.sum("k").alias("n"), (F.sum("o") / F.sum("k")).alias("overlap"), F.sum(F.col("s") * F.col("s")).alias("herfindahl"), F.sum((F.col("s") >= least).cast("long")).alias("n_clusters"), F.min_by("c", F.struct((-F.col("s")).alias("s"), "c")).alias("top_cluster"))
+
+
+def signatures(found: DataFrame, top: int = 3) -> DataFrame:
+    """cluster, signature: the features of the largest effect (rows of `drivers`), with their side."""
+    r = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc(F.round(F.abs("d"), 9)), "column"))
+    t = found.withColumn("r", r).where(F.col("r") <= top)
+    return t.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "column", "side"))), lambda x: F.concat(x["side"], F.lit(" "), x["column"])), ", ").alias("signature"))
+
+
+def driver_strings(df: DataFrame, cluster: str, contributions: str, features: list[str], top: int = 6) -> DataFrame:
+    """cluster, drivers: the features of the highest mean contribution, each with it, largest first."""
+    long = df.select(F.col(cluster).alias("cluster"), F.posexplode(contributions).alias("p", "x")).groupBy("cluster", "p").agg(F.avg("x").alias("m"))
+    long = long.withColumn("f", F.element_at(F.array(*map(F.lit, features)), F.col("p") + 1))
+    r = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc(F.round("m", 9)), "f"))
+    t = long.withColumn("r", r).where((F.col("r") <= top) & (F.col("m") > 0))
+    return t.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "f", "m"))), lambda x: F.concat(x["f"], F.lit(" "), F.format_number(x["m"], 3))), "; ").alias("drivers"))
+
+
+def top_values(table: DataFrame, top: int = 3) -> DataFrame:
+    """segment, column, top: the most frequent values of `categories` as one text."""
+    t = table.where(F.col("value") != "<OTHER>").withColumn("r", F.row_number().over(Window.partitionBy("segment", "column").orderBy(F.desc("train_mule_no"), "value"))).where(F.col("r") <= top)
+    return t.groupBy("segment", "column").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "value", "train_share_in_segment"))), lambda x: F.concat(x["value"], F.lit(" "), F.round(100 * x["train_share_in_segment"], 0).cast("int").cast("string"), F.lit("%"))), "; ").alias("top"))

@@ -196,3 +196,97 @@ def sampled_pairs(df: DataFrame, key: str, group: str, per_row: int = 3, seed: i
     steps = r.withColumn("_s", F.explode(F.array(*(F.lit(k) for k in range(1, per_row + 1))))).withColumn("_t", F.pmod(F.col("_r") - 1 + F.col("_s"), F.col("_n")) + 1)
     other = r.select(F.col(key).alias("b"), F.col(group).alias("_g"), F.col("_r").alias("_t2"))
     return steps.join(other, (F.col(group) == F.col("_g")) & (F.col("_t") == F.col("_t2"))).where(F.col(key) != F.col("b")).select(F.col(key).alias("a"), "b").distinct()
+
+
+def raw_gower_knn(rows: DataFrame, references: DataFrame, key: str, numbers: list[str], kinds: list[str], k: int = 7) -> DataFrame:
+    """key, distance: the mean of the k least Gower distances to references, itself excluded; numbers are divided by their range in
+    the references, kinds are equal or not."""
+    span = references.agg(*(F.greatest(F.max(F.col(c).cast("double")) - F.min(F.col(c).cast("double")), F.lit(1e-9)).alias(f"_s_{c}") for c in numbers))
+    refs = references.join(F.broadcast(span)).select(F.col(key).alias("_rk"), *(F.col(c).alias(f"_r_{c}") for c in [*numbers, *kinds]), *(f"_s_{c}" for c in numbers))
+    parts = [F.abs(F.col(c) - F.col(f"_r_{c}")) / F.col(f"_s_{c}") for c in numbers] + [(~F.col(c).eqNullSafe(F.col(f"_r_{c}"))).cast("double") for c in kinds]
+    d = against(rows.select(F.col(key).alias("_k"), *numbers, *kinds), refs).where("_k <> _rk").select("_k", "_rk", (sum(parts[1:], parts[0]) / len(parts)).alias("d"))
+    r = F.row_number().over(Window.partitionBy("_k").orderBy("d", "_rk"))
+    return d.withColumn("_r", r).where(F.col("_r") <= k).groupBy(F.col("_k").alias(key)).agg(F.avg("d").alias("distance"))
+
+
+def fixed_kernel_scores(rows: DataFrame, references: DataFrame, key: str, vector: str, label: str, gamma: float) -> DataFrame:
+    """key, score: log ratio of the mass exp(-d^2 / gamma) of fraud and genuine references, one bandwidth for all."""
+    refs = references.select(F.col(key).alias("_rk"), F.col(vector).alias("_rv"), F.col(label).alias("_ry"))
+    d = stats.distance(F.col("_v"), F.col("_rv"))
+    pairs = against(rows.select(F.col(key).alias("_k"), F.col(vector).alias("_v")), refs).where("_k <> _rk").select("_k", "_ry", F.exp(-d * d / gamma).alias("s"))
+    mass = pairs.groupBy("_k").agg(F.sum(F.when(F.col("_ry") == 1, F.col("s")).otherwise(0.0)).alias("f"), F.sum(F.when(F.col("_ry") == 0, F.col("s")).otherwise(0.0)).alias("g"))
+    return mass.select(F.col("_k").alias(key), F.ln((F.col("f") + 1e-12) / (F.col("g") + 1e-12)).alias("score"))
+
+
+def median_bandwidth(rows: DataFrame, key: str, vector: str, pairs: int = 4000, seed: int = 0) -> float:
+    """The median squared distance of hashed pairs of rows: a bandwidth from a bounded sample."""
+    s = rows.select(F.col(key).alias("k"), F.col(vector).alias("v")).orderBy(F.xxhash64(key, F.lit(seed)), key).limit(2 * pairs)
+    n = s.withColumn("r", F.row_number().over(Window.orderBy(F.xxhash64("k", F.lit(seed + 1)), "k")))
+    a, b = n.where("r % 2 = 1").select((F.col("r") + 1).alias("r"), "v"), n.where("r % 2 = 0").select("r", F.col("v").alias("w"))
+    d = stats.distance(F.col("v"), F.col("w"))
+    return float(a.join(b, "r").agg(F.median(d * d)).first()[0] or 1.0)
+
+
+def within_class_whitening(df: DataFrame, vector: str, label: str, attention_weights: list[float] | None = None, shrink: float = 0.1) -> list[list[float]]:
+    """The matrix that whitens the pooled within-class covariance, shrunk to its diagonal, columns weighted by attention: sums of
+    products come from one pass, the small system is solved on the driver."""
+    import numpy as np
+
+    d = len(df.select(vector).first()[0])
+    x = lambda i: F.col(vector)[i].cast("double")
+    g = df.groupBy(label).agg(F.count("*").alias("n"), *(F.sum(x(i)).alias(f"s{i}") for i in range(d)), *(F.sum(x(i) * x(j)).alias(f"q{i}_{j}") for i in range(d) for j in range(i, d))).collect()
+    total, cov = 0, np.zeros((d, d))
+    for r in g:
+        s = np.array([r[f"s{i}"] for i in range(d)])
+        q = np.array([[r[f"q{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
+        cov += q - np.outer(s, s) / r["n"]
+        total += r["n"]
+    cov /= max(total, 1)
+    cov = (1 - shrink) * cov + shrink * np.diag(np.diag(cov)) + 1e-9 * np.eye(d)
+    values, axes = np.linalg.eigh(cov)
+    return ((axes / np.sqrt(values)) @ axes.T * np.array(attention_weights or [1.0] * d)[:, None]).tolist()
+
+
+def block_distance(pairs: DataFrame, rows: DataFrame, key: str, vector: str, matrix: list[list[float]], scale: float) -> DataFrame:
+    """pairs (a, b) with d^2 / (d^2 + scale) of the vectors times the matrix, between 0 and 1."""
+    m = [F.array(*map(F.lit, col)) for col in zip(*matrix)]
+    seen = rows.select(F.col(key).alias("k"), F.array(*(stats.dot(F.col(vector), c) for c in m)).alias("z"))
+    t = pairs.join(seen.select(F.col("k").alias("a"), F.col("z").alias("_x")), "a").join(seen.select(F.col("k").alias("b"), F.col("z").alias("_y")), "b")
+    d = stats.distance(F.col("_x"), F.col("_y"))
+    return t.select("a", "b", (d * d / (d * d + scale)).alias("block"))
+
+
+def group_mix_distances(df: DataFrame, group: str, mix: str) -> DataFrame:
+    """a, b, js: Jensen-Shannon distance of groups' mean mixes, divided by the largest. Groups are counted before they meet."""
+    g = centroids(df.where(F.col(mix).isNotNull()), group, mix)
+    soft = lambda c: F.transform(c, lambda v: (v + 1e-6) / (1 + F.size(c) * 1e-6))
+    other = g.select(F.col("group").alias("b"), F.col("centroid").alias("q"))
+    t = against(g.select(F.col("group").alias("a"), F.col("centroid").alias("p")), other).where("a < b").select("a", "b", stats.jensen_shannon(soft(F.col("p")), soft(F.col("q"))).alias("js"))
+    return t.join(F.broadcast(t.agg(F.greatest(F.max("js"), F.lit(1e-12)).alias("m")))).select("a", "b", (F.col("js") / F.col("m")).alias("js"))
+
+
+def ablations(weights: dict[str, float]) -> dict[str, dict[str, float]]:
+    """Named weights of distance blocks: all, and each block off in turn."""
+    return {"full": dict(weights)} | {f"no_{b}": {k: (0.0 if k == b else w) for k, w in weights.items()} for b in weights}
+
+
+def ablation_distances(blocks: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """a, b, variant, distance: the combined distance under each ablation, in one pass."""
+    variants = {n: w for n, w in ablations(weights).items() if any(x > 0 for x in w.values())}
+    return blocks.select("a", "b", F.inline(F.array(*(F.struct(F.lit(n).alias("variant"), combine(w).alias("distance")) for n, w in variants.items()))))
+
+
+def driver_names(df: DataFrame, key: str, vector: str, names: list[str], attention_weights: list[float], top: int = 3) -> DataFrame:
+    """key, drivers: the features whose |z| times attention is largest."""
+    parts = F.transform(F.arrays_zip(F.array(*map(F.lit, names)).alias("f"), F.col(vector).alias("z"), F.array(*map(F.lit, map(float, attention_weights))).alias("w")), lambda x: F.struct((-F.round(F.abs(x["z"] * x["w"]), 9)).alias("s"), x["f"].alias("f")))
+    return df.select(key, F.array_join(F.transform(F.slice(F.array_sort(parts), 1, top), lambda x: x["f"]), ", ").alias("drivers"))
+
+
+def hard_negatives(df: DataFrame, key: str, peer: str, label: str, per_row: int = 3, seed: int = 0) -> DataFrame:
+    """a, b: for each positive the next few negatives of its peer group in hashed order, around the end. A sampling operator."""
+    neg = df.where(F.col(label) == 0).select(F.col(key).alias("b"), F.col(peer).alias("_g"))
+    neg = neg.withColumn("_t", F.row_number().over(Window.partitionBy("_g").orderBy(F.xxhash64("b", F.lit(seed)), "b")))
+    size = neg.groupBy("_g").agg(F.max("_t").alias("_n"))
+    pos = df.where(F.col(label) == 1).select(F.col(key).alias("a"), F.col(peer).alias("_g")).join(size, "_g")
+    steps = pos.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(per_row - 1)))).withColumn("_t", F.pmod(F.xxhash64("a", F.lit(seed)) + F.col("_s"), F.col("_n")) + 1)
+    return steps.join(neg, ["_g", "_t"]).select("a", "b").distinct()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Roles, Settings
@@ -19,6 +20,24 @@ class Discovery:
     summary: DataFrame
     rules: dict[str, rules.Rule]
     dropped: dict[str, str]
+    recipe: encode.Recipe | None = None
+
+    def save(self, path: str) -> None:
+        """Tables as Parquet; rules, what was dropped and the recipe as JSON."""
+        spark = self.segments.sparkSession
+        self.segments.write.mode("overwrite").parquet(f"{path}/segments")
+        if self.summary is not None:
+            self.summary.write.mode("overwrite").parquet(f"{path}/summary")
+        text = json.dumps({"rules": {k: r.dumps() for k, r in self.rules.items()}, "dropped": self.dropped, "recipe": self.recipe.dumps() if self.recipe else None})
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/spec")
+
+
+def rebuilt(spark: SparkSession, path: str, raw: DataFrame, keep: list[str]) -> tuple[DataFrame, dict[str, rules.Rule]]:
+    """(the features of a saved discovery made of new raw rows, with a flag for each rule; the rules)."""
+    spec = json.loads(spark.read.text(f"{path}/spec").first()[0])
+    found = {k: rules.Rule.loads(t) for k, t in spec["rules"].items()}
+    x = encode.Recipe.loads(spec["recipe"]).apply(raw, keep) if spec["recipe"] else raw
+    return x.withColumns({f"rule__{k}": r.column().cast("int") for k, r in found.items()}), found
 
 
 def screen(df: DataFrame, features: list[str], roles: Roles, settings: Settings) -> tuple[list[str], dict[str, str]]:
@@ -33,21 +52,36 @@ def screen(df: DataFrame, features: list[str], roles: Roles, settings: Settings)
     return kept, dropped | {c: "correlated" for c in order if c not in kept}
 
 
-def missed(scored: DataFrame, label: str, rate: float) -> DataFrame:
-    """Frauds whose score stays under the alert threshold, the quantile of goods' scores."""
-    cut = scored.where(F.col(label) == 0).agg(F.percentile("score", F.lit(1 - rate)).alias("_cut"))
-    return scored.join(F.broadcast(cut)).where((F.col(label) == 1) & (F.col("score") < F.col("_cut"))).drop("_cut")
+def missed(scored: DataFrame, label: str, rate: float, score: str = "score") -> DataFrame:
+    """Frauds whose score, a model's or one that the extracts bring, stays under the alert threshold, the quantile of goods' scores."""
+    cut = scored.where(F.col(label) == 0).agg(F.percentile(score, F.lit(1 - rate)).alias("_cut"))
+    return scored.join(F.broadcast(cut)).where((F.col(label) == 1) & (F.col(score) < F.col("_cut"))).drop("_cut")
 
 
-def discover(goods: DataFrame, fraud: DataFrame, roles: Roles, key: str, settings: Settings = Settings()) -> Discovery:
+def discover(goods: DataFrame, fraud: DataFrame, roles: Roles, key: str, settings: Settings = Settings(), hook=None) -> Discovery:
     """goods and fraud hold key, the account and the raw features. Only recipes, rules and small summaries reach the driver."""
     both = extracts.labelled(goods, fraud, roles.account, roles.label)
     extracts.require(both, [roles.account, key, *roles.features])
-    recipe = encode.fit_recipe(both, roles.features, roles.label, roles.anchor, tuple(roles.dates))
+    if roles.rename:
+        both = both.withColumnsRenamed(roles.rename)
+    recipe = encode.fit_recipe(both, [c for c in roles.features if c not in roles.exclude], roles.label, roles.anchor, tuple(roles.dates))
     x = recipe.apply(both, [key, roles.account, roles.label])
-    features, dropped = screen(x, recipe.names(both), roles, settings)
-    scored = models.out_of_fold(x, features, roles.label, roles.account, k=settings.folds, trees=settings.trees, depth=settings.depth)
-    pool = missed(scored, roles.label, settings.alert_rate)
+    names = recipe.names(both)
+    if hook is not None:
+        x, more = encode.custom_features(x, hook, [key, roles.account, roles.label], (key, roles.account, roles.label))
+        names = [c for c in [*names, *more] if c in x.columns]
+    features, dropped = screen(x, names, roles, settings)
+    forced = [c for c in roles.force_keep if c in names and c not in features]
+    features, dropped = features + forced, {c: w for c, w in dropped.items() if c not in forced}
+    if settings.missed == "existing_score":
+        scored = x.join(both.select(key, F.col(roles.score).cast("double").alias("score")), key)
+        pool = missed(scored, roles.label, settings.alert_rate)
+    elif settings.missed == "temporal":
+        scored = x.join(both.select(key, roles.anchor), key) if roles.anchor not in x.columns else x
+        pool = models.temporal_missed(scored, features, roles.label, roles.anchor, settings.alert_rate, trees=settings.trees, depth=settings.depth)
+    else:
+        scored = models.out_of_fold(x, features, roles.label, roles.account, k=settings.folds, trees=settings.trees, depth=settings.depth)
+        pool = missed(scored, roles.label, settings.alert_rate)
     _, space = models.whitened(pool, features, min(settings.components, len(features)))
     parts = models.gaussian_segments(space.select(key, "embedding"), "embedding", settings.segments, engine=settings.engine).select(key, "cluster", "conf")
     found = {}
@@ -58,7 +92,7 @@ def discover(goods: DataFrame, fraud: DataFrame, roles: Roles, key: str, setting
         if leaves and leaves[0][1] > 0:
             found[f"S{c:02d}"] = leaves[0][0]
     summary = rules.rule_counts(x, {k: r.column() for k, r in found.items()}, roles.label) if found else None
-    return Discovery(scored, parts, summary, found, dropped)
+    return Discovery(scored, parts, summary, found, dropped, recipe)
 
 
 def known_report(df: DataFrame, conditions: dict[str, str], label: str, weight: float) -> DataFrame:

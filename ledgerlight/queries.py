@@ -462,10 +462,14 @@ def mo_cooccurrence(spark, d):
     return segments.cooccurrence(segments.behaviours(rw(spark, d), MOS), ["mo__BIG", "mo__FREE"], "y")
 
 
-@query(f"""WITH {RW}, f AS (SELECT o_orderpriority AS segment, avg((l_quantity > 45 OR l_tax = 0)::INT) AS cov, avg((l_quantity > 45)::INT) AS big FROM rw GROUP BY 1) SELECT segment, CASE WHEN cov < 0.3 THEN 'NEW' WHEN big >= 0.7 THEN 'ALIGNED:BIG' WHEN cov >= 0.7 THEN 'CROSS-MO' ELSE 'PARTIAL:BIG' END AS ladder FROM f""")
+LADDER = [(0.1, [], "A", 0.9, "B", 0.9), (0.1, [], "A", 0.9, "B", 0.1), (0.5, ["A", "C"], "A", 0.6, "B", 0.9), (0.5, ["A"], "A", 0.2, "B", 0.9), (0.8, [], "A", 0.2, "B", 0.9), (0.5, [], "A", 0.2, "B", 0.9)]
+
+
+@query("SELECT * FROM (VALUES (0, 'GAP:B'), (1, 'NEW'), (2, 'ALIGNED:A+C'), (3, 'SUBTYPE:A'), (4, 'CROSS-MO'), (5, 'PARTIAL:A')) AS x(step, ladder)")
 def mo_label_ladder(spark, d):
-    g = segments.behaviours(rw(spark, d), MOS, ("URGENT",)).groupBy(F.col("o_orderpriority").alias("segment")).agg(F.avg("mo_covered").alias("cov"), F.avg("mo__BIG").alias("big"))
-    return g.select("segment", segments.label_ladder(F.col("cov"), F.lit("BIG"), F.col("big"), F.lit(1.0), F.lit("BIG"), F.lit(0.0)).alias("ladder"))
+    """Every step of the ladder once."""
+    x = spark.createDataFrame([(k, *row) for k, row in enumerate(LADDER)], "step int, cov double, sig array<string>, top string, recall double, near string, cosine double")
+    return x.select("step", segments.label_ladder(F.col("cov"), F.col("sig"), F.col("top"), F.col("recall"), F.col("near"), F.col("cosine")).alias("ladder"))
 
 
 @query(f"""WITH {SC}, r AS (SELECT toxic, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM sc), b AS (SELECT unnest([0.05, 0.1, 0.3]) AS budget), k AS (SELECT budget, greatest(1, round(budget * (SELECT count(*) FROM sc)))::BIGINT AS k FROM b)
@@ -703,7 +707,7 @@ def kmeans_states(spark, d):
 def select_k(spark, d):
     b = _blocks(spark, d)
     e = models.whitened(b, [c for c in b.columns if c != "user_id"], 3)[1].select("user_id", "embedding")
-    return models.choose_k(e, "user_id", "embedding", range(2, 7))
+    return models.choose_k(e, "user_id", "embedding", range(2, 5))
 
 
 # more of the same
@@ -834,3 +838,6 @@ def block_weights(spark, d):
     a = similarity.gower(pairs, e, "c_custkey", ["c_acctbal"], ["c_mktsegment"]).withColumn("same", (F.col("gower") < 0.3).cast("int"))
     w = similarity.learned_weights(a.withColumn("other", F.pmod(F.col("a") + F.col("b"), F.lit(7)) / 7), ["gower", "other"], "same")
     return spark.createDataFrame([(k, round(v, 3)) for k, v in w.items()], "block string, weight double")
+
+
+from . import queries_more as _more  # noqa: E402, F401  (registers its queries)

@@ -185,3 +185,54 @@ def profile(df: DataFrame, account: str, time: str) -> DataFrame:
     """One row: rows, accounts, rows per account, share of missing times, first and last day, most rows of one account, whether times have hours."""
     per = df.groupBy(account).agg(F.count("*").alias("n"), F.sum(F.col(time).isNull().cast("long")).alias("miss"), F.min(time).alias("lo"), F.max(time).alias("hi"), F.max((F.date_trunc("day", F.col(time)) != F.col(time).cast("timestamp")).cast("int")).alias("hours"))
     return per.agg(F.sum("n").alias("rows"), F.count("*").alias("accounts"), F.avg("n").alias("rows_per_account"), (F.sum("miss") / F.greatest(F.sum("n"), F.lit(1))).alias("missing"), F.min("lo").cast("date").alias("first"), F.max("hi").cast("date").alias("last"), F.max("n").alias("most"), F.coalesce(F.max("hours"), F.lit(0)).alias("intraday"))
+
+
+def load_accounts(tx: DataFrame, profiles: DataFrame, account: str, label: str, kind: str, good_accounts: int | None = None, seed: int = 0) -> DataFrame:
+    """One row per account of tx: label (any fraud), kind (the most frequent of its fraud rows, ties to the smaller; null without
+    any) and the profile's columns. With good_accounts all fraud accounts stay and that many others, by hash."""
+    fraud = F.col(label) == 1
+    g = tx.where(F.col(account).isNotNull()).groupBy(account).agg(F.max(F.col(label).cast("int")).alias("label"), F.mode(F.when(fraud, F.col(kind)), True).alias("kind"))
+    if good_accounts is not None:
+        good = g.where("label = 0").orderBy(F.xxhash64(account, F.lit(seed)), account).limit(good_accounts)
+        g = g.where("label = 1").unionByName(good)
+    return g.join(keep_first(profiles, [account], [c for c in profiles.columns if c != account]), account, "left")
+
+
+def token_edges(df: DataFrame, account: str, columns: list[str]) -> DataFrame:
+    """Distinct (account, token) over several columns; a token is the column's name and the value."""
+    parts = F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns))
+    return df.select(account, F.inline(parts)).where("v IS NOT NULL").select(account, F.concat_ws(":", "c", "v").alias("token")).distinct()
+
+
+def trimmed_sample(df: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
+    """Exactly n rows (all, if fewer), those of the smallest hashes of the keys: the sampling operator's own limit."""
+    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+
+
+def cached(spark: SparkSession, folder: str, config: dict, build) -> DataFrame:
+    """What build() gives, written once for each configuration and read again whenever the same one is asked for."""
+    import hashlib
+
+    path = f"{folder.rstrip('/')}/{hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:24]}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+class RunLog:
+    """Lines with the seconds since the start; kept, and given to a logger."""
+
+    def __init__(self, name: str = "ledgerlight"):
+        import logging
+        import time
+
+        self.clock, self.began, self.lines, self.logger = time.monotonic, time.monotonic(), [], logging.getLogger(name)
+
+    def __call__(self, text: str) -> None:
+        line = f"[{self.clock() - self.began:8.1f}s] {text}"
+        self.lines.append(line)
+        self.logger.info(line)
+
+    def text(self) -> str:
+        return "\n".join(self.lines)
