@@ -20,6 +20,8 @@ from .repeats import Words, covered, packed, removals, unpacked
 
 #: Phrases in one automaton, and segments that are taken together (more only if they share an anchor).
 PATTERNS, ROWS = 50_000, 16_384
+#: Different segments of one anchor that go to one task: about 150 bytes each. Beyond that see repeats.
+CROWD = 32_768
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -124,6 +126,6 @@ def remove(docs: DataFrame, window: int = 20, gram: int = 8, with_text: bool = F
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(zip(*rows), kinds)), *part.columns[2:-1]], names=[*names, *carried])
 
     given = id_text(docs, *carried)
-    found = removals(given, Words, window, gram, True, located(window)).select("doc_id", "text", *carried, "gone")
+    found = removals(given, Words, window, gram, True, located(window), CROWD).select("doc_id", "text", *carried, "gone")
     schema = SCHEMA + ", kept string" * with_text + "".join(f", `{c}` {given.schema[c].dataType.simpleString()}" for c in carried)
     return found.mapInArrow(run, schema)

@@ -116,11 +116,11 @@ def changes(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, place: np.
 
 #: What becomes of a segment: all its windows recur; to be looked at; the same, and equal ones exist; to be met window by window.
 GONE, ASK, ASK_TWICE, SPLIT = 0, 1, 2, 3
-#: Different segments of one anchor that go to one task; beyond that each window is met by its own hash.
+#: Different segments of one anchor whose texts go to one task, if an operator does not say; beyond that each window is met by its own hash.
 CROWD = 4096
 
 
-def met(keep_first: bool) -> Callable:
+def met(keep_first: bool, crowd: int) -> Callable:
     """Rows of a partition sorted by anchor: which segments recur as a whole, and which share an anchor with others."""
 
     def rows(anchor: np.ndarray, doc: np.ndarray, place: np.ndarray, what: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -152,7 +152,7 @@ def met(keep_first: bool) -> Callable:
         ask = new & (kinds > 1)
         gone = ~new if keep_first else copies > 1
         yield from rows(anchor[gone], doc[gone], place[gone], np.full(int(gone.sum()), GONE))
-        yield from rows(anchor[ask], doc[ask], place[ask], np.where(kinds[ask] > CROWD, SPLIT, np.where(copies[ask] > 1, ASK_TWICE, ASK)))
+        yield from rows(anchor[ask], doc[ask], place[ask], np.where(kinds[ask] > crowd, SPLIT, np.where(copies[ask] > 1, ASK_TWICE, ASK)))
 
     return run
 
@@ -210,25 +210,57 @@ def each_window(unit, window: int) -> Callable:
     return run
 
 
+def recurring(keep_first: bool) -> Callable:
+    """The windows (sorted by hashes, doc_id, at) whose hashes another place has too; with keep_first those after the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the last row so far, and whether it has been given out or, with keep_first, need not be
+        last, settled = None, True
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = np.stack([column(b, c) for c in ("h1", "h2", "doc_id", "at")])
+            if last is not None:
+                rows = np.concatenate([last[:, None], rows], axis=1)
+            same = np.r_[False, (rows[:2, 1:] == rows[:2, :-1]).all(axis=0)]
+            other = np.r_[False, (rows[2:, 1:] != rows[2:, :-1]).any(axis=0)]
+            # of equal hashes: places that differ from the one before; repeated rows of one place do not count
+            again = same & other
+            gone = again.copy()
+            if not keep_first:
+                head = np.flatnonzero(~same)
+                first = np.flatnonzero(np.add.reduceat(again, head) > 0)
+                gone[head[first]] = True
+                if last is not None and settled:
+                    gone[0] = False
+            doc, at = rows[2, gone], rows[3, gone]
+            # the last group may go on: its first row is kept back in place of its last, and is given out once
+            start = int(np.flatnonzero(~same)[-1])
+            was = settled if last is not None and start == 0 else False
+            settled = bool(was or (not keep_first and gone[start]))
+            last = np.concatenate([rows[:2, -1], rows[2:, -1]]) if keep_first or settled else rows[:, start]
+            if len(doc):
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at << (2 * BITS))], names=["doc_id", "place"])
+
+    return run
+
+
 def met_by_window(texts: DataFrame, unit, window: int, keep_first: bool) -> DataFrame:
-    """(doc_id, place) of the windows to remove in segments of crowded anchors: hashes are counted by Spark, with
-    partial sums before the exchange, and only those that recur are joined back; AQE splits a hot one."""
+    """(doc_id, place) of the windows to remove in segments of crowded anchors: equal hashes of windows stand together after one
+    exchange and are passed through in order, so no group is held, however large."""
     w = texts.mapInArrow(each_window(unit, window), "h1 long, h2 long, doc_id long, at long")
-    here = F.struct("doc_id", "at")
-    again = w.groupBy("h1", "h2").agg(F.min(here).alias("lo"), F.max(here).alias("hi")).where("lo <> hi")
-    out = w.join(again.hint("merge"), ["h1", "h2"])
-    out = out.where(here != F.col("lo")) if keep_first else out
-    return out.select("doc_id", F.shiftleft("at", 2 * BITS).alias("place"))
+    w = w.repartition(parts(texts.sparkSession), "h1").sortWithinPartitions("h1", "h2", "doc_id", "at")
+    return w.mapInArrow(recurring(keep_first), "doc_id long, place long")
 
 
-def removals(docs: DataFrame, unit, window: int, gram: int, keep_first: bool, decide: Callable) -> DataFrame:
+def removals(docs: DataFrame, unit, window: int, gram: int, keep_first: bool, decide: Callable, crowd: int | None = None) -> DataFrame:
     """docs (doc_id, text and more) with gone: packed places of windows to remove, or null.
 
     decide: batches (anchor, doc_id, place, what, text), sorted by anchor, to batches (doc_id, place)."""
     p = parts(docs.sparkSession)
     plain = docs.select("doc_id", "text")
     rows = plain.mapInArrow(anchored(unit, window, gram), "anchor long, content long, doc_id long, place long, copies int")
-    known = saved(rows.repartition(p, "anchor").sortWithinPartitions("anchor").mapInArrow(met(keep_first), "anchor long, doc_id long, place long, what int"))
+    known = saved(rows.repartition(p, "anchor").sortWithinPartitions("anchor").mapInArrow(met(keep_first, CROWD if crowd is None else crowd), "anchor long, doc_id long, place long, what int"))
     asked = known.where(F.col("what") != GONE).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "what")).alias("asked"))
     texts = plain.join(asked, "doc_id").mapInArrow(fetched(unit, window), "anchor long, doc_id long, place long, what int, text binary")
     if known.where(F.col("what") == SPLIT).limit(1).count():

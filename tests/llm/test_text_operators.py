@@ -176,7 +176,9 @@ def brute_words(texts: dict, window: int) -> dict:
     return out
 
 
-def test_phrases(corpus, empty):
+@pytest.mark.parametrize("crowd", [32768, 1])
+def test_phrases(corpus, empty, crowd, monkeypatch):
+    monkeypatch.setattr(phrases, "CROWD", crowd)
     want = brute_words(texts_of(corpus), 20)
     got = phrases.remove(corpus, with_text=True, carried=("lang", "place")).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want and sum(x[1] for x in want.values()) > 300
@@ -186,6 +188,22 @@ def test_phrases(corpus, empty):
     assert [r.n_removed for r in phrases.remove(twice.union(twice)).collect()] == [0, 0]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 1), st.integers(0, 3), st.integers(0, 3)), max_size=30), st.lists(st.integers(0, 30), max_size=4), st.booleans())
+def test_recurring_windows_over_batches(rows, cuts, keep_first):
+    import pyarrow as pa
+
+    rows = sorted(rows)
+    cuts = sorted({0, *(c for c in cuts if c < len(rows)), len(rows)})
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[a:b]], pa.int64()) for k in range(4)], names=["h1", "h2", "doc_id", "at"]) for a, b in zip(cuts[:-1], cuts[1:])]
+    got = sorted((d, p >> 24) for b in repeats.recurring(keep_first)(iter(batches)) for d, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+    places = collections.defaultdict(set)
+    for a, b, d, x in rows:
+        places[a, b].add((d, x))
+    want = sorted(p for v in places.values() if len(v) > 1 for p in (sorted(v)[1:] if keep_first else v))
+    assert sorted(set(got)) == sorted(set(want))
+
+
 def test_phrases_in_many_automata(corpus, monkeypatch):
     import pyarrow as pa
 
