@@ -113,7 +113,7 @@ def excitation(events: DataFrame, account: str, t: str, tie: str, tau: float) ->
     # what the slice before gives, as of the start of this one; anything older has decayed by e^-100 and more
     carried = e.groupBy(account, (F.col("_b") + 1).alias("_b")).agg(F.sum(F.exp(x - 100.0)).alias("_c"))
     e = e.withColumn("_x", x).withColumn("_s", F.coalesce(F.sum(F.exp("_x")).over(w), F.lit(0.0)))
-    return e.join(carried, [account, "_b"], "left").select(account, tie, (F.exp(-F.col("_x")) * (F.col("_s") + F.coalesce("_c", F.lit(0.0)))).alias("r"))
+    return e.join(carried, [account, "_b"], "left").select(account, tie, ((F.col("_s") + F.coalesce("_c", F.lit(0.0))) / F.exp("_x")).alias("r"))
 
 
 def em(times: np.ndarray, tau: float, rounds: int = 30) -> tuple[float, float, float]:
