@@ -298,6 +298,24 @@ def test_jaccard(corpus, empty, shard):
         assert jaccard.similar(empty).count() == 0
 
 
+@pytest.mark.parametrize("shard", [2048, 2])
+def test_jaccard_counts_links(corpus, empty, shard):
+    sets = {d: shingles(t) for d, t in texts_of(corpus).items()}
+    want = {d: sum(d != e and bool(s and t) and 4 * len(s & t) >= 3 * len(s | t) for e, t in sets.items()) for d, s in sets.items()}
+    got = {r.doc_id: r.n_links for r in jaccard.similar(corpus, shard=shard, links=True).collect()}
+    assert got == want and max(want.values()) > 2
+    if shard > 2:
+        assert jaccard.similar(empty, links=True).count() == 0
+
+
+def test_jaccard_counts_links_of_rows(spark):
+    """Rows of one doc_id count apart; the text of one is another document's."""
+    a, near, b = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("a", 60), ("a", 59), ("b", 60)))
+    rows = [(3, a), (5, a), (5, b), (5, b), (7, near), (8, b), (9, None)]
+    got = sorted((r.doc_id, r.component_id, r.n_links) for r in jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string"), links=True).collect())
+    assert got == sorted([(3, 3, 2), (5, 3, 2), (5, 3, 2), (5, 3, 2), (7, 3, 2), (8, 3, 2), (9, 9, 0)])
+
+
 def test_jaccard_at_the_threshold(spark):
     # 3 of 4 shingles is a link, 2 of 3 is not
     rows = [(1, "a b c d e f g h"), (2, "a b c d e f g"), (3, "q r s t u v w"), (4, "q r s t u v"), (5, "A  B C D E F G H"), (6, "x"), (7, "X")]
@@ -318,7 +336,10 @@ def test_signature_tree_loses_nothing(seed):
     sizes, keys = np.array([len(s) for s in sets]), np.array([jaccard.sort_keys(s) for s in sets])
     tree = jaccard.SignatureTree(sizes, np.array([jaccard.bitmap(s, 4) for s in sets]), np.lexsort((keys[:, 1], keys[:, 0])), fan=4)
     got = {tuple(sorted((int(a), int(b)))) for i, j in tree.pairs(75) for a, b in zip(i, j)}
-    want = {(a, b) for a in range(80) for b in range(a + 1, 80) if jaccard.overlap_linked(sets[a], sets[b], 75)}
+    want = {(a, b) for a in range(80) for b in range(a + 1, 80) if jaccard.overlap_linked(sets, np.array([a]), np.array([b]), 75)[0]}
+    left, right = (np.array(x) for x in zip(*((a, b) for a in range(80) for b in range(a + 1, 80))))
+    brute = [4 * len(np.intersect1d(sets[a], sets[b])) >= 3 * len(np.union1d(sets[a], sets[b])) for a, b in zip(left, right)]
+    assert jaccard.overlap_linked(sets, left, right, 75).tolist() == brute
     assert want <= got
 
 
