@@ -44,10 +44,12 @@ def test_stages_against_brute_force(spark, stages):
 def test_run_and_edges(spark, corpus, empty):
     assert corpus_pipeline.run(spark, SF).count() > 0
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
-    for docs in (corpus.select(columns), empty.select(columns), corpus):
+    for start, some in ((corpus.select(columns), True), (empty.select(columns), False), (corpus, True)):
+        docs, ids = start, {r.doc_id for r in start.collect()}
         for _, f in corpus_pipeline.STAGES:
             docs = f(spark, docs, SF)
-        assert docs.count() >= 0
+        packed = {r.doc_id for r in docs.collect()}
+        assert bool(packed) == some and packed <= ids - {None}
 
 
 def test_packing_pads_little(stages):
