@@ -21,7 +21,7 @@ from .repeats import Words, covered, packed, removals, unpacked
 #: Phrases in one automaton, and segments that are taken together (more only if they share an anchor).
 PATTERNS, ROWS = 50_000, 16_384
 #: Different segments of one anchor that go to one task: about 150 bytes each. Beyond that see repeats.
-CROWD = 32_768
+CROWD = 4096
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
