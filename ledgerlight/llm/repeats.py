@@ -261,15 +261,15 @@ def removals(docs: DataFrame, unit, window: int, gram: int, keep_first: bool, de
     plain = docs.select("doc_id", "text")
     rows = plain.mapInArrow(anchored(unit, window, gram), "anchor long, content long, doc_id long, place long, copies int")
     known = saved(rows.repartition(p, "anchor").sortWithinPartitions("anchor").mapInArrow(met(keep_first, CROWD if crowd is None else crowd), "anchor long, doc_id long, place long, what int"))
-    asked = known.where(F.col("what") != GONE).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "what")).alias("asked"))
-    texts = plain.join(asked, "doc_id").mapInArrow(fetched(unit, window), "anchor long, doc_id long, place long, what int, text binary")
+
+    def texts(wanted) -> DataFrame:
+        """Texts of the segments asked for; all calls and the last join read one exchange of the documents."""
+        asked = known.where(wanted).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "what")).alias("asked"))
+        return plain.join(asked, "doc_id").mapInArrow(fetched(unit, window), "anchor long, doc_id long, place long, what int, text binary")
+
+    decided = texts(F.col("what").isin(ASK, ASK_TWICE)).repartition(p, "anchor").sortWithinPartitions("anchor").mapInArrow(decide, "doc_id long, place long")
     if known.where(F.col("what") == SPLIT).limit(1).count():
-        texts = saved(texts)
-        crowded = met_by_window(texts.where(F.col("what") == SPLIT), unit, window, keep_first)
-    else:
-        crowded = None
-    decided = texts.where(F.col("what") != SPLIT).repartition(p, "anchor").sortWithinPartitions("anchor").mapInArrow(decide, "doc_id long, place long")
-    decided = decided if crowded is None else decided.union(crowded)
+        decided = decided.union(met_by_window(texts(F.col("what") == SPLIT), unit, window, keep_first))
     gone = known.where(F.col("what") == GONE).select("doc_id", "place").union(decided).groupBy("doc_id").agg(F.collect_list("place").alias("gone"))
     return docs.join(gone, "doc_id", "left")
 
