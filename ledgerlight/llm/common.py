@@ -10,7 +10,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -178,6 +178,16 @@ def release() -> None:
         trim(0)
 
 
+def tidy(run: Callable) -> Callable:
+    """run over the batches of a partition, and what it freed given back when it ends."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return over
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, Union, column, components, grouped, id_text, lowered, mixed, parts, runs, saved, signed, text_chunks, word_hashes, word_spans
+from .common import Spans, Union, column, components, grouped, id_text, lowered, mixed, parts, runs, saved, signed, text_chunks, tidy, word_hashes, word_spans
 
 #: Hash orders; 64-bit words of a bitmap in blocks and in families; rows of a leaf.
 BANDS, NARROW, WIDE, LEAF = 20, 8, 64, 32
@@ -143,7 +143,7 @@ def signatures(docs: DataFrame, n: int = 5) -> DataFrame:
                     names=["doc_id", "n_shingles", "k1", "k2", "keys", "map", "o2"],
                 )
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, keys array<long>, map binary, o2 long")
+    return id_text(docs).mapInArrow(tidy(run), "doc_id long, n_shingles long, k1 long, k2 long, keys array<long>, map binary, o2 long")
 
 
 def forest(percent: int):
@@ -166,7 +166,7 @@ def forest(percent: int):
                     out += [(own[x], own[y]) for x, y in zip(i.tolist(), j.tolist()) if groups.join(x, y)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return run
+    return tidy(run)
 
 
 def overlap_linked(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -223,7 +223,7 @@ def verified(percent: int, n: int, count: bool):
             table = [(a, b, 0, 0, 0) for a, b in out] + [(keys[x][0], *keys[x], int(degree[x])) for x in some.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in table], pa.int64()) for k in range(5)], names=["a", "b", "k1", "k2", "n"])
 
-    return run
+    return tidy(run)
 
 
 def similar(docs: DataFrame, n: int = 5, percent: int = 75, shard: int = 2048, links: bool = False) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Spans, byte_symbols, column, id_text, runs
+from .common import Spans, byte_symbols, column, id_text, runs, tidy
 from .repeats import ASK, Bytes, covered, joined, removals, unpacked
 
 #: Segments that are taken together (more only if they share an anchor).
@@ -167,7 +167,7 @@ def found(window: int):
             out = shard(rows, window)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "place"])
 
-    return run
+    return tidy(run)
 
 
 def shard(rows: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -252,4 +252,4 @@ def remove(docs: DataFrame, window: int = 400, gram: int = 200, with_text: bool
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
-    return removals(id_text(docs), Bytes, window, gram, False, found(window)).mapInArrow(run, SCHEMA + ", kept binary" * with_text)
+    return removals(id_text(docs), Bytes, window, gram, False, found(window)).mapInArrow(tidy(run), SCHEMA + ", kept binary" * with_text)

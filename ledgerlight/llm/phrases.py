@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Spans, column, id_text, runs, text_chunks, word_hashes, word_spans
+from .common import Spans, column, id_text, runs, text_chunks, tidy, word_hashes, word_spans
 from .repeats import Words, covered, packed, removals, unpacked
 
 #: Phrases in one automaton, and segments that are taken together (more only if they share an anchor).
@@ -38,7 +38,7 @@ def located(window: int):
             out = shard(rows, window)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["doc_id", "place"])
 
-    return run
+    return tidy(run)
 
 
 def shard(rows: pa.Table, window: int) -> list[tuple[int, int]]:
@@ -128,4 +128,4 @@ def remove(docs: DataFrame, window: int = 20, gram: int = 8, with_text: bool = F
     given = id_text(docs, *carried)
     found = removals(given, Words, window, gram, True, located(window), CROWD).select("doc_id", "text", *carried, "gone")
     schema = SCHEMA + ", kept string" * with_text + "".join(f", `{c}` {given.schema[c].dataType.simpleString()}" for c in carried)
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(tidy(run), schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, byte_symbols, column, mixed, parts, runs, saved, signed, text_chunks, word_hashes, word_spans
+from .common import Spans, byte_symbols, column, mixed, parts, runs, saved, signed, text_chunks, tidy, word_hashes, word_spans
 
 #: A place is packed with the number of windows (less one) and the anchor's distance from the first: 2 x 12 bits.
 BITS = 12
@@ -102,7 +102,7 @@ def anchored(unit, window: int, gram: int) -> Callable:
                 anchor = np.where(copies > 0, anchor, signed(mixed((doc * 1_000_003 + place).astype(np.uint64))))
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), pa.array(doc), pa.array(place), pa.array(copies)], names=["anchor", "content", "doc_id", "place", "copies"])
 
-    return run
+    return tidy(run)
 
 
 def changes(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +154,7 @@ def met(keep_first: bool, crowd: int) -> Callable:
         yield from rows(anchor[gone], doc[gone], place[gone], np.full(int(gone.sum()), GONE))
         yield from rows(anchor[ask], doc[ask], place[ask], np.where(kinds[ask] > crowd, SPLIT, np.where(copies[ask] > 1, ASK_TWICE, ASK)))
 
-    return run
+    return tidy(run)
 
 
 def fetched(unit, window: int) -> Callable:
@@ -179,7 +179,7 @@ def fetched(unit, window: int) -> Callable:
                 column_ = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(to), pa.py_buffer(np.ascontiguousarray(text))])
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[a:b]), pa.array(ids[i:j][row]), pa.array(place[a:b]), pa.array(what[a:b]), column_.cast(pa.binary())], names=["anchor", "doc_id", "place", "what", "text"])
 
-    return run
+    return tidy(run)
 
 
 def joined(docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +207,7 @@ def each_window(unit, window: int) -> Callable:
                 h1, h2 = Spans(symbols).of(at, at + window), Spans(mixed(symbols)).of(at, at + window)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h1)), pa.array(signed(h2)), pa.array(ids[i:j][row]), pa.array(place[i:j][row] + at - first[row])], names=["h1", "h2", "doc_id", "at"])
 
-    return run
+    return tidy(run)
 
 
 def recurring(keep_first: bool) -> Callable:
@@ -242,7 +242,7 @@ def recurring(keep_first: bool) -> Callable:
             if len(doc):
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at << (2 * BITS))], names=["doc_id", "place"])
 
-    return run
+    return tidy(run)
 
 
 def met_by_window(texts: DataFrame, unit, window: int, keep_first: bool) -> DataFrame:

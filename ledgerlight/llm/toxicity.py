@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Spans, byte_symbols, id_text, least_hashed, lowered, mixed, text_chunks, word_spans
+from .common import Spans, byte_symbols, id_text, least_hashed, lowered, mixed, release, text_chunks, tidy, word_spans
 
 #: Weights; words share one where their hashes meet. Lengths in bytes of the beginnings that have weights of their own.
 BITS, STEMS = 18, (4, 5, 6)
@@ -142,7 +142,7 @@ def train(labelled: DataFrame, steps: int = 250, rate: float = 0.1, l2: float =
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], names=["at", "w"])
 
     chosen = labelled.select("text", F.col("toxic").cast("int").alias("toxic"))
-    got = chosen.repartition(1).mapInArrow(run, "at long, w float").toArrow()
+    got = chosen.repartition(1).mapInArrow(tidy(run), "at long, w float").toArrow()
     weights = np.zeros((1 << BITS) + 1, np.float32)
     weights[-1] = PRIOR
     weights[got.column(0).to_numpy()] = got.column(1).to_numpy()
@@ -182,7 +182,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                     [ids.slice(i, n), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(count.astype(np.int64)), pa.array(best, mask=none), pa.array(a.astype(np.int64), mask=none), pa.array(b.astype(np.int64), mask=none)], names=names
                 )
 
-    out = id_text(docs).mapInArrow(run, ", ".join(x for x in SCHEMA.split(", ") if not x.startswith("held")))
+    out = id_text(docs).mapInArrow(tidy(run), ", ".join(x for x in SCHEMA.split(", ") if not x.startswith("held")))
     return out.withColumn("held_out", held_out(5, 0)).select(*(x.split()[0] for x in SCHEMA.split(", ")))
 
 
@@ -217,6 +217,7 @@ def probability(weights: np.ndarray, spark: SparkSession):
             clean = np.bincount(row, sentence_log_clean(z), j - i) if len(row) else np.zeros(j - i)
             clean[np.bincount(row, minlength=j - i) == 0] = -np.logaddexp(0, bias)
             out[i:j] = np.clip(-np.expm1(clean), 0, 1)
+        release()
         return pd.Series(out)
 
     return of
