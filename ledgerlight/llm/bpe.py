@@ -10,6 +10,7 @@ are merged at once, in arrays. `Decoder` turns the ids that come out into text.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import json
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from .common import id_text
 from .tokens import vocabulary
@@ -36,6 +38,14 @@ def byte_chars() -> list[str]:
     return [chr(b if b in plain else next(other)) for b in range(256)]
 
 
+@functools.cache
+def unassigned() -> regex.Pattern:
+    """Characters that Python's tables or those of `regex` do not know; the library's may be of a later Unicode version."""
+    at = np.flatnonzero([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+    cut = np.flatnonzero(np.diff(at) > 1)
+    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(at[np.r_[0, cut + 1]], at[np.r_[cut, -1]])) + r"\p{Cn}]")
+
+
 class Merges:
     """Merge rules (left id, right id) -> id, in order of rank."""
 
@@ -200,6 +210,10 @@ class Coder:
         self.word = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self.word_with_controls = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|(?:[^\s\p{L}\p{N}]|[\x1c-\x1f])+")
         self.controls = regex.compile(r"[\x1c-\x1f]")
+        #: Texts and pieces with unassigned characters take the library's own normal form and words.
+        self.unassigned = unassigned()
+        self.later_normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.later_words = pre_tokenizers.Split(Regex(self.word.pattern), "removed", invert=True)
         self.space = regex.compile(r"[^\S\x1c-\x1f]+")
         self.border = regex.compile(r"[ \n](?=[0-9A-Za-z])")
         self.young: dict[str, bytes] = {}
@@ -207,6 +221,8 @@ class Coder:
 
     def normal(self, text: str) -> str:
         if not text.isascii():
+            if self.unassigned.search(text):
+                return self.later_normal.normalize_str(text)
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:
                 return "".join(c.lower() for c in text)
@@ -228,6 +244,8 @@ class Coder:
     def words(self, piece: str) -> list[str]:
         if piece.isalpha() and piece.isascii():
             return [piece]
+        if not piece.isascii() and self.unassigned.search(piece):
+            return [w for w, _ in self.later_words.pre_tokenize_str(piece)]
         if self.controls.search(piece):
             return self.word_with_controls.findall(piece)
         return self.word.findall(piece)

@@ -442,6 +442,15 @@ def test_bpe_any_text(text):
     assert np.frombuffer(bpe.coder(path).code([text])[0][0], "<u4").tolist() == ids
 
 
+def test_bpe_every_character(library):
+    """Each character between marks and between letters, those of later Unicode versions included."""
+    coder = bpe.Coder(vocabulary("word_bpe_49k.json"))
+    for a in range(1, 0x110000, 1 << 15):
+        texts = [x + chr(c) + x for c in range(a, min(a + (1 << 15), 0x110000)) if not 0xD800 <= c < 0xE000 for x in (":", "a")]
+        want = library.encode_batch(texts, add_special_tokens=False)
+        assert [t for t, (ids, _), w in zip(texts, coder.code(texts), want) if np.frombuffer(ids, "<u4").tolist() != w.ids] == []
+
+
 def test_bpe_words_and_ids_take_the_machines(monkeypatch, library):
     """Every symbol of every new word enters a transducer, and decoded texts come out of a decoder fed with the ids."""
     fed, decoded = [], []
