@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import stats
 from ..functions.clean import band, days
-from . import ranks
+from . import kernels, ranks
 
 
 def ordered(account: str, *order: str):
@@ -197,10 +197,7 @@ def token_degrees(edges: DataFrame, account: str, token: str, most: int | None =
     e = edges.select(account, token).where(F.col(token).isNotNull()).distinct()
     if most is not None:
         e = e.join(e.groupBy(token).agg(F.count("*").alias("_n")).where(F.col("_n") <= most).drop("_n"), token)
-    # dealt by number: pairs are many where edges are few, and few edges would be put together in one task
-    e = e.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), token)
-    pairs = e.join(e.withColumnRenamed(account, "_other"), token).where(F.col(account) != F.col("_other"))
-    degree = pairs.groupBy(account).agg(F.count_distinct("_other").alias("degree"))
+    degree = kernels.degrees(e.where(F.col(account).isNotNull()).select(F.col(account).alias("a"), F.col(token).alias("t"))).withColumnRenamed("a", account)
     return edges.select(account).distinct().join(degree, account, "left").select(account, F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
