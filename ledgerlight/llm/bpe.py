@@ -14,6 +14,7 @@ import functools
 import hashlib
 import itertools
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -39,11 +40,14 @@ def byte_chars() -> list[str]:
 
 
 @functools.cache
-def unassigned() -> regex.Pattern:
-    """Characters that Python's tables or those of `regex` do not know; the library's may be of a later Unicode version."""
+def unassigned() -> tuple[re.Pattern, regex.Pattern]:
+    """Characters that Python's tables or those of `regex` do not know; the library's may be of a later Unicode version. First a
+    pattern of those below 2^16 and of all from there on, which is a look-up, then that of the characters themselves, which is slow."""
     at = np.flatnonzero([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
     cut = np.flatnonzero(np.diff(at) > 1)
-    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(at[np.r_[0, cut + 1]], at[np.r_[cut, -1]])) + r"\p{Cn}]")
+    exact = regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(at[np.r_[0, cut + 1]], at[np.r_[cut, -1]])) + r"\p{Cn}]")
+    low = "".join(f"\\u{c:04x}" for c in range(0x10000) if exact.match(chr(c)))
+    return re.compile(f"[{low}\\U00010000-\\U0010ffff]"), exact
 
 
 class Merges:
@@ -211,7 +215,7 @@ class Coder:
         self.word_with_controls = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|(?:[^\s\p{L}\p{N}]|[\x1c-\x1f])+")
         self.controls = regex.compile(r"[\x1c-\x1f]")
         #: Texts and pieces with unassigned characters take the library's own normal form and words.
-        self.unassigned = unassigned()
+        self.maybe, self.unassigned = unassigned()
         self.later_normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.later_words = pre_tokenizers.Split(Regex(self.word.pattern), "removed", invert=True)
         self.space = regex.compile(r"[^\S\x1c-\x1f]+")
@@ -219,9 +223,13 @@ class Coder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def later(self, text: str) -> bool:
+        """Whether it holds an unassigned character."""
+        return self.maybe.search(text) is not None and self.unassigned.search("".join(set(self.maybe.findall(text)))) is not None
+
     def normal(self, text: str) -> str:
         if not text.isascii():
-            if self.unassigned.search(text):
+            if self.later(text):
                 return self.later_normal.normalize_str(text)
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:
@@ -244,7 +252,7 @@ class Coder:
     def words(self, piece: str) -> list[str]:
         if piece.isalpha() and piece.isascii():
             return [piece]
-        if not piece.isascii() and self.unassigned.search(piece):
+        if not piece.isascii() and self.later(piece):
             return [w for w, _ in self.later_words.pre_tokenize_str(piece)]
         if self.controls.search(piece):
             return self.word_with_controls.findall(piece)

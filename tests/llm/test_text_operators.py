@@ -451,6 +451,17 @@ def test_bpe_every_character(library):
         assert [t for t, (ids, _), w in zip(texts, coder.code(texts), want) if np.frombuffer(ids, "<u4").tolist() != w.ids] == []
 
 
+def test_bpe_later_characters_are_looked_up():
+    """The quick pattern leaves none out, and assigned characters cost a look-up each: 2^20 took a second before."""
+    import time
+
+    coder = bpe.Coder(vocabulary("word_bpe_49k.json"))
+    assert [c for c in range(0x110000) if coder.later(chr(c)) != bool(coder.unassigned.match(chr(c)))] == []
+    begin = time.process_time()
+    assert not coder.later("naïve 日本語 žluťoučký " * (1 << 16))
+    assert time.process_time() - begin < 0.5
+
+
 def test_bpe_words_and_ids_take_the_machines(monkeypatch, library):
     """Every symbol of every new word enters a transducer, and decoded texts come out of a decoder fed with the ids."""
     fed, decoded = [], []
