@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import id_text
+from .common import id_text, tidy
 from .tokens import encoder, vocabulary
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
@@ -111,4 +111,4 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 1024, end_id:
         done.extend(bins.close())
         yield rows()
 
-    return id_text(docs).mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
+    return id_text(docs).mapInArrow(tidy(run), SCHEMA + ", ids array<int>" * with_ids)

@@ -64,7 +64,7 @@ class Encoder:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         return self.column(pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"]))
 
-    def column(self, batch: pa.RecordBatch, limit: int = CHUNK) -> list[np.ndarray]:
+    def column(self, batch: pa.RecordBatch, limit: int = 2 * CHUNK) -> list[np.ndarray]:
         """The ids of each row's text; no nulls."""
         out: list[np.ndarray] = []
         for _, _, data, offsets in text_chunks(batch, limit=limit):

@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -206,11 +205,12 @@ def probability(weights: np.ndarray, spark: SparkSession):
     """A column function: the score of a text column, so that rows can be filtered as they are; a null text is empty."""
     shared = spark.sparkContext.broadcast(weights)
 
-    @F.pandas_udf("double")
-    def of(text: pd.Series) -> pd.Series:
+    # texts stay in Arrow buffers; as strings of Python they would be held twice
+    @F.arrow_udf("double")
+    def of(text: pa.Array) -> pa.Array:
         w = shared.value
         bias, out = float(w[-1]), np.zeros(len(text))
-        batch = pa.RecordBatch.from_arrays([pa.array(text.fillna(""), pa.large_string())], names=["text"])
+        batch = pa.RecordBatch.from_arrays([text.fill_null("")], names=["text"])
         for i, j, data, offsets in text_chunks(batch):
             word, own, row, _, _ = sentence_words(data, offsets)
             z = bias + np.bincount(own, w[word], len(row)) if len(row) else np.zeros(0)
@@ -218,6 +218,6 @@ def probability(weights: np.ndarray, spark: SparkSession):
             clean[np.bincount(row, minlength=j - i) == 0] = -np.logaddexp(0, bias)
             out[i:j] = np.clip(-np.expm1(clean), 0, 1)
         release()
-        return pd.Series(out)
+        return pa.array(out)
 
     return of

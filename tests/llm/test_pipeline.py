@@ -60,3 +60,27 @@ def test_packing_pads_little(stages):
         used[r.sequence_id] += r.length
     assert all(used[k] <= v for k, v in room.items())
     assert 1 - sum(used.values()) / np.sum(list(room.values())) < 0.05
+
+
+def test_kernels_hold_little():
+    """What a worker holds beside its batch, over 7 MB of text: the pipeline's executors have little memory beside a full heap."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from ledgerlight.llm import common, repeats
+
+    texts = [" ".join(f"w{i * j % 977}" for j in range(600)) for i in range(1, 2500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    common.powers(10)
+
+    def most(rows):
+        tracemalloc.start()
+        for _ in rows:
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return peak / 1e6
+
+    assert most(repeats.anchored(repeats.Words, 20, 8)(iter([batch]))) < 40
+    assert most(toxicity.sentence_words(data, offsets) for _, _, data, offsets in common.text_chunks(batch)) < 40
