@@ -194,8 +194,9 @@ def mixes(events: DataFrame, account: str, category: str, levels: list[str]) ->
 
 def token_degrees(edges: DataFrame, account: str, token: str, most: int | None = None) -> DataFrame:
     """account, degree: other accounts that share a token. Tokens of more than `most` accounts, if given, say nothing and are left out."""
-    e = edges.select(account, token).where(F.col(token).isNotNull()).distinct()
+    e = edges.select(account, token).where(F.col(token).isNotNull())
     if most is not None:
+        e = e.distinct()
         e = e.join(e.groupBy(token).agg(F.count("*").alias("_n")).where(F.col("_n") <= most).drop("_n"), token)
     degree = kernels.degrees(e.where(F.col(account).isNotNull()).select(F.col(account).alias("a"), F.col(token).alias("t"))).withColumnRenamed("a", account)
     return edges.select(account).distinct().join(degree, account, "left").select(account, F.coalesce("degree", F.lit(0)).alias("degree"))
